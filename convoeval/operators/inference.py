@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import sys
+import tempfile
 import time
 from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -180,11 +181,22 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     if path is not None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the executors, or give a path")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_checkpoint_dir(spark))
     return df.checkpoint()
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; only a local session may do with its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give a path")
+    return tempfile.mkdtemp(prefix="convoeval-")
+
+
 def saved_runs(spark: SparkSession, path: str) -> DataFrame | None:
     """The runs stored at ``path``, or None if there are none yet."""
     try:
@@ -195,9 +207,8 @@ def saved_runs(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def final_answers(runs: DataFrame) -> DataFrame:
+def final_answers(runs: DataFrame, latest: int) -> DataFrame:
     """One row per request: its success, or its failure in the latest run."""
-    latest = runs.agg(F.max("run")).scalar()
     return runs.filter(F.col("call.error").isNull() | (F.col("run") == latest)).drop("run")
 
 
@@ -232,7 +243,7 @@ def infer_to_table(
     todo = unanswered(df, earlier, keys)
     asked = infer(todo, backends, provider, input_field, system_prompt, model_name, temperature, options)
     asked.write.mode("overwrite").parquet(f"{path}/run={run}")
-    return final_answers(spark.read.parquet(path))
+    return final_answers(spark.read.parquet(path), run)
 
 
 def without_waits(options: CallOptions = CallOptions()) -> CallOptions:

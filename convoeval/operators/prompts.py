@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convoeval import schemas
 
@@ -23,6 +25,9 @@ SYNTHESIS_INSTRUCTION = (
     "message. First name the company, then list the turns one per line."
 )
 
+PROMPTS_IN_PLAN = 4_000_000
+_SALTS = 256
+
 
 def judge_context(company: Column, transcript: Column) -> Column:
     """Company and transcript as one text. A missing company is printed as ``None``."""
@@ -78,9 +83,12 @@ def programs_table(spark: SparkSession, programs: Iterable[Mapping]) -> DataFram
         "model_name": None,
         "temperature": 0.0,
     }
-    names = schemas.PROGRAM.fieldNames()
-    rows = [tuple({**defaults, **p}[name] for name in names) for p in programs]
-    return spark.createDataFrame(rows, schemas.PROGRAM)
+    rows = [{**defaults, **program} for program in programs]
+    for row in rows:
+        row["demos"] = [{"input": given, "output": wanted} for given, wanted in row["demos"]]
+    # An Arrow table becomes a local relation, whose size the optimizer knows.
+    table = pa.Table.from_pylist(rows, schema=to_arrow_schema(schemas.PROGRAM))
+    return spark.createDataFrame(table, schemas.PROGRAM)
 
 
 def latest_programs(programs: DataFrame) -> DataFrame:
@@ -117,12 +125,11 @@ def with_program_prompts(
 ) -> DataFrame:
     """Every row with the prompts of every program of ``task``.
 
-    Rows and programs meet in an equi-join on the task. Which side is broadcast is left to
-    the size check of the optimizer; beyond it, the join is shuffled and the one hot task
-    value is divided by the skew handling of adaptive execution.
+    Prompts of up to ``PROMPTS_IN_PLAN`` characters travel with the tasks, and each row is
+    repeated per program where it is read: nothing is shuffled. A larger set is joined on a
+    salt, of which each row has one value and each program has all.
     """
     prompts = programs.filter(F.col("task") == task).select(
-        "task",
         "program_id",
         "version",
         "output_field",
@@ -130,9 +137,16 @@ def with_program_prompts(
         "temperature",
         program_system_prompt().alias("system_prompt"),
     )
-    return (
-        df.withColumn("task", F.lit(task))
-        .join(prompts, "task")
-        .drop("task")
-        .withColumn("user_prompt", program_user_prompt(F.col(input_field)))
-    )
+    if _characters(prompts) <= PROMPTS_IN_PLAN:
+        listed = prompts.agg(F.collect_list(F.struct(*prompts.columns)).alias("listed"))
+        out = df.select("*", F.inline(listed.scalar()))
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int")
+        out = df.withColumn("_salt", salt).join(prompts.withColumn("_salt", salts), "_salt").drop("_salt")
+    return out.withColumn("user_prompt", program_user_prompt(F.col(input_field)))
+
+
+def _characters(prompts: DataFrame) -> int:
+    """Size of the prompts: one number, from a job over the programs only."""
+    return prompts.agg(F.coalesce(F.sum(F.length("system_prompt") + 100), F.lit(0))).first()[0]

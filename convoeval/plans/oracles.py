@@ -110,9 +110,17 @@ ctx AS (
   FROM truncated)"""
 
 _IN_WORDS = _words("company_and_transcript")
-_REPLY = f"'Thank you. We read your ' || {_IN_WORDS} || ' words and will help.'"
+
+def _reply(n: str) -> str:
+    return (
+        f"'Thank you. We read your ' || ({n}) || ' words and will help.' || "
+        f"CASE WHEN {n} >= 100 THEN ' As this is a long story, we answer every point of it in turn.' ELSE '' END"
+    )
+
+
+_REPLY = _reply(_IN_WORDS)
 # A program prompt has one word more, the name of its input field.
-_PROGRAM_REPLY = f"'Thank you. We read your ' || ({_IN_WORDS} + 1) || ' words and will help.'"
+_PROGRAM_REPLY = _reply(f"{_IN_WORDS} + 1")
 _REPLY_WORDS = _words(_REPLY)
 _FAILS = f"{_IN_WORDS} < 40"
 _BUSY = "'ConnectionError: busy'"
@@ -430,11 +438,11 @@ asked AS (
   FROM ctx, (SELECT unnest(['openai', 'anthropic', 'gemini']) AS provider))
 SELECT provider, {_STATISTICS} FROM asked GROUP BY provider""",
     "verdict_distribution": f"""
-WITH {_CTX},
+WITH {_convs()},
 v AS (
-  SELECT CASE WHEN NOT starts_with({_last_line('truncated_conversation')}, 'Agent:')
-              THEN {_words(_last_line('truncated_conversation'))} >= {BASELINE_WORDS} END AS satisfied
-  FROM ctx),
+  SELECT CASE WHEN NOT starts_with({_last_line('conversation')}, 'Agent:')
+              THEN {_words(_last_line('conversation'))} >= {BASELINE_WORDS} END AS satisfied
+  FROM convs),
 c AS (
   SELECT count(*) AS total, count(*) FILTER (satisfied) AS t, count(*) FILTER (NOT satisfied) AS f FROM v),
 rows_ AS (SELECT 0 AS position, 'true' AS satisfied, t AS n, total FROM c
@@ -456,10 +464,12 @@ pairs AS (
          {_words(_last_line('company_and_transcript'))} >= 30 AS gold_standard
   FROM ctx), {_KAPPA}""",
     "judge_metric": f"""
-WITH {_PAIRS}
-SELECT doc_id, CAST(prediction = gold_standard AS INTEGER) AS metric,
-       0 AS judged_true, coalesce(nullif(lang, ''), nullif(source, '')) AS judged_transcript
-FROM pairs JOIN documents USING (doc_id)""",
+WITH said AS (
+  SELECT doc_id, lang, source, quality, {_words('text')} AS n FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, CAST((n >= 50) = (quality = 1) AS INTEGER) AS metric,
+       CAST(n >= {GOLD_WORDS} AS INTEGER) AS judged_true,
+       coalesce(nullif(lang, ''), nullif(source, '')) AS judged_transcript
+FROM said""",
     "program_evaluation": f"""
 WITH {_JUDGED} {_SCORES} WHERE least = {CANDIDATE_WORDS[1]} GROUP BY program_id""",
     "generator_evaluation": f"""

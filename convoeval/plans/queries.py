@@ -11,7 +11,7 @@ from convoeval import schemas
 from convoeval.functions.text import normalise_label, reading_ease, word_count
 from convoeval.operators import backends as B
 from convoeval.operators import candidates, comparison, metrics, prepare, prompts, responses, sampling, turns
-from convoeval.operators.inference import final_answers, infer, unanswered, without_waits
+from convoeval.operators.inference import final_answers, infer, materialise, unanswered, without_waits
 from convoeval.operators.language import language_tag
 from convoeval.plans import jobs
 from convoeval.sources import tables
@@ -46,11 +46,11 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.augmented_contexts(_conversations(spark, sf_dir), SEED, min_turns=1)
 
 
-def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as judge examples: transcript and gold verdict."""
+def _examples(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Labelled documents as judge examples: transcript, gold verdict and more columns."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     gold = labels.select("doc_id", F.when(F.col("quality") == 1, "True").otherwise("False").alias("gold_standard"))
-    return docs.select("doc_id", F.col("text").alias("transcript")).join(gold, "doc_id")
+    return docs.select("doc_id", F.col("text").alias("transcript"), *columns).join(gold, "doc_id")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,10 +457,12 @@ def resume_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run in which short contexts fail, and a second run over what is left."""
     ctx = _contexts(spark, sf_dir).select(KEY, "company_and_transcript")
     ask = {"provider": "model", "input_field": "company_and_transcript", "options": FAST}
-    first = infer(ctx, {"model": B.failing(B.rule_reply, _fails_on_short)}, **ask).withColumn("run", F.lit(0))
+    backend = B.failing(B.rule_reply, _fails_on_short)
+    # Stored, because the first run is used twice: its answers are kept and what is left is asked.
+    first = materialise(infer(ctx, {"model": backend}, **ask).withColumn("run", F.lit(0)))
     left = unanswered(ctx, first, [KEY])
     second = infer(left, {"model": B.rule_reply}, **ask).withColumn("run", F.lit(1))
-    return final_answers(first.union(second)).select(
+    return final_answers(first.union(second), latest=1).select(
         KEY, F.col("call.response_text").alias("llm_response"), F.col("call.error").alias("error")
     )
 
@@ -532,11 +534,11 @@ def provider_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def verdict_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of contexts; contexts that end with the agent are not judged."""
-    judged = _contexts(spark, sf_dir).select(
+    """Verdicts of conversations; those that end with the agent are not judged."""
+    text = F.col("conversation")
+    judged = _conversations(spark, sf_dir).select(
         F.when(
-            ~F.startswith(_last_line(F.col("truncated_conversation")), F.lit("Agent:")),
-            _word_rule(F.col("truncated_conversation"), BASELINE_WORDS),
+            ~F.startswith(_last_line(text), F.lit("Agent:")), _word_rule(text, BASELINE_WORDS)
         ).alias("satisfied")
     )
     return metrics.verdict_distribution(judged)
@@ -572,10 +574,8 @@ def judge_agreement_on_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact match per document, and the transcript that a judge metric would read."""
     shown = metrics.judged_transcript(F.col("lang"), F.col("source"))
-    rows = _examples(spark, sf_dir).join(
-        _table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id"
-    )
-    said = F.when(word_count(F.col("transcript")) >= GOLD_WORDS, " True").otherwise("FALSE")
+    rows = _examples(spark, sf_dir, "lang", "source").withColumn("n", word_count(F.col("transcript")))
+    said = F.when(F.col("n") >= GOLD_WORDS, "True").when(F.col("n") >= 50, " true").otherwise("FALSE")
     return rows.select(
         "doc_id",
         metrics.exact_match(F.col("gold_standard"), said).alias("metric"),
