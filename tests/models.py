@@ -1,0 +1,40 @@
+"""Small pure-Python models of the text rules, to test the expressions against."""
+
+import hashlib
+
+LABELS = {"Customer:": "customer", "User:": "customer", "Agent:": "agent", "Support:": "agent"}
+OTHER = {"customer": "agent", "agent": "customer"}
+
+
+def draw(seed, key):
+    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16)
+
+
+def turns(text):
+    out, speaker = [], "agent"
+    for line in filter(None, (raw.strip() for raw in text.split("\n"))):
+        label = next((name for name in LABELS if line.startswith(name)), None)
+        speaker = LABELS[label] if label else OTHER[speaker]
+        out.append((speaker, line[line.index(":") + 1 :].strip() if label else line))
+    return out
+
+
+def truncated(text, key, seed, min_turns, max_turns, customer_last):
+    all_turns = turns(text)
+    n = len(all_turns)
+    if n <= min_turns:
+        return text
+    hi = min(n, max_turns) if max_turns else n
+    cut = min_turns + draw(seed, key) % (hi - min_turns + 1)
+    if customer_last:
+        said = [i for i, (speaker, _) in enumerate(all_turns[:cut]) if speaker == "customer"]
+        cut = said[-1] + 1 if said else cut
+    return "\n".join(f"{speaker.capitalize()}: {words}" for speaker, words in all_turns[:cut])
+
+
+def company_and_conversation(text):
+    first, *others = text.split("\n\n")
+    if ":" not in first:
+        return None, None
+    _, _, conversation = "\n".join(others).partition(":")
+    return first.split(":")[1].strip(), conversation.strip()
