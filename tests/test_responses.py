@@ -1,0 +1,97 @@
+import json
+
+import pytest
+from conftest import column
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import models
+from convoeval import schemas
+from convoeval.operators import prompts, responses
+
+QUICK = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+TEXTS = st.lists(
+    st.lists(st.sampled_from(["Company", ":", " ", "\n", "\n\n", "A", "hi", "\t"]), max_size=14).map("".join),
+    min_size=1,
+    max_size=60,
+)
+
+
+def split(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, llm_response string")
+    out = responses.split_company_and_conversation(df)
+    return list(zip(column(out, "company"), column(out, "conversation")))
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Company: United\n\nConversation:\nCustomer: hi\n\nSupport: a:b", ("United", "Customer: hi\nSupport: a:b")),
+        ("Company: United\nConversation:\nCustomer: hi\nSupport: a:b", ("United\nConversation", "")),
+        ("Company: A: B\n\nConversation: x", ("A", "x")),
+        ("no colon", (None, None)),
+        (None, (None, None)),
+    ],
+)
+def test_split_edges(spark, text, expected):
+    assert split(spark, [text]) == [expected]
+
+
+@QUICK
+@given(TEXTS)
+def test_split_equals_model(spark, texts):
+    assert split(spark, texts) == [models.company_and_conversation(t) for t in texts]
+
+
+def test_context_and_transcript(spark):
+    df = spark.createDataFrame([(0, None, "t", None), (1, "A", "t", "r")], "k int, company string, t string, reply string")
+    context = prompts.judge_context(F.col("company"), F.col("t"))
+    out = df.withColumn("c", context).withColumn("o", prompts.output_transcript(F.col("c"), F.col("reply")))
+    assert column(out, "c") == ["Company: None\nTranscript so far: t", "Company: A\nTranscript so far: t"]
+    assert column(out, "o") == [None, "Company: A\nTranscript so far: t\nSupport: r"]
+
+
+def test_verdicts(spark):
+    texts = ['{"reasoning":"r","satisfied":"True"}', '{"reasoning":"r","satisfied":" FALSE "}', "oops", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    out = responses.extract_program_verdict(responses.add_checked_response(df, "t", schemas.PROGRAM_VERDICT))
+    assert column(out, "satisfied") == ["true", " false ", None, None]
+    assert column(out, "valid") == [True, True, False, None]
+
+
+def test_structured_validation(spark):
+    texts = ['{"satisfied":true,"explanation":"x"}', '{"satisfied":"maybe","explanation":"x"}', '{"explanation":"x"}', "[1]", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    out = responses.add_checked_response(df, "t", schemas.STRUCTURED_VERDICT)
+    assert column(out, "valid") == [True, False, False, False, False, None]
+    assert [r is None for r in column(out, "response")] == [False] + [True] * 5
+
+
+def test_usage_and_metadata_of_providers(spark):
+    raws = [
+        {"usage": {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3}, "choices": [{"finish_reason": "stop"}]},
+        {"usage": {"input_tokens": 4, "output_tokens": 5}},
+        {"usage_metadata": {"prompt_token_count": 6, "candidates_token_count": 7}},
+        {"raw": "x"},
+        {"error": "bad", "type": "t"},
+    ]
+    texts = [json.dumps(r) for r in raws] + ["not json", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, raw string").withColumn("m", responses.parse_metadata(F.col("raw")))
+    used = column(df.withColumn("u", responses.usage_of(F.col("m"))), "u")
+    assert [tuple(u) for u in used] == [(1, 2), (4, 5), (6, 7), (0, 0), (0, 0), (0, 0), (0, 0)]
+    normal = column(df.withColumn("n", responses.normalise_metadata(F.col("raw"), F.col("m"))), "n")
+    assert normal[-1] is None
+    assert [n["error"] for n in normal[:-1]] == [None, None, None, None, "bad", "metadata is not a JSON object"]
+    assert [n["usage"]["total_tokens"] for n in normal[:-1]] == [3, 9, 13, 0, 0, 0]
+    assert normal[0]["finish_reason"] == "stop"
+
+
+def test_latest_programs_and_demos(spark):
+    rows = [
+        {"program_id": "p", "version": v, "task": "judge", "instruction": f"v{v}", "output_field": "satisfied", "demos": [("a", "True")] * v}
+        for v in (1, 3, 2)
+    ]
+    [row] = prompts.latest_programs(prompts.programs_table(spark, rows)).collect()
+    assert (row["instruction"], len(row["demos"])) == ("v3", 3)
+    assert "credential" not in " ".join(row.asDict()) and "key" not in " ".join(row.asDict())

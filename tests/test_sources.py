@@ -1,0 +1,45 @@
+import pytest
+from pyspark.errors import AnalysisException
+
+from convoeval import schemas
+from convoeval.sources import tables
+
+
+def test_round_trip_and_missing_path(spark, tmp_path):
+    path = str(tmp_path / "new" / "folder" / "t")
+    df = tables.rows_to_table(spark, [("1", "A", "Customer: x")], schemas.CONVERSATION)
+    tables.save_table(df, path)
+    tables.save_table(df, path)
+    assert tables.load_table(spark, path).collect() == df.collect()
+    assert tables.read_conversations(spark, path).schema == schemas.CONVERSATION
+    with pytest.raises(AnalysisException):
+        tables.read_conversations(spark, str(tmp_path / "absent"))
+
+
+def test_named_splits_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    tables.save_splits(spark.createDataFrame([(1, "test"), (2, "train"), (3, "train")], "v int, split string"), path)
+    train = tables.read_split(spark, path, "train")
+    assert sorted(r["v"] for r in train.collect()) == [2, 3] and train.columns == ["v"]
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_ingest(spark, tmp_path):
+    texts = [" ".join(["w"] * n) for n in (19, 20, 49, 50)] + [None]
+    raw = spark.createDataFrame([(str(i), t, "x") for i, t in enumerate(texts)], "`Session Name` string, Text string, other string")
+    got = tables.ingest_seed_messages(raw)
+    assert got.columns == schemas.SEED_MESSAGE.fieldNames()
+    assert sorted((r["conversation_id"], r["number_of_words"]) for r in got.collect()) == [("1", 20), ("2", 49)]
+
+    (tmp_path / "raw.csv").write_text('Session Name,Text\n1,"a ""b""\nc, d"\n2,\n')
+    csv = tables.read_raw_messages(spark, str(tmp_path / "raw.csv"), "csv")
+    assert [r["Text"] for r in csv.collect()] == ['a "b"\nc, d', None]
+    with pytest.raises(ValueError):
+        tables.read_raw_messages(spark, "x", "xlsx")
+
+
+def test_preview(spark):
+    df = spark.range(10).repartition(3)
+    assert tables.preview_row(df, "id", 4).first()["id"] == 4
+    assert tables.preview_row(df, "id", 99).count() == 0
