@@ -130,7 +130,7 @@ def ingest_seed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def seed_message_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.seeded_sample(ingest_seed_messages(spark, sf_dir), 50, seed=0, strict=True)
+    return sampling.seeded_sample(ingest_seed_messages(spark, sf_dir), 50, seed=0)
 
 
 # --- preparation ------------------------------------------------------------------------
