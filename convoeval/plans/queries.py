@@ -38,6 +38,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(_table(spark, sf_dir, "documents"))
+
+
 def _conversations(spark: SparkSession, sf_dir: str, line_break: str = " ") -> DataFrame:
     return conversations_from_turns(_table(spark, sf_dir, "conversations"), line_break)
 
@@ -48,14 +52,14 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _examples(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Labelled documents as judge examples: transcript, gold verdict and more columns."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), _table(spark, sf_dir, "labels")
     gold = labels.select("doc_id", F.when(F.col("quality") == 1, "True").otherwise("False").alias("gold_standard"))
     return docs.select("doc_id", F.col("text").alias("transcript"), *columns).join(gold, "doc_id")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of a word-count rule next to the gold verdict, per labelled document."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), _table(spark, sf_dir, "labels")
     said = F.when(word_count(F.col("text")) >= GOLD_WORDS, " True").otherwise("FALSE")
     predictions = docs.select("doc_id", normalise_label(said).alias("satisfied"))
     gold = labels.select("doc_id", normalise_label(F.col("quality") == 1).alias("satisfied"))
@@ -152,18 +156,18 @@ def preprocess_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.add_word_count(
-        _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Text"))
+        _documents(spark, sf_dir).select("doc_id", F.col("text").alias("Text"))
     ).select("doc_id", "conversation_word_count")
 
 
 @query
 def language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", language_tag(F.col("text")).alias("language"))
+    return _documents(spark, sf_dir).select("doc_id", language_tag(F.col("text")).alias("language"))
 
 
 @query
 def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = _table(spark, sf_dir, "documents").select(
+    tagged = _documents(spark, sf_dir).select(
         F.col("lang").alias("gold_standard"), language_tag(F.col("text")).alias("prediction")
     )
     return metrics.confusion_matrix(tagged)
@@ -605,13 +609,13 @@ def generator_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _table(spark, sf_dir, "documents").select(word_count(F.col("text")).alias("n_words"))
+    counted = _documents(spark, sf_dir).select(word_count(F.col("text")).alias("n_words"))
     return metrics.histogram(counted, "n_words", low=0, width=50)
 
 
 @query
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", reading_ease(F.col("text")).alias("reading_ease"))
+    return _documents(spark, sf_dir).select("doc_id", reading_ease(F.col("text")).alias("reading_ease"))
 
 
 @query

@@ -67,6 +67,16 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return load_table(spark, path).filter(F.col("split") == split).drop("split")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few splits, spread over the cores of the session; others as they are.
+
+    Parquet is divided by row group at most, so a small table is often one task, however
+    much work its rows are. A table with at least one split per two cores is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def rows_to_table(spark: SparkSession, rows: Iterable, schema: T.StructType) -> DataFrame:
     """Literal rows as a table of a declared schema."""
     return spark.createDataFrame(rows, schema)
