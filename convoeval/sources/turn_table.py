@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # How the roles of a turn table are printed.
 SPEAKERS = {"user": "Customer", "assistant": "Agent"}
+# Turns that are joined to one text before the pieces of a conversation meet.
+PIECE = 1024
 
 
 def conversations_from_turns(turns: DataFrame, line_break: str = " ") -> DataFrame:
@@ -17,9 +19,10 @@ def conversations_from_turns(turns: DataFrame, line_break: str = " ") -> DataFra
     the company with its first word: no system turn gives a null company, and one that
     does not begin with a plain letter gives a blank company.
 
-    This is the one shuffle of the text. The map side already merges the turns of a
-    conversation that lie in the same file, and the text of one conversation is one value
-    of the result, so a task never holds more than the values it writes.
+    A conversation may hold a large share of all turns. Turns are therefore joined to text
+    in pieces of ``PIECE`` turns first, which spreads a long conversation over many tasks,
+    and the pieces are joined to the conversation: its task handles few large strings, and
+    not more text than the one value that it writes.
     """
     speaker = F.col("role")
     for role, name in SPEAKERS.items():
@@ -27,19 +30,22 @@ def conversations_from_turns(turns: DataFrame, line_break: str = " ") -> DataFra
     said = F.concat(speaker, F.lit(": "), F.regexp_replace("text", r"[\r\n]++", line_break))
     prepared = turns.select(
         F.col("conv_id").cast("string").alias("conversation_id"),
+        F.floor(F.col("turn") / PIECE).alias("piece"),
         "turn",
         F.when(F.col("role").isin(*SPEAKERS), said).alias("line"),
         F.when(F.col("role") == "system", F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("company"),
     )
     # collect_list skips the null structs of turns that are not spoken.
     line = F.when(F.col("line").isNotNull(), F.struct("turn", "line"))
+    pieces = (
+        prepared.groupBy("conversation_id", "piece")
+        .agg(F.max("company").alias("company"), F.array_sort(F.collect_list(line)).alias("lines"))
+        .select("conversation_id", "company", "piece", F.col("lines.line").alias("lines"))
+    )
+    text = F.when(F.size("lines") > 0, F.struct("piece", F.array_join("lines", "\n").alias("text")))
     return (
-        prepared.groupBy("conversation_id")
-        .agg(F.max("company").alias("company"), F.array_sort(F.collect_list(line)).alias("_lines"))
-        .filter(F.size("_lines") > 0)
-        .select(
-            "conversation_id",
-            "company",
-            F.array_join(F.col("_lines.line"), "\n").alias("conversation"),
-        )
+        pieces.groupBy("conversation_id")
+        .agg(F.max("company").alias("company"), F.array_sort(F.collect_list(text)).alias("texts"))
+        .filter(F.size("texts") > 0)
+        .select("conversation_id", "company", F.array_join("texts.text", "\n").alias("conversation"))
     )
