@@ -12,12 +12,21 @@ from convoeval.operators.inference import CallOptions, infer
 from convoeval.operators.metrics import token_statistics
 from convoeval.operators.prepare import key_as_string
 from convoeval.operators.responses import fold_text_call
+from convoeval.operators.sampling import assert_unique_key
 
 COMPARED = ("output_transcript", "explanation", "satisfied")
 
 
-def compare_runs(baseline: DataFrame, optimized: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """Transcript, explanation and verdict of both runs per conversation."""
+def compare_runs(
+    baseline: DataFrame, optimized: DataFrame, key: str = "conversation_id", check_keys: bool = False
+) -> DataFrame:
+    """Transcript, explanation and verdict of both runs per conversation.
+
+    ``check_keys`` raises if a run has a key twice.
+    """
+    if check_keys:
+        assert_unique_key(baseline, key)
+        assert_unique_key(optimized, key)
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return key_as_string(df, key).select(key, *(F.col(c).alias(f"{prefix}_{c}") for c in COMPARED))

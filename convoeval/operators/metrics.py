@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.functions.text import normalise_label
+from convoeval.operators.sampling import assert_unique_key
 
 # The verdict labels in report order.
 VERDICTS = ("true", "false")
@@ -21,8 +22,16 @@ def prediction_with_gold(
     key: str = "conversation_id",
     prediction: str = "satisfied",
     gold_standard: str = "satisfied",
+    check_keys: bool = False,
 ) -> DataFrame:
-    """``key, prediction, gold_standard`` for keys that both tables have."""
+    """``key, prediction, gold_standard`` for keys that both tables have.
+
+    A key that is not unique multiplies rows; ``check_keys`` raises then, at the cost of
+    counting the keys of both tables.
+    """
+    if check_keys:
+        assert_unique_key(predictions, key)
+        assert_unique_key(gold, key)
     return predictions.select(key, F.col(prediction).alias("prediction")).join(
         gold.select(key, F.col(gold_standard).alias("gold_standard")), key, "inner"
     )
@@ -184,10 +193,12 @@ def throughput(answers: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: str, low: float, width: float) -> DataFrame:
     """Rows per bin of equal width; bin 0 begins at ``low``. Missing values are left out."""
     bin_number = F.floor((F.col(value).cast("double") - float(low)) / float(width)).cast("bigint")
+    # Missing values are dropped by their count: a filter on the value would be pushed down
+    # and compute the value a second time.
     return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(bin_number.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.groupBy(bin_number.alias("bin"))
+        .agg(F.count(bin_number).alias("n"))
+        .filter(F.col("n") > 0)
         .withColumn("bin_start", float(low) + F.col("bin") * float(width))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convoeval.functions.columns import with_computed
 from convoeval.functions.text import strip, word_count
 from convoeval.operators.language import language_tag
 
@@ -42,13 +43,13 @@ def drop_unneeded_columns(df: DataFrame, drop_empty: Iterable[str] = ("llm_respo
 def add_word_count(df: DataFrame) -> DataFrame:
     """Add ``conversation_word_count``; unchanged if the table has no text column."""
     name = text_column(df)
-    return df if name is None else df.withColumn("conversation_word_count", word_count(F.col(name)))
+    return df if name is None else with_computed(df, "conversation_word_count", word_count(F.col(name)))
 
 
 def add_language(df: DataFrame) -> DataFrame:
     """Add ``conversation_language``; unchanged if the table has no text column."""
     name = text_column(df)
-    return df if name is None else df.withColumn("conversation_language", language_tag(F.col(name)))
+    return df if name is None else with_computed(df, "conversation_language", language_tag(F.col(name)))
 
 
 def preprocess(df: DataFrame, drop_empty: Iterable[str] = ("llm_response",)) -> DataFrame:

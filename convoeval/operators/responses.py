@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convoeval import schemas
+from convoeval.functions.columns import with_computed
 from convoeval.functions.text import strip
 
 _CORRUPT = "_corrupt"
@@ -60,6 +61,7 @@ def normalise_metadata(raw: Column, metadata: Column) -> Column:
             metadata["object"].alias("object"),
             metadata["raw"].alias("raw"),
             F.when(readable, metadata["error"]).otherwise("metadata is not a JSON object").alias("error"),
+            metadata["type"].alias("type"),
         ),
     )
 
@@ -75,7 +77,7 @@ def add_checked_response(df: DataFrame, text_field: str, schema: T.StructType, n
 
     Invalid text gives a null struct. Null text is neither valid nor invalid: ``valid`` is null.
     """
-    parsed = df.withColumn("_parsed", _checked_json(F.col(text_field), schema))
+    parsed = with_computed(df, "_parsed", _checked_json(F.col(text_field), schema))
     fits = F.col(f"_parsed.{_CORRUPT}").isNull()
     for field in schema.fieldNames():
         fits = fits & F.col(f"_parsed.{field}").isNotNull()
@@ -86,11 +88,13 @@ def add_checked_response(df: DataFrame, text_field: str, schema: T.StructType, n
     )
 
 
-_OUTCOME = ("llm_response", "response", "llm_metadata", "input_tokens", "output_tokens", "error", "attempts")
+_OUTCOME = (
+    "llm_response", "response", "llm_metadata", "metadata_raw", "input_tokens", "output_tokens", "error", "attempts"
+)
 
 
 def fold_text_call(df: DataFrame) -> DataFrame:
-    """``call`` as ``llm_response, llm_metadata, input_tokens, output_tokens, error, attempts``.
+    """``call`` as the columns of ``_OUTCOME``, but for the typed ``response``.
 
     Columns of these names left from an earlier stage are replaced.
     """
@@ -98,6 +102,7 @@ def fold_text_call(df: DataFrame) -> DataFrame:
     return (
         out.withColumn("llm_response", F.col("call.response_text"))
         .withColumn("llm_metadata", normalise_metadata(F.col("call.metadata_raw"), F.col("_meta")))
+        .withColumn("metadata_raw", F.col("call.metadata_raw"))
         .withColumn("_usage", usage_of(F.col("_meta")))
         .withColumn("input_tokens", F.col("_usage.input_tokens"))
         .withColumn("output_tokens", F.col("_usage.output_tokens"))
@@ -117,6 +122,7 @@ def fold_structured_call(df: DataFrame, schema: T.StructType = schemas.STRUCTURE
             F.when(F.col("valid") == F.lit(False), "response does not fit the schema").otherwise(F.col("error")),
         )
         .withColumn("llm_metadata", F.when(ok, F.col("llm_metadata")))
+        .withColumn("metadata_raw", F.when(ok, F.col("metadata_raw")))
         .withColumn("input_tokens", F.when(ok, F.col("input_tokens")).otherwise(0).cast("bigint"))
         .withColumn("output_tokens", F.when(ok, F.col("output_tokens")).otherwise(0).cast("bigint"))
         .drop("valid", "llm_response")

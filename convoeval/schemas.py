@@ -42,6 +42,7 @@ PROVIDER_METADATA = struct(
     finish_reason=STRING,
     stop_reason=STRING,
     error=STRING,
+    type=STRING,
     raw=STRING,
     usage=struct(
         prompt_tokens=LONG, completion_tokens=LONG, total_tokens=LONG, input_tokens=LONG, output_tokens=LONG

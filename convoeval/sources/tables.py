@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convoeval import schemas
+from convoeval.functions.columns import with_computed
 from convoeval.functions.text import word_count
 
 
@@ -27,12 +28,11 @@ def ingest_seed_messages(
     high: int = 50,
 ) -> DataFrame:
     """Raw messages to seeds: non-null text of ``low <= words < high``, id renamed."""
-    return (
-        raw.dropna(subset=[text_column])
-        .select(F.col(f"`{id_column}`").alias("conversation_id"), F.col(f"`{text_column}`").alias("Text"))
-        .withColumn("number_of_words", word_count(F.col("Text")))
-        .filter((F.col("number_of_words") >= low) & (F.col("number_of_words") < high))
+    seeds = raw.dropna(subset=[text_column]).select(
+        F.col(f"`{id_column}`").alias("conversation_id"), F.col(f"`{text_column}`").alias("Text")
     )
+    counted = with_computed(seeds, "number_of_words", word_count(F.col("Text")))
+    return counted.filter((F.col("number_of_words") >= low) & (F.col("number_of_words") < high))
 
 
 def read_raw_messages(

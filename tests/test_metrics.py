@@ -55,7 +55,9 @@ def test_kappa(spark):
 
 def test_join_drops_missing_keys(spark):
     p = spark.createDataFrame([("1", "true"), (None, "true")], "conversation_id string, satisfied string")
-    assert metrics.prediction_with_gold(p, p).count() == 1
+    assert metrics.prediction_with_gold(p, p, check_keys=True).count() == 1
+    with pytest.raises(ValueError):
+        metrics.prediction_with_gold(p, p.union(p.filter("conversation_id = '1'")), check_keys=True)
 
 
 def test_histogram(spark):
