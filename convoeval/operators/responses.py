@@ -98,17 +98,23 @@ def fold_text_call(df: DataFrame) -> DataFrame:
 
     Columns of these names left from an earlier stage are replaced.
     """
-    out = df.drop(*_OUTCOME).withColumn("_meta", parse_metadata(F.col("call.metadata_raw")))
+    meta = F.col("_meta")
+    used = usage_of(meta)
     return (
-        out.withColumn("llm_response", F.col("call.response_text"))
-        .withColumn("llm_metadata", normalise_metadata(F.col("call.metadata_raw"), F.col("_meta")))
-        .withColumn("metadata_raw", F.col("call.metadata_raw"))
-        .withColumn("_usage", usage_of(F.col("_meta")))
-        .withColumn("input_tokens", F.col("_usage.input_tokens"))
-        .withColumn("output_tokens", F.col("_usage.output_tokens"))
-        .withColumn("error", F.col("call.error"))
-        .withColumn("attempts", F.col("call.attempts"))
-        .drop("_meta", "_usage", "call")
+        df.drop(*_OUTCOME)
+        .withColumn("_meta", parse_metadata(F.col("call.metadata_raw")))
+        .withColumns(
+            {
+                "llm_response": F.col("call.response_text"),
+                "llm_metadata": normalise_metadata(F.col("call.metadata_raw"), meta),
+                "metadata_raw": F.col("call.metadata_raw"),
+                "input_tokens": used["input_tokens"],
+                "output_tokens": used["output_tokens"],
+                "error": F.col("call.error"),
+                "attempts": F.col("call.attempts"),
+            }
+        )
+        .drop("_meta", "call")
     )
 
 
@@ -116,30 +122,29 @@ def fold_structured_call(df: DataFrame, schema: T.StructType = schemas.STRUCTURE
     """``call`` as a typed ``response``. Text that does not fit the schema is a failed call."""
     out = add_checked_response(fold_text_call(df), "llm_response", schema)
     ok = F.coalesce(F.col("valid"), F.lit(False))
-    return (
-        out.withColumn(
-            "error",
-            F.when(F.col("valid") == F.lit(False), "response does not fit the schema").otherwise(F.col("error")),
-        )
-        .withColumn("llm_metadata", F.when(ok, F.col("llm_metadata")))
-        .withColumn("metadata_raw", F.when(ok, F.col("metadata_raw")))
-        .withColumn("input_tokens", F.when(ok, F.col("input_tokens")).otherwise(0).cast("bigint"))
-        .withColumn("output_tokens", F.when(ok, F.col("output_tokens")).otherwise(0).cast("bigint"))
-        .drop("valid", "llm_response")
-    )
+    misfit = F.when(F.col("valid") == F.lit(False), "response does not fit the schema")
+    return out.withColumns(
+        {
+            "error": F.coalesce(misfit, "error"),
+            "llm_metadata": F.when(ok, F.col("llm_metadata")),
+            "metadata_raw": F.when(ok, F.col("metadata_raw")),
+            "input_tokens": F.when(ok, F.col("input_tokens")).otherwise(0).cast("bigint"),
+            "output_tokens": F.when(ok, F.col("output_tokens")).otherwise(0).cast("bigint"),
+        }
+    ).drop("valid", "llm_response")
 
 
 def extract_structured_verdict(df: DataFrame, field: str = "response") -> DataFrame:
     """Add ``explanation`` and ``satisfied`` from STRUCT<satisfied BOOLEAN, explanation>."""
-    return df.withColumn("explanation", F.col(f"{field}.explanation")).withColumn(
-        "satisfied", F.col(f"{field}.satisfied")
+    return df.withColumns(
+        {"explanation": F.col(f"{field}.explanation"), "satisfied": F.col(f"{field}.satisfied")}
     )
 
 
 def extract_program_verdict(df: DataFrame, field: str = "response") -> DataFrame:
     """Add ``explanation`` (the reasoning) and ``satisfied`` (lower case, not stripped)."""
-    return df.withColumn("explanation", F.col(f"{field}.reasoning")).withColumn(
-        "satisfied", F.lower(F.col(f"{field}.satisfied"))
+    return df.withColumns(
+        {"explanation": F.col(f"{field}.reasoning"), "satisfied": F.lower(F.col(f"{field}.satisfied"))}
     )
 
 
@@ -164,6 +169,4 @@ def conversation_of(text: Column) -> Column:
 
 def split_company_and_conversation(df: DataFrame, field: str = "llm_response") -> DataFrame:
     """Add ``company`` and ``conversation`` from a synthesised text."""
-    return df.withColumn("company", company_of(F.col(field))).withColumn(
-        "conversation", conversation_of(F.col(field))
-    )
+    return df.withColumns({"company": company_of(F.col(field)), "conversation": conversation_of(F.col(field))})

@@ -17,8 +17,8 @@ from convoeval.functions.draws import DRAW_RANGE, draw
 
 
 def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
-    """Raise if a key occurs twice; counts are combined before the shuffle."""
-    repeated = df.groupBy(key).count().filter("count > 1").limit(1).collect()
+    """Raise if a key occurs twice (nulls are no keys); counts combine before the shuffle."""
+    repeated = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"{key} is not unique: {repeated[0][key]!r} occurs {repeated[0]['count']} times")
     return df

@@ -25,7 +25,9 @@ from convoeval.operators.responses import (
     fold_text_call,
     split_company_and_conversation,
 )
+from convoeval.operators.sampling import seeded_sample, train_test_split
 from convoeval.operators.turns import truncate_table
+from convoeval.sources.tables import save_splits
 
 
 def add_judge_context(df: DataFrame) -> DataFrame:
@@ -58,6 +60,26 @@ def generate_replies(
     )
 
 
+def generate_and_split(
+    conversations: DataFrame,
+    backend: Backend,
+    path: str,
+    n_samples: int = 400,
+    test_size: float = 0.4,
+    seed: int = 10,
+    truncate_seed: int = 101,
+    options: CallOptions = CallOptions(temperature=1.0),
+) -> None:
+    """Truncate, sample, reply and store as the splits ``train`` and ``test``.
+
+    Sample and split depend on the keys alone and are decided before the calls, so the
+    calls and the write are one stage and nothing is asked twice.
+    """
+    contexts = augmented_contexts(conversations, truncate_seed)
+    chosen = train_test_split(seeded_sample(contexts, n_samples, seed), test_size, seed)
+    save_splits(generate_replies(chosen, backend, options), path)
+
+
 def judge_structured(
     transcripts: DataFrame,
     backend: Backend,

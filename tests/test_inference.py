@@ -5,11 +5,13 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from convoeval import schemas
 from convoeval.operators import backends as B
 from convoeval.operators.inference import CallOptions, call_with_retry, infer, infer_to_table, materialise, without_waits
 from convoeval.operators.prompts import programs_table
 from convoeval.operators.responses import fold_structured_call, fold_text_call
-from convoeval.plans.jobs import judge_structured, judge_with_programs
+from convoeval.plans.jobs import generate_and_split, judge_structured, judge_with_programs
+from convoeval.sources.tables import read_split
 
 FAST = without_waits()
 
@@ -199,3 +201,12 @@ def test_many_programs_are_joined_on_a_salt(spark, monkeypatch):
     in_plan = verdicts()
     monkeypatch.setattr(prompts, "PROMPTS_IN_PLAN", 0)
     assert verdicts() == in_plan and len(in_plan) == 120
+
+
+def test_generate_and_split_asks_once_per_sampled_row(spark, tmp_path):
+    path, log = str(tmp_path / "splits"), str(tmp_path / "log")
+    rows = [(str(i), "A", f"Customer: q{i}\nAgent: a\nCustomer: r") for i in range(90)]
+    generate_and_split(spark.createDataFrame(rows, schemas.CONVERSATION), logged(log), path, 50, options=FAST)
+    assert lines(log, "call") == 50
+    assert read_split(spark, path, "test").count() == 20 and read_split(spark, path, "train").count() == 30
+    assert read_split(spark, path, "test").filter("output_transcript is null").count() == 0

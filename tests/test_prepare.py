@@ -49,10 +49,3 @@ def test_labelled_examples(spark):
     df = spark.createDataFrame([("7", "  text\n", 3, None)], "conversation_id string, t string, n int, s string")
     row = prepare.labelled_examples(df, {"transcript": "t", "n": "n", "satisfied": "s"}).first()
     assert row.asDict() == {"_id": "example_7", "transcript": "text", "n": 3, "satisfied": None}
-
-
-def test_a_costly_column_is_computed_once(spark):
-    df = prepare.add_word_count(spark.createDataFrame([("a b", 1), (None, 2)], "Text string, k int"))
-    kept = df.filter("conversation_word_count >= 2 or k = 2").filter("conversation_word_count is null or k = 1")
-    assert column(kept, "conversation_word_count") == [2, None]
-    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1

@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from convoeval.functions.columns import with_computed
 from convoeval.functions.draws import draw
 from convoeval.functions.text import WHITESPACE, normalise_label, reading_ease, strip, word_count
 from models import draw as model_draw
@@ -59,3 +60,10 @@ def test_draw_equals_model_and_ignores_partitions(spark):
     expected = [model_draw(7, i) for i in range(200)]
     assert column(df, "h") == expected
     assert column(df.repartition(17), "h") == expected
+
+
+def test_a_computed_column_is_computed_once(spark):
+    df = with_computed(texts_df(spark, ["a b", None, "c"]), "n", word_count(F.col("t")))
+    kept = df.filter("n >= 2 or k = 1").filter("n is null or k = 0")
+    assert column(kept, "n") == [2, None]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
