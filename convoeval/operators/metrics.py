@@ -76,7 +76,10 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     Kappa is null if chance alone gives full agreement. Shares are multiplied as doubles:
     the product of two large counts does not fit a long.
     """
-    cells = confusion_matrix(pairs.dropna(subset=["prediction", "gold_standard"]))
+    # Pairs without a verdict are dropped by their count: a filter on the verdicts would be
+    # pushed down and compute them a second time.
+    both = F.col("prediction").isNotNull() & F.col("gold_standard").isNotNull()
+    cells = pairs.groupBy("gold_standard", "prediction").agg(F.count_if(both).alias("n")).filter(F.col("n") > 0)
     # Each cell adds to the margins of two labels.
     margins = (
         cells.select(

@@ -14,8 +14,8 @@ _CORRUPT = "_corrupt"
 
 
 def parse_metadata(raw: Column) -> Column:
-    """Provider metadata JSON as one declared struct; null for null or unreadable text."""
-    return F.from_json(raw, schemas.PROVIDER_METADATA, {"mode": "PERMISSIVE"})
+    """Provider metadata JSON as one declared struct + ``_corrupt``, in one pass."""
+    return _checked_json(raw, schemas.PROVIDER_METADATA)
 
 
 def usage_of(metadata: Column) -> Column:
@@ -36,7 +36,7 @@ def normalise_metadata(raw: Column, metadata: Column) -> Column:
 
     ``metadata`` is ``parse_metadata(raw)``, given as a column so that it is parsed once.
     """
-    readable = F.coalesce(F.get_json_object(raw, "$").startswith("{"), F.lit(False))
+    readable = metadata.isNotNull() & metadata[_CORRUPT].isNull()
     used = usage_of(metadata)
     total = F.coalesce(
         metadata["usage"]["total_tokens"],
@@ -60,7 +60,7 @@ def normalise_metadata(raw: Column, metadata: Column) -> Column:
             reason.alias("finish_reason"),
             metadata["object"].alias("object"),
             metadata["raw"].alias("raw"),
-            F.when(readable, metadata["error"]).otherwise("metadata is not a JSON object").alias("error"),
+            F.when(readable, metadata["error"]).otherwise("metadata cannot be read").alias("error"),
             metadata["type"].alias("type"),
         ),
     )

@@ -357,7 +357,7 @@ SELECT conv_id, turn, kind,
        CASE WHEN kind = 'none' THEN NULL WHEN {_COUNTED} THEN made ELSE 0 END AS completion_tokens,
        CASE WHEN kind = 'none' THEN NULL WHEN {_COUNTED} THEN given + made ELSE 0 END AS total_tokens,
        CASE kind WHEN 'no_usage' THEN 'text only' END AS raw,
-       CASE kind WHEN 'broken' THEN 'metadata is not a JSON object' END AS error
+       CASE kind WHEN 'broken' THEN 'metadata cannot be read' END AS error
 FROM m""",
     "structured_verdicts": f"""
 WITH {_VERDICT_TEXTS}

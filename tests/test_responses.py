@@ -82,7 +82,7 @@ def test_usage_and_metadata_of_providers(spark):
     assert [tuple(u) for u in used] == [(1, 2), (4, 5), (6, 7), (0, 0), (0, 0), (0, 0), (0, 0)]
     normal = column(df.withColumn("n", responses.normalise_metadata(F.col("raw"), F.col("m"))), "n")
     assert normal[-1] is None
-    assert [n["error"] for n in normal[:-1]] == [None, None, None, None, "bad", "metadata is not a JSON object"]
+    assert [n["error"] for n in normal[:-1]] == [None, None, None, None, "bad", "metadata cannot be read"]
     assert [n["usage"]["total_tokens"] for n in normal[:-1]] == [3, 9, 13, 0, 0, 0]
     assert normal[0]["finish_reason"] == "stop"
 
