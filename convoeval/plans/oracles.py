@@ -45,7 +45,7 @@ def _convs(line_break: str = " ") -> str:
 said AS (
   SELECT CAST(conv_id AS VARCHAR) AS conversation_id, turn,
          CASE role WHEN 'user' THEN 'Customer' WHEN 'assistant' THEN 'Agent' END
-           || ': ' || regexp_replace(text, '[\\r\\n]+', {put}, 'g') AS line,
+           || ': ' || regexp_replace(text, '\\r\\n|\\r|\\n', {put}, 'g') AS line,
          CASE WHEN role = 'system' THEN regexp_extract(text, '^[A-Za-z]+') END AS company
   FROM conversations),
 convs AS (

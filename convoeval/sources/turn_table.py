@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How the roles of a turn table are printed.
@@ -11,6 +11,13 @@ SPEAKERS = {"user": "Customer", "assistant": "Agent"}
 PIECE = 1024
 
 
+def _with_line_breaks(text: Column, line_break: str) -> Column:
+    """Every kind of line break as ``line_break``. Plain replacement is faster than a regex."""
+    for found in ("\r\n", "\r"):
+        text = F.replace(text, F.lit(found), F.lit("\n"))
+    return text if line_break == "\n" else F.replace(text, F.lit("\n"), F.lit(line_break))
+
+
 def conversations_from_turns(turns: DataFrame, line_break: str = " ") -> DataFrame:
     """``conv_id, turn, role, text`` rows as ``conversation_id, company, conversation``.
 
@@ -27,7 +34,7 @@ def conversations_from_turns(turns: DataFrame, line_break: str = " ") -> DataFra
     speaker = F.col("role")
     for role, name in SPEAKERS.items():
         speaker = F.when(F.col("role") == role, name).otherwise(speaker)
-    said = F.concat(speaker, F.lit(": "), F.regexp_replace("text", r"[\r\n]++", line_break))
+    said = F.concat(speaker, F.lit(": "), _with_line_breaks(F.col("text"), line_break))
     prepared = turns.select(
         F.col("conv_id").cast("string").alias("conversation_id"),
         F.floor(F.col("turn") / PIECE).alias("piece"),
