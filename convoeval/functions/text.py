@@ -22,6 +22,9 @@ WS_CLASS = (
 
 # The characters of it that a regular expression's \s leaves out.
 _BEYOND_REGEX = "".join(c for c in WHITESPACE if c not in "\t\n\x0b\x0c\r ")
+# A word if all whitespace is Latin-1, and the range in which the other whitespace lies.
+_LATIN_WORD = r"[^\t\n\x0B\f\r \x1C\x1D\x1E\x1F\x{85}\x{A0}]+"
+_BEYOND_LATIN = r"[\x{1680}-\x{3000}]"
 
 # Sentence ends and vowels of the reading-ease formula.
 SENTENCE_ENDS = "[.!?]+"
@@ -39,8 +42,13 @@ def _regex_spaces(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    """Number of whitespace-separated words; null stays null, blank text is 0."""
-    return F.regexp_count(_regex_spaces(col), F.lit(r"\S+")).cast("bigint")
+    """Number of whitespace-separated words; null stays null, blank text is 0.
+
+    Most texts have no character in the range of the rarer spaces and are counted directly.
+    """
+    rarer = F.regexp_count(_regex_spaces(col), F.lit(r"\S+"))
+    usual = F.regexp_count(col, F.lit(_LATIN_WORD))
+    return F.when(col.rlike(_BEYOND_LATIN), rarer).otherwise(usual).cast("bigint")
 
 
 def normalise_label(col: Column) -> Column:

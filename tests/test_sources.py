@@ -43,3 +43,11 @@ def test_preview(spark):
     df = spark.range(10).repartition(3)
     assert tables.preview_row(df, "id", 4).first()["id"] == 4
     assert tables.preview_row(df, "id", 99).count() == 0
+
+
+def test_only_tables_of_few_splits_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100).repartition(1), spark.range(100).repartition(cores)
+    assert tables.spread(few).rdd.getNumPartitions() == cores
+    assert tables.spread(many) is many
+    assert tables.spread(few).count() == 100
