@@ -103,7 +103,7 @@ def _caller(backends: Mapping[str, Backend], options: CallOptions):
                 "system": system,
                 "user": user,
                 "model_name": model_name,
-                "temperature": temperature,
+                "temperature": None if pd.isna(temperature) else temperature,
                 "max_tokens": options.max_tokens,
             }
             answer = call_with_retry(clients[provider], request, options)

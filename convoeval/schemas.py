@@ -15,8 +15,6 @@ def struct(**fields: T.DataType) -> T.StructType:
 
 SEED_MESSAGE = struct(conversation_id=STRING, Text=STRING, number_of_words=LONG)
 CONVERSATION = struct(conversation_id=STRING, company=STRING, conversation=STRING)
-TURN = struct(i=INT, role=STRING, content=STRING)
-MESSAGE = struct(role=STRING, content=STRING)
 
 # What a model call returns for one row, before any of it is interpreted.
 CALL = struct(
@@ -31,7 +29,6 @@ CALL = struct(
 STRUCTURED_VERDICT = struct(satisfied=BOOLEAN, explanation=STRING)
 PROGRAM_VERDICT = struct(reasoning=STRING, satisfied=STRING)
 PROGRAM_REPLY = struct(reasoning=STRING, llm_response=STRING)
-USAGE = struct(input_tokens=LONG, output_tokens=LONG)
 
 # One declared shape that covers the metadata of every supported provider.
 PROVIDER_METADATA = struct(
