@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from convoeval.functions.draws import DRAW_RANGE, draw
 
+# Rows up to which the k-th key is found by a top-k, which holds them in one task.
+TOP_K = 10_000
+
 
 def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
     """Raise if a key occurs twice (nulls are no keys); counts combine before the shuffle."""
@@ -122,8 +125,35 @@ def train_test_split(
 
 
 def _kth_key(df: DataFrame, key: str, k: int) -> Column:
-    """The k-th key in order: a top-k over the key column only."""
-    return df.select(key).orderBy(key).limit(k).agg(F.max(key)).scalar()
+    """The k-th key in order (the last if there are fewer), reading the key column only.
+
+    A small ``k`` is a top-k. A large one is located first: the keys are counted by range,
+    one row per partition comes back, and the range that holds the k-th key is searched.
+    """
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    top_k = keys.orderBy(key).limit(k).agg(F.max(key)).scalar()
+    if k <= TOP_K:
+        return top_k
+    ranges = (
+        keys.repartitionByRange(key)
+        .withColumn("part", F.spark_partition_id())
+        .groupBy("part")
+        .agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"))
+        .orderBy("low")
+        .collect()
+    )
+    before = 0
+    for found in ranges:
+        if before + found["n"] < k:
+            before += found["n"]
+        elif found["low"] == found["high"]:
+            return F.lit(found["low"])
+        elif len(ranges) == 1:
+            return top_k  # so few bytes that adaptive execution made one partition of them
+        else:
+            within = df.filter(F.col(key).between(F.lit(found["low"]), F.lit(found["high"])))
+            return _kth_key(within, key, k - before)
+    return F.lit(ranges[-1]["high"] if ranges else None)
 
 
 def head_slice(df: DataFrame, k: int, key: str = "conversation_id") -> DataFrame:

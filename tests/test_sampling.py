@@ -75,6 +75,23 @@ def test_slices(spark):
     assert sampling.head_slice(df, 99).count() == 50 and sampling.tail_slice(df, 99).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 3, 20, 57, 300, 499, 500, 900])
+def test_long_slices_are_located_by_range(spark, monkeypatch, k):
+    monkeypatch.setattr(sampling, "TOP_K", 3)
+    order = sorted(map(str, range(500)))
+    assert ids(sampling.head_slice(table(spark, 500), k)) == order[:k]
+    assert ids(sampling.tail_slice(table(spark, 500), k)) == order[k:]
+
+
+def test_long_slice_of_a_hot_key_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "TOP_K", 3)
+    hot = table(spark, 300).withColumn("conversation_id", F.when(F.col("v") < 200, "5").otherwise(F.col("conversation_id")))
+    head, tail = sampling.head_slice(hot, 250), sampling.tail_slice(hot, 250)
+    assert head.count() + tail.count() == 300 and head.filter("conversation_id = '5'").count() == 100
+    nothing = table(spark, 5).filter("v < 0")
+    assert sampling.head_slice(nothing, 9).count() == 0
+
+
 def test_sample_does_not_shuffle_the_table(spark):
     plan = sampling.seeded_sample(table(spark, 100).select("*"), 10)._jdf.queryExecution().toString()
     assert "TakeOrdered" not in plan and "Window" not in plan
