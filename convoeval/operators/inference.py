@@ -183,18 +183,23 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
         return spark.read.schema(df.schema).parquet(path)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_checkpoint_dir(spark))
+        context.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; only a local session may do with its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names, or that this session has set.
+
+    Only a local session that has neither gets a folder of its own, once.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give a path")
-    return tempfile.mkdtemp(prefix="convoeval-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="convoeval-"))
+    return context.getCheckpointDir()
 
 
 def saved_runs(spark: SparkSession, path: str) -> DataFrame | None:

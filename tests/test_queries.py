@@ -4,7 +4,7 @@ import __spark_entry__ as entry_module
 import pytest
 from compare import differences, duckdb_on
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = entry_module.QUERIES, entry_module.ORACLES
 
 
 @pytest.fixture(scope="module")
