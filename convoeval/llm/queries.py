@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe
+from convoeval.llm import bpe, quality_cnn
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_quality_network(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = quality_cnn.classify(documents, _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
 @_query
 def op2_bpe_round_trip(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -76,3 +76,35 @@ def held_out(key: Column, classes: int, left_out: int) -> Column:
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Enough partitions for ``rows``, and no fewer than the session's shuffles use."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+
+
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int
+) -> list[tuple[bytes, int]]:
+    """Texts and labels to train on: at most ``rows`` of them and ``most_bytes`` of text.
+
+    Whole texts of documents that are not held out (modulo 5), in an order by hash, so that the
+    sample does not depend on how the table is laid out. A text that would exceed the bound is
+    passed over. The first pass sees only keys and lengths; the second fetches the chosen texts.
+    """
+    doc, y = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), F.col(label).cast("int")
+    wanted = labels.filter(y.isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", y.alias("_y")).distinct()
+    draw = F.xxhash64(F.lit("sample"), "doc_id")
+    sized = doc.select("doc_id", F.octet_length("_text").alias("_bytes")).join(wanted, "doc_id")
+    first = sized.orderBy(draw, "doc_id", "_y", "_bytes").limit(rows).collect()
+    chosen, left = {}, most_bytes
+    for r in first:
+        if r["_bytes"] <= left:
+            left -= r["_bytes"]
+            chosen.setdefault(r["doc_id"], []).append((r["_bytes"], r["_y"]))
+    if not chosen:
+        return []
+    keys = documents.sparkSession.createDataFrame([(k,) for k in chosen], f"doc_id {dict(documents.dtypes)['doc_id']}")
+    texts: dict = {}
+    for r in doc.join(F.broadcast(keys), "doc_id").select("doc_id", "_text").collect():
+        texts.setdefault((r["doc_id"], len(raw := r["_text"].encode())), []).append(raw)
+    out = []
+    for k, uses in chosen.items():
+        for size, label_value in uses:
+            out += [(t, label_value) for t in sorted(texts.get((k, size), []))[:1]]
+    return out
