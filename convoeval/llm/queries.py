@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, quality_cnn
+from convoeval.llm import bpe, quality_cnn, rules, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,3 +37,16 @@ def op2_bpe_round_trip(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_decode(documents, TOKENIZER)
     return done.select("doc_id", F.col("n_tokens").cast("long"), "ids_sha256", "decoded_sha256")
+
+
+@_query
+def op4_toxicity(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.classify(documents, _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op7_quality_rules(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(documents).select("doc_id", *rules.COUNTS, "base_failed", "kept", "posterior")
