@@ -115,8 +115,8 @@ class Vocabulary:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class _Pieces(dict):
-    """Piece -> its ids as 32-bit numbers. Filled on demand, emptied when full."""
+class Remembered(dict):
+    """Text -> its ids as 32-bit numbers. Filled on demand, emptied when full."""
 
     def __init__(self, encode: Callable[[str], bytes], limit: int = CACHED):
         self.encode, self.limit = encode, limit
@@ -133,33 +133,27 @@ class _Pieces(dict):
 class TextEncoder:
     """Whole texts to ids, as the bytes of 32-bit numbers.
 
-    ``word_ids`` gives the ids of one word of the pattern, as UTF-8 bytes.
+    ``run`` encodes a span without added tokens. It sees each piece of a text by itself, which
+    gives the ids of the whole text because the pattern has a border wherever pieces meet.
     """
 
-    def __init__(self, added: dict[str, int], word_ids: Callable[[bytes], list[int]]):
-        self.words = _Pieces(lambda w: array("I", word_ids(w.encode())).tobytes())
-        self.pieces = _Pieces(self._piece)
-        self.split = regex.compile(PATTERN).findall
+    def __init__(self, added: dict[str, int], run: Callable[[str], bytes]):
+        self.run = run
+        # The space before a piece is not in its key; a newline is.
+        self.pieces = Remembered(lambda p: run(p if p[:1] == "\n" else " " + p))
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
         # As the library does: at each place the longest added token.
         longest = sorted(added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece. The space before it is not in its key; a newline is."""
-        return self._run(piece if piece[:1] == "\n" else " " + piece)
-
-    def _run(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
-
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         # Single spaces and newlines between other characters are the plain case.
         if text.replace("\n", " ").split(" ") != text.split():
-            return b"".join(self._run(part) for part in _BORDER.split(text))
+            return b"".join(self.run(part) for part in _BORDER.split(text))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self._run(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.run(first) + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
@@ -167,6 +161,13 @@ class TextEncoder:
         return b"".join(self.added.get(p) or self._plain(p) for p in self.special.split(text))
 
 
+def queue_encoder(vocabulary: Vocabulary) -> TextEncoder:
+    """Encodes words by the queue of merge ranks."""
+    words = Remembered(lambda w: array("I", vocabulary.merge(w.encode())).tobytes())
+    split = regex.compile(PATTERN).findall
+    return TextEncoder(vocabulary.added, lambda t: b"".join(map(words.__getitem__, split(t))))
+
+
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -181,7 +182,7 @@ def encode_decode(documents: DataFrame, vocabulary: str, text: str = "text") ->
 
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocab = Vocabulary(vocabulary)
-        encoder = TextEncoder(vocab.added, vocab.merge)
+        encoder = queue_encoder(vocab)
         decimal = [str(i) for i in range(vocab.size)]
         for batch in batches:
             rows = []

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, quality_cnn, rules, toxicity
+from convoeval.llm import bpe, packing, quality_cnn, rules, token_store, toxicity
+from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -50,3 +51,14 @@ def op4_toxicity(spark, sf_dir):
 def op7_quality_rules(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.judge(documents).select("doc_id", *rules.COUNTS, "base_failed", "kept", "posterior")
+
+
+@_query
+def op8_token_shards(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_store.write_and_read(documents, work_folder(spark, "tokens"), TOKENIZER)
+
+
+@_query
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
