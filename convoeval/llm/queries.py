@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, packing, quality_cnn, rules, token_store, toxicity
+from convoeval.llm import bpe, packing, quality_cnn, rules, token_store, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,3 +62,16 @@ def op8_token_shards(spark, sf_dir):
 @_query
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+
+
+@_query
+def op5_warc(spark, sf_dir):
+    folder = work_folder(spark, "warc")
+    records = warc.read(warc.write(_table(spark, sf_dir, "pages"), folder), folder)
+    return records.select(
+        F.col("page_id").cast("long"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long"),
+    )
