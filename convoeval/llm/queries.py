@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, packing, quality_cnn, rules, token_store, toxicity, warc
+from convoeval.llm import bpe, packing, quality_cnn, rules, token_store, topk, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,29 @@ def op2_bpe_round_trip(spark, sf_dir):
     return done.select("doc_id", F.col("n_tokens").cast("long"), "ids_sha256", "decoded_sha256")
 
 
+@_query
+def op3_pivot_top_k(spark, sf_dir):
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op3_pivot_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @_query
 def op4_toxicity(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
