@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, packing, quality_cnn, rules, token_store, topk, toxicity, warc
+from convoeval.llm import bpe, lm, packing, quality_cnn, rules, token_store, topk, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,3 +98,8 @@ def op5_warc(spark, sf_dir):
         "record_type",
         F.col("refers_to").cast("long"),
     )
+
+
+@_query
+def op10_language_model(spark, sf_dir):
+    return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
