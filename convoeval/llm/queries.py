@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, lm, packing, quality_cnn, rules, token_store, topk, toxicity, warc
+from convoeval.llm import bpe, jaccard, lm, packing, quality_cnn, rules, token_store, topk, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,11 @@ def op4_toxicity(spark, sf_dir):
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
+@_query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op7_quality_rules(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -108,3 +108,14 @@ def labelled_sample(
         for size, label_value in uses:
             out += [(t, label_value) for t in sorted(texts.get((k, size), []))[:1]]
     return out
+
+
+def join_spread(rows: DataFrame, values: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """Join ``values``, one row per key, to ``rows``, of which one key may have a large share.
+
+    Rows are dealt over ``salts`` parts of their key, and only the parts that occur are joined.
+    """
+    others = [c for c in rows.columns if c != key]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
+    parts = salted.select(key, "_salt").distinct().join(values, key)
+    return salted.join(parts, [key, "_salt"], how).drop("_salt")
