@@ -382,3 +382,14 @@ def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id"
     out = join_spread(docs, of_set, "set")
     own = F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(documents: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near duplicates: of each component the one with the smallest key.
+
+    Of rows with the same key one stays. Rows without key cannot be told apart and all stay.
+    """
+    joined = join(documents, options, key, text)
+    chosen = joined.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = documents.join(chosen, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
+    return kept.unionByName(documents.filter(F.col(key).isNull()))

@@ -108,3 +108,11 @@ def op5_warc(spark, sf_dir):
 @_query
 def op10_language_model(spark, sf_dir):
     return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# The pipeline of these operators; it lies at the top of the repository and is part of them.
+import corpus_pipeline  # noqa: E402
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

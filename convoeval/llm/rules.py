@@ -176,16 +176,24 @@ def posterior(accuracies: Accuracies, rules: tuple[Rule, ...] = RULES) -> Column
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, text: str = "text") -> DataFrame:
+def judge(
+    documents: DataFrame,
+    rules: tuple[Rule, ...] = RULES,
+    threshold: float = 0.5,
+    text: str = "text",
+    keep_text: bool = False,
+) -> DataFrame:
     """Add the counts, ``base_failed``, ``posterior`` and ``kept`` to every document.
 
-    The counts are computed once and stored in the shared folder with the other columns but the
-    text; a first pass counts vote patterns, a second applies what was estimated from them.
-    Columns of the added names are replaced. A null text has no words and fails the base rule, as
-    does an empty one. Repeated rows and null keys stay; an empty table gives an empty one.
+    The counts are computed once and stored in the shared folder with the other columns, with the
+    text only if ``keep_text`` asks for it back; a first pass counts vote patterns, a second
+    applies what was estimated from them. Columns of the added names are replaced. A null text has
+    no words and fails the base rule, as does an empty one. Repeated rows and null keys stay; an
+    empty table gives an empty one.
     """
-    counted = counts(documents, text).drop(text)
-    rated = votes(stored(counted, work_folder(documents.sparkSession, "rules")), rules)
+    counted = counts(documents, text)
+    counted = votes(counted if keep_text else counted.drop(text), rules)
+    rated = stored(counted, work_folder(documents.sparkSession, "rules"))
     names = [f"vote_{r.name}" for r in rules]
     found = {tuple(r[n] for n in names): r["count"] for r in rated.groupBy(*names).count().collect()}
     accuracies = estimate(found, len(rules))
