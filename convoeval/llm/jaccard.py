@@ -102,11 +102,11 @@ class Orders:
 
 
 def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
-    """(key, n, set, tokens, counts): a row per document, and rows of tokens that came up often.
+    """(key, n, set, tokens, counts): a row per document, and rows (n = -1) of tokens that came up often.
 
-    A task counts its tokens so many at a time and reports those of three sets or more.
+    A task counts its tokens so many at a time and reports those of three sets or more. Keys travel
+    as text, since pandas has no exact whole numbers beside nulls.
     """
-    kind = dict(documents.dtypes)[key]
     columns = [key, "n", "set", "tokens", "counts"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,33 +115,34 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
         def often() -> pd.DataFrame:
             tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
             many = counts >= 3
-            row = [None, None, None, tokens[many].view(np.int64).tolist(), counts[many].tolist()]
+            row = [None, -1, 0, tokens[many].view(np.int64).tolist(), counts[many].tolist()]
             return pd.DataFrame([row], columns=columns)
 
         for batch in batches:
             rows = []
             for k, t in zip(batch["_key"].tolist(), batch["_text"]):
                 tokens = shingles(t)
-                own = set_id(tokens) if len(tokens) else None
-                rows.append((None if k != k else k, len(tokens), own, None, None))
-                if own is not None and own not in seen:
+                own = set_id(tokens) if len(tokens) else 0
+                rows.append((k, len(tokens), own, None, None))
+                if len(tokens) and own not in seen:
                     seen.add(own)
                     kept.append(tokens)
                     size += len(tokens)
-            yield pd.DataFrame(rows, columns=columns).astype({"n": "Int64", "set": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
             if size >= o.counted:
                 yield often()
                 kept, size = [], 0
         if kept:
             yield often()
 
-    rows = documents.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    return rows.mapInPandas(read, f"`{key}` {kind}, n long, set long, tokens array<long>, counts array<int>")
+    rows = documents.select(F.col(key).cast("string").alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
+    out = rows.mapInPandas(read, f"`{key}` string, n long, set long, tokens array<long>, counts array<int>")
+    return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 
 def frequent_tokens(read: DataFrame, o: Options, percent: int) -> Orders:
     """The orders that put the most frequent tokens last. Their number is bounded."""
-    each = read.filter(F.col("tokens").isNotNull()).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
+    each = read.filter("n < 0").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     sums = each.groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
     top = sums.orderBy(F.desc("n"), "token").limit(o.frequent).toPandas()
     return Orders(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), percent)
@@ -348,7 +349,7 @@ def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id"
     folder = work_folder(spark, "jaccard")
     read = stored(read_sets(documents, o, key, text), f"{folder}/sets")
     orders = frequent_tokens(read, o, o.percent)
-    docs = read.filter(F.col("tokens").isNull()).select(key, "n", "set")
+    docs = read.filter("n >= 0").select(key, "n", "set")
 
     total = docs.agg(F.sum("n")).first()[0] or 0
     shards = partitions_for(spark, total * (100 - o.percent) // 100, o.shard_rows)

@@ -50,29 +50,24 @@ def plan(histogram: dict[int, int], size: int) -> list[Step]:
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
         while left:
-            room = next((r for r in range(length, size) if open_.get(r)), None)
-            if room is None:
-                # Of new sequences, each takes as many as it can before the next is opened.
-                each = size // length
-                full, more = divmod(left, each)
-                for count, pieces in ((full, each), (1 if more else 0, more)):
-                    if not count:
-                        continue
-                    for k in range(pieces):
-                        steps.append(Step(length, rank, rank + count, sequences, k * length))
-                        rank += count
-                    if size - pieces * length:
-                        open_[size - pieces * length].append((sequences, sequences + count))
-                    sequences += count
-                break
-            lo, hi = open_[room].pop()
-            used = min(left, hi - lo)
-            steps.append(Step(length, rank, rank + used, lo, size - room))
-            rank, left = rank + used, left - used
-            if lo + used < hi:
-                open_[room].append((lo + used, hi))
-            if room > length:
-                open_[room - length].append((lo, lo + used))
+            room = next((r for r in range(length, size) if open_.get(r)), size)
+            each = room // length  # what a sequence takes of this length before the next one does
+            if room < size:
+                lo, hi = open_[room].pop()
+            else:
+                lo = sequences
+                hi = sequences = lo + -(-left // each)
+            full = min(left // each, hi - lo)
+            # Sequences that take all they can; without any, one that takes the rest.
+            count, pieces = (full, each) if full else (1, left)
+            for k in range(pieces):
+                steps.append(Step(length, rank, rank + count, lo, size - room + k * length))
+                rank += count
+            left -= count * pieces
+            if lo + count < hi:
+                open_[room].append((lo + count, hi))
+            if room > pieces * length:
+                open_[room - pieces * length].append((lo, lo + count))
     return steps
 
 
@@ -80,10 +75,10 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, key: st
     """(key, piece, start, length, ids_crc32) of every document, ``end_id`` included.
 
     Only documents longer than ``size`` are cut. Their pieces have ``size`` tokens but for the
-    first, which has what remains.
+    first, which has what remains. Keys travel as text, since pandas has no exact whole numbers
+    beside nulls.
     """
     end = np.array([end_id], np.uint32).tobytes()
-    kind = dict(documents.dtypes)[key]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = library_encoder(tokenizer)
@@ -98,8 +93,9 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, key: st
                     start, piece = start + length, piece + 1
             yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"])
 
-    rows = documents.select(key, F.coalesce(text, F.lit("")).alias("_text"))
-    return rows.mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    rows = documents.select(F.col(key).cast("string").alias(key), F.coalesce(text, F.lit("")).alias("_text"))
+    out = rows.mapInPandas(cut, f"`{key}` string, piece int, start long, length long, ids_crc32 long")
+    return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 
 def ranked(cut: DataFrame, buckets: int, key: str = "doc_id") -> DataFrame:

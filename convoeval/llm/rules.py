@@ -62,27 +62,27 @@ def counts(documents: DataFrame, text: str = "text") -> DataFrame:
     are compared by 64-bit hash within one text. Cost is n log n in the words of a text.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    df = documents.drop(*COUNTS, *EXTRA).withColumn("_t", body)
-    df = df.withColumn("_w", F.array_remove(F.split("_t", SPACES), ""))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(_removed(x, WHITE)) > 0))
-    df = df.withColumn("_g", _windows(F.col("_w")))
+    df = documents.drop(*COUNTS, *EXTRA).withColumn("__rules_t", body)
+    df = df.withColumn("__rules_w", F.array_remove(F.split("__rules_t", SPACES), ""))
+    df = df.withColumn("__rules_l", F.filter(F.split("__rules_t", "\n"), lambda x: F.length(_removed(x, WHITE)) > 0))
+    df = df.withColumn("__rules_g", _windows(F.col("__rules_w")))
     # Only texts in which a window repeats are sorted: equal hashes then stand together.
-    repeats = F.size(F.array_distinct("_g")) < F.size("_g")
-    placed = F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_o", F.when(repeats, F.array_sort(placed)))
-    df = df.withColumn("_p", F.array_sort(F.transform(F.filter("_o", _has_twin), lambda x: x["i"])))
-    inside = _removed(F.col("_t"), WHITE)
+    repeats = F.size(F.array_distinct("__rules_g")) < F.size("__rules_g")
+    placed = F.transform("__rules_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn("__rules_o", F.when(repeats, F.array_sort(placed)))
+    df = df.withColumn("__rules_p", F.array_sort(F.transform(F.filter("__rules_o", _has_twin), lambda x: x["i"])))
+    inside = _removed(F.col("__rules_t"), WHITE)
     return df.select(
-        *[c for c in df.columns if not c.startswith("_") or c in documents.columns],
-        F.size("_w").cast("long").alias("n_words"),
+        *[c for c in df.columns if not c.startswith("__rules")],
+        F.size("__rules_w").cast("long").alias("n_words"),
         F.length(inside).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(_removed(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        (F.length("__rules_t") - F.length(_removed(F.col("__rules_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size("__rules_l") - F.size(F.array_distinct("__rules_l"))).cast("long").alias("n_dup_lines"),
         _covered().alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
+        F.size("__rules_l").cast("long").alias("n_lines"),
         F.length(F.regexp_replace(inside, r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.length(F.regexp_replace(inside, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
-        (F.length("_t") - F.length(_removed(F.col("_t"), "!?"))).cast("long").alias("n_exclaimed"),
+        (F.length("__rules_t") - F.length(_removed(F.col("__rules_t"), "!?"))).cast("long").alias("n_exclaimed"),
     )
 
 
@@ -95,13 +95,13 @@ def _windows(words: Column) -> Column:
 
 def _has_twin(x: Column, k: Column) -> Column:
     """The window before or after it in the order of hashes has the same hash."""
-    same = [F.coalesce(F.get(F.col("_o"), k + d)["h"] == x["h"], F.lit(False)) for d in (-1, 1)]
+    same = [F.coalesce(F.get(F.col("__rules_o"), k + d)["h"] == x["h"], F.lit(False)) for d in (-1, 1)]
     return same[0] | same[1]
 
 
 def _covered() -> Column:
     """Words in repeated windows: each covers five places, or fewer up to the next one."""
-    steps = F.transform("_p", lambda p, j: F.least(F.coalesce(F.get(F.col("_p"), j + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
+    steps = F.transform("__rules_p", lambda p, j: F.least(F.coalesce(F.get(F.col("__rules_p"), j + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
     return F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
 
 

@@ -167,10 +167,11 @@ def write_index(written: DataFrame, folder: str) -> DataFrame:
 
 
 def look_up(keys: DataFrame, indexed: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """Where the documents of each key are: (key, shard, first, run). Unknown keys have no row."""
-    columns = [f.name for f in keys.schema.fields]
+    """Where the documents of each key are: (key, shard, first, run), keys as text.
+
+    Unknown keys have no row. Text, since pandas has no exact whole numbers beside nulls.
+    """
     buckets = max(1, indexed.count())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = map_file(folder, pdf["index_file"].iloc[0])
@@ -181,14 +182,15 @@ def look_up(keys: DataFrame, indexed: DataFrame, folder: str, key: str = "doc_id
         prints = (pdf["_p"].to_numpy(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         known = at >= 0
         known[known] = slots["print"][at[known]] == prints[known]
-        out = pdf.loc[known, columns].copy()
+        out = pdf.loc[known, [key]].copy()
         for name in ("shard", "first", "run"):
             out[name] = slots[name][at[known]].astype(np.int64)
         return out
 
-    asked = keys.select("*", *_hashes(F.col(key))).withColumn("bucket", F.pmod("_h", F.lit(buckets)))
+    asked = keys.select(F.col(key).cast("string").alias(key), *_hashes(F.col(key)))
+    asked = asked.withColumn("bucket", F.pmod("_h", F.lit(buckets)))
     asked = asked.join(indexed, "bucket")
-    return asked.groupBy("bucket").applyInPandas(find, f"{schema}, shard long, first long, run long")
+    return asked.groupBy("bucket").applyInPandas(find, f"`{key}` string, shard long, first long, run long")
 
 
 def shard_bases(written: DataFrame) -> DataFrame:
@@ -201,7 +203,6 @@ def shard_bases(written: DataFrame) -> DataFrame:
 
 def read_documents(found: DataFrame, bases: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     """Read the ids of looked-up documents: (key, start, n_tokens, ids_crc32), one row per document."""
-    kind = dict(found.dtypes)[key]
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = map_file(folder, pdf["file"].iloc[0])
@@ -217,7 +218,7 @@ def read_documents(found: DataFrame, bases: DataFrame, folder: str, key: str = "
         return pd.DataFrame(rows, columns=[key, "start", "n_tokens", "ids_crc32"])
 
     placed = found.join(bases, "shard")
-    return placed.groupBy("shard").applyInPandas(read, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long")
+    return placed.groupBy("shard").applyInPandas(read, f"`{key}` string, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,4 +230,5 @@ def write_and_read(documents: DataFrame, folder: str, tokenizer: str, end_id: in
     written = write_shards(documents, folder, tokenizer, end_id, key, text)
     indexed = write_index(written, folder)
     found = look_up(documents.select(key).distinct(), indexed, folder, key)
-    return read_documents(found, shard_bases(written), folder, key)
+    read = read_documents(found, shard_bases(written), folder, key)
+    return read.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))

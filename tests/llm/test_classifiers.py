@@ -1,0 +1,89 @@
+import zlib
+
+import numpy as np
+import pytest
+from convoeval.llm import quality_cnn, toxicity
+from llm_data import awkward_texts, documents, out_of
+from pyspark.sql import functions as F
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score)) + 1
+    ones = label == 1
+    return (order[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    sf = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@pytest.mark.parametrize("module, label, least", [(quality_cnn, "quality", 0.98), (toxicity, "toxic", 0.97)])
+def test_held_out_accuracy(tables, module, label, least):
+    docs, labels = tables
+    options = module.Options()
+    labelled = docs.join(labels.select("doc_id", F.col(label).alias("y")), "doc_id")
+    out = module.classify(labelled, labels, options).filter("held_out").select("score", "y", "predicted").toPandas()
+    assert auc(out["score"].to_numpy(), out["y"].to_numpy()) > least
+    assert (out["predicted"] == out["y"]).mean() > 0.95
+
+
+@pytest.mark.parametrize("module, label", [(quality_cnn, "quality"), (toxicity, "toxic")])
+def test_awkward_rows_and_labels(spark, module, label):
+    docs = documents(spark).withColumn("predicted", F.lit("clash"))
+    labels = spark.createDataFrame(
+        [(1, 1), (2, 0), (3, None), (None, 1), (10, 0), (11, 1), (13, 0), (15, 1), (15, 1), (99, 0)], f"doc_id long, {label} int"
+    ).withColumn("text", F.lit("clash"))
+    small = {"epochs": 1} if module is quality_cnn else {}
+    rows = module.classify(docs, labels, module.Options(**small)).collect()
+    assert len(rows) == len(awkward_texts())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= (0.3 if label == "quality" else 0.5)) for r in rows)
+    assert all(r["held_out"] == out_of(r["doc_id"], 5, 0) for r in rows)
+    empty = {r["score"] for r in rows if not r["text"]}
+    assert len(empty) == 1
+    none = labels.filter("false")
+    assert module.classify(docs, none, module.Options(**small)).count() == len(rows)
+    assert module.classify(docs.filter("false"), labels, module.Options(**small)).collect() == []
+
+
+def test_training_sees_no_held_out_row_and_stays_within_bounds(spark):
+    from convoeval.llm.shared import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 50, 1000)
+    assert 0 < len(got) <= 50 and sum(len(t) for t, _ in got) <= 1000
+    texts = {t.decode() for t, _ in got}
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in range(200) if i % 7 and f"text {i} " * (i % 7) in texts)
+    assert got == labelled_sample(docs.repartition(5), labels, "quality", 50, 1000)
+
+
+def test_network_covers_the_whole_text_whatever_the_segments(monkeypatch):
+    net = quality_cnn.Network(quality_cnn.Options())
+    text = (b"plain words here " * 3000) + b"\xff\xfe#!" * 40 + b"and more words " * 3000
+    whole = net.pooled(text)
+    monkeypatch.setattr(quality_cnn, "SEGMENT", 1024)
+    parts = net.pooled(text)
+    np.testing.assert_allclose(whole[0], parts[0], rtol=1e-5)
+
+
+def test_gradient_of_the_network_lowers_its_loss():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 105, 300, dtype=np.uint8)) + (b"|||" * 20 if i % 2 else b"") for i in range(60)]
+    y = np.array([1.0 - i % 2 for i in range(60)], np.float32)
+    net = quality_cnn.Network(quality_cnn.Options(epochs=8))
+    net.fit(texts, y)
+    score = np.array([net.score(t) for t in texts])
+    assert ((score > 0.5) == (y == 1)).all()
+
+
+def test_toxic_windows_are_found_anywhere_in_a_long_text():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(["an", "er", "the", "ou"], rng.integers(1, 4)))
+    plain = [" ".join(word() for _ in range(80)).encode() for _ in range(240)]
+    toxic = [b"%s wretchword %s vilething x %s" % (p[:200], p[200:300], p[300:]) for p in plain[:80]]
+    model = toxicity.fit(toxic, plain[80:])
+    long = b" ".join(plain[:20])
+    assert model.score(long + b" vilething and a wretchword " * 12 + long) > model.score(long)
+    assert model.score(plain[-1]) < 0.5 < model.score(toxic[0])

@@ -1,0 +1,66 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+from convoeval.llm import topk
+from pyspark.sql import functions as F
+
+
+def brute(rows, k=5, scale=256.0):
+    """All pairs of distinct rows: (query, rank, id, score)."""
+    kept = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            kept[(i, tuple(int(np.floor(scale * float(np.float32(x)))) for x in v))] = 1
+    out = Counter()
+    for q, a in kept:
+        if q % 2 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in kept if c != q)[:k]
+            out.update((q, r + 1, c, -s) for r, (s, c) in enumerate(scores))
+    return out
+
+
+def search(spark, rows, **options):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).repartition(3)
+    out = topk.search(df, F.col("vec_id") % 2 == 0, topk.Options(**options))
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    return Counter(map(tuple, out.collect()))
+
+
+@pytest.mark.parametrize("blocks", [{}, {"candidate_block": 40, "query_block": 30, "chunk": 7, "pivots": 5}])
+def test_equals_brute_force(spark, blocks):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(150)]  # rounding makes ties
+    rows += [(200 + i, rows[i][1]) for i in range(20)]  # copies under other ids
+    assert search(spark, rows, **blocks) == brute(rows)
+
+
+def test_awkward_vectors(spark):
+    one = [0.5, -0.25, 1.0]
+    rows = [
+        (2, one), (2, one), (2, [0.5, 0.5, 0.5]), (3, one), (4, None), (5, [None, 1.0, 1.0]), (6, [float("nan"), 1.0, 0.0]),
+        (7, [float("inf"), 0.0, 0.0]), (None, one), (8, [1.0]), (9, []), (10, [0.0, 0.0, 0.0]),
+    ]
+    assert search(spark, rows) == brute(rows)
+    assert search(spark, []) == Counter()
+    assert search(spark, [(2, one)]) == Counter()
+
+
+def test_bounds_stop_the_search_without_losing_a_match():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16)) * 100
+    x = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)))
+    pivots = topk.choose_pivots(x[:500], 20)
+    d = np.linalg.norm(x[:, None] - pivots[None], axis=2)
+    norms, ids = np.einsum("ij,ij->i", x, x), np.arange(4000)
+    for q in range(0, 4000, 400):
+        got, scores = topk.best(x[q], d[q], ids, x, norms, d, q, 5, 64)
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        assert got.tolist() == np.lexsort((ids, -exact))[:5].tolist()
+        assert scores.tolist() == exact[got].tolist()
+
+
+def test_too_large_components_raise(spark):
+    with pytest.raises(Exception, match="too long for exact"):
+        search(spark, [(2, [1e9, 1.0]), (3, [1e9, 2.0])])
