@@ -37,8 +37,8 @@ LEVELS = 254
 @dataclass(frozen=True)
 class Options:
     discount: float = 0.75
-    block_tokens: int = 1 << 21
-    shard_tokens: int = 1 << 22
+    block_tokens: int = 1 << 20
+    shard_tokens: int = 1 << 21
     # Contexts with at least this share of the tokens are spread over all shards of the model;
     # there are at most 1 / hot_share of them.
     hot_share: float = 2.0**-13
@@ -65,12 +65,12 @@ def probabilities(lowest: float) -> np.ndarray:
     return np.concatenate([p, np.zeros(256 - LEVELS)])
 
 
-BLOCK = "block string, keys array<{kind}>, lengths binary, train binary, words binary, tokens binary, n_tokens long, n_train long"
+# Keys travel as text, since pandas has no exact whole numbers beside nulls.
+BLOCK = "block string, keys array<string>, lengths binary, train binary, words binary, tokens binary, n_tokens long, n_train long"
 
 
 def blocks(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
     """Runs of documents: distinct word hashes, and each token's place among them."""
-    kind = dict(documents.dtypes)[key]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, train, lengths, numbers, tokens, n = [], [], [], None, [], 0
@@ -93,7 +93,7 @@ def blocks(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
                 words = t.encode().lower().split()
                 words.append(END)
                 tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                keys.append(None if k != k else k)
+                keys.append(k)
                 train.append(not out)
                 lengths.append(len(words))
                 n += len(words)
@@ -104,9 +104,9 @@ def blocks(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
             yield block()
 
     rows = documents.select(
-        F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), held_out(F.col(key), 7, 2).alias("_out")
+        F.col(key).cast("string").alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), held_out(F.col(key), 7, 2).alias("_out")
     )
-    return rows.mapInPandas(cut, BLOCK.format(kind=kind))
+    return rows.mapInPandas(cut, BLOCK)
 
 
 class Block:
@@ -368,12 +368,13 @@ def score(documents: DataFrame, options: Options = Options(), key: str = "doc_id
     answers = answers.unionByName(
         pairs.filter(F.col("block").isNotNull()).select("block", "shard", missing.alias("counts"), "pairs", "contexts")
     )
-    return (
+    scored = (
         cut.groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInPandas(
             sum_up,
-            f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+            f"`{key}` string, held_out boolean, n_tokens long, n_known long, train_tokens long, "
             "base_score double, score double",
         )
     )
+    return scored.withColumn(key, F.col(key).cast(kind))
