@@ -33,7 +33,7 @@ class Options:
     window: int = 48
     hop: int = 16
     level: int = 3
-    ordinary_bytes: int = 32768
+    ordinary_bytes: int = 65536
     toxic_bytes: int = 2048
     gains: tuple[int, ...] = (2, 3, 4, 5, 6, 8)
     prior: float = 0.25  # share of toxic documents that the probabilities are meant for
@@ -72,7 +72,8 @@ class Model:
         return np.array([len(plain(w)) for w in windows]), np.array([len(toxic(w)) for w in windows])
 
     def features(self, text: bytes) -> np.ndarray:
-        """Of the windows, how many gain that much: with the length, and as a share."""
+        """Of the windows of the lower-cased text, how many gain that much: as number and share."""
+        text = text.lower()
         o, n, found = self.options, 0, np.zeros(len(self.options.gains))
         starts = range(0, max(1, len(text) - o.window + o.hop), o.hop)
         for lo in range(0, len(starts), _BATCH):
@@ -87,8 +88,7 @@ class Model:
 
 
 def _heads(run: bytes) -> set[bytes]:
-    """A run of letters and its beginnings, lower-cased: inflected words share those."""
-    run = run.lower()
+    """A run of letters and its beginnings: inflected words share those."""
     return {run, *(run[:n] for n in (4, 5, 6, 7) if n < len(run))}
 
 
@@ -148,6 +148,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], o: Options = Options()) -> Mo
 
     With an empty class there is nothing to tell apart, and every score is the prior.
     """
+    ordinary, toxic = [t.lower() for t in ordinary], [t.lower() for t in toxic]
     o_fit, t_fit = [t for i, t in enumerate(ordinary) if i % 3], [t for i, t in enumerate(toxic) if i % 3]
     base = _ordinary_dictionary(o_fit, o)
     model = Model(o, base, base + contrast(t_fit, o_fit, o.toxic_bytes), np.zeros(2 * len(o.gains) + 2))
