@@ -36,7 +36,7 @@ class Options:
     counted: int = 1 << 22  # tokens that a task counts at a time
     few: int = 32  # sets that may share a token and still be paired
     shard_rows: int = 1 << 20
-    block: int = 2048  # sets of a cluster that meet in a task, twice at most
+    block: int = 1024  # sets of a cluster that meet in a task, twice at most
     bloom_bits: int = 1 << 25
 
 
@@ -257,32 +257,36 @@ def _may_be_in(filter_: np.ndarray):
     return F.pandas_udf(look, "boolean")
 
 
-def links_between(ids: list[int], sets: list[np.ndarray], side: list[int] | None, orders: Orders, percent: int) -> list[tuple[int, int]]:
+def _shared(prefixes: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each prefix the tokens that another one has too. Only these can bring sets together."""
+    tokens, counts = np.unique(np.concatenate(prefixes), return_counts=True)
+    common = tokens[counts > 1]
+    return [p[np.isin(p, common)] for p in prefixes]
+
+
+def links_between(
+    ids: list[int], sets: list[np.ndarray], side: list[int] | None, orders: Orders, percent: int
+) -> list[tuple[int, int]]:
     """Edges that connect what the links between these sets connect.
 
     With ``side`` only pairs of different sides count. A pair is looked at if it shares a prefix
     token under the first order, is not connected yet, and shares one under the other orders too.
     """
     by = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    prefixes = [[orders.prefix(s, k) for k in range(3)] for s in sets]
-    others = [[set(p.tolist()) for p in ps[1:]] for ps in prefixes]
+    first, *others = [_shared([orders.prefix(s, k) for s in sets]) for k in range(3)]
     union, posted, out = Union(), {}, []
     for i in by:
         near: set[int] = set()
-        for t in prefixes[i][0].tolist():
+        for t in first[i].tolist():
             near.update(posted.get(t, ()))
             posted.setdefault(t, []).append(i)
-        root = union.root(i)
         todo = [
             j
             for j in near
-            if (side is None or side[i] != side[j])
-            and 100 * len(sets[j]) >= percent * len(sets[i])
-            and union.root(j) != root
-            and all(not a.isdisjoint(b) for a, b in zip(others[i], others[j]))
+            if (side is None or side[i] != side[j]) and 100 * len(sets[j]) >= percent * len(sets[i])
         ]
-        for j in sorted(todo, key=lambda j: -len(sets[j])):
-            if union.root(j) == union.root(i):
+        for j in sorted(todo, key=lambda j: (-len(sets[j]), ids[j])):
+            if union.root(j) == union.root(i) or not all(np.isin(o[i], o[j]).any() for o in others):
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
@@ -306,10 +310,12 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(o.words)
         for batch in batches:
-            sets = [shingles(t) for t in batch["_text"]]
-            right = np.array([len(s) > 0 and set_id(s) == i for s, i in zip(sets, batch["set"])], bool)
-            out = batch[["cluster", "set", "block", "blocks"]].assign(tokens=[s.tobytes() for s in sets])
-            yield out[right]
+            for lo in range(0, len(batch), 256):  # sets are larger than their texts
+                part = batch.iloc[lo : lo + 256]
+                sets = [shingles(t) for t in part["_text"]]
+                right = np.array([len(s) > 0 and set_id(s) == i for s, i in zip(sets, part["set"])], bool)
+                out = part[["cluster", "set", "block", "blocks"]].assign(tokens=[s.tobytes() for s in sets])
+                yield out[right]
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, now = {}, None
