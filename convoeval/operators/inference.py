@@ -11,9 +11,12 @@ Calls cost money, so a table of answers should be written before it is used more
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import sys
 import tempfile
+import threading
 import time
 from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -21,9 +24,9 @@ from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoeval import schemas
 from convoeval.operators.backends import Backend, Client, Request, metadata_to_json
@@ -34,7 +37,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 @dataclass(frozen=True)
 class CallOptions:
-    """How requests are made. ``partitions`` times ``threads`` is the concurrency cap."""
+    """How requests are made. ``partitions`` times ``threads`` is the concurrency cap.
+
+    ``calls_per_second`` caps the attempts of the whole job, failed ones too. It needs
+    ``partitions``: each task gets its share, so the cap holds however many run at a time.
+    """
 
     temperature: float = 0.0
     max_tokens: int = 2048
@@ -45,6 +52,44 @@ class CallOptions:
     partitions: int | None = None
     calls_per_second: float | None = None
 
+    def __post_init__(self):
+        if self.calls_per_second and not self.partitions:
+            raise ValueError("calls_per_second needs partitions, over which it is divided")
+
+
+class _Pace:
+    """Lets one task's attempts through at even distances, whichever thread makes them."""
+
+    def __init__(self, options: CallOptions):
+        self.gap = options.partitions / options.calls_per_second if options.calls_per_second else 0.0
+        self.lock, self.next = threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                at = max(self.next, time.monotonic())
+                self.next = at + self.gap
+            time.sleep(max(0.0, at - time.monotonic()))
+
+
+MISFIT = "response does not fit the schema"
+_PLAIN = {"boolean": bool, "bigint": int, "int": int, "double": (int, float)}
+
+
+def fits(text: str | None, schema: T.StructType) -> bool:
+    """Is the text a JSON object that has every field of the schema, of its type and not null?"""
+    try:
+        found = json.loads(text)
+    except (TypeError, ValueError):
+        return False
+    if not isinstance(found, dict):
+        return False
+    for field in schema.fields:
+        kind, value = _PLAIN.get(field.dataType.simpleString()), found.get(field.name)
+        if value is None or (kind and not isinstance(value, kind)) or (kind not in (None, bool) and isinstance(value, bool)):
+            return False
+    return True
+
 
 def _wait(options: CallOptions, attempt: int) -> float:
     """Seconds before the next attempt: exponential, capped, with full jitter."""
@@ -53,12 +98,21 @@ def _wait(options: CallOptions, attempt: int) -> float:
     return random.uniform(0, min(options.backoff_cap, options.backoff_base ** (attempt - 1)))
 
 
-def call_with_retry(client: Client, request: Request, options: CallOptions) -> dict:
-    """One CALL row. A request that fails every time gives an error, never an exception."""
+def call_with_retry(
+    client: Client, request: Request, options: CallOptions, schema: T.StructType | None = None, pace: _Pace | None = None
+) -> dict:
+    """One CALL row. A request that fails every time gives an error, never an exception.
+
+    With a schema, an answer that does not fit it is a failed attempt like any other.
+    """
     started, error = time.time(), None
     for attempt in range(1, options.tries + 1):
+        if pace:
+            pace.wait()
         try:
             reply = client({**request, "attempt": attempt})
+            if schema is not None and not fits(reply["text"], schema):
+                raise _Misfit
             return {
                 "response_text": reply["text"],
                 "metadata_raw": metadata_to_json(reply.get("metadata")),
@@ -67,6 +121,8 @@ def call_with_retry(client: Client, request: Request, options: CallOptions) -> d
                 "started_at": started,
                 "finished_at": time.time(),
             }
+        except _Misfit:
+            error = MISFIT
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
         if attempt < options.tries:
@@ -74,6 +130,10 @@ def call_with_retry(client: Client, request: Request, options: CallOptions) -> d
     return _failed(error, options.tries, started)
 
 
+class _Misfit(Exception):
+    """The answer has another shape than was asked for."""
+
+
 def _failed(error: str, attempts: int, started: float) -> dict:
     return {
         "response_text": None,
@@ -85,14 +145,14 @@ def _failed(error: str, attempts: int, started: float) -> dict:
     }
 
 
-def _caller(backends: Mapping[str, Backend], options: CallOptions):
+def _caller(backends: Mapping[str, Backend], options: CallOptions, schema: T.StructType | None):
     """The UDF (provider, system, user, model_name, temperature) -> CALL."""
-    pause = options.threads / options.calls_per_second if options.calls_per_second else 0.0
 
     def call(
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.DataFrame]:
         clients: dict[str, Client] = {}  # one per provider and task
+        pace = _Pace(options)
 
         def one(row: tuple) -> dict:
             provider, system, user, model_name, temperature = row
@@ -106,10 +166,7 @@ def _caller(backends: Mapping[str, Backend], options: CallOptions):
                 "temperature": None if pd.isna(temperature) else temperature,
                 "max_tokens": options.max_tokens,
             }
-            answer = call_with_retry(clients[provider], request, options)
-            if pause:
-                time.sleep(max(0.0, pause - (answer["finished_at"] - answer["started_at"])))
-            return answer
+            return call_with_retry(clients[provider], request, options, schema, pace)
 
         with ThreadPoolExecutor(options.threads) as pool:
             for batch in batches:
@@ -143,9 +200,12 @@ def infer(
     model_name: str | Column | None = None,
     temperature: Column | None = None,
     options: CallOptions = CallOptions(),
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Add ``call``, the raw outcome of one model call per row.
 
+    With ``schema`` an answer must be a JSON object that fits it; another one is tried again.
+
     ``provider`` names the backend: a name that is not registered is rejected here. As a
     column it is looked up per row, and an unknown name gives an error row.
     """
@@ -157,7 +217,7 @@ def infer(
         df = df.repartition(options.partitions)
     return df.withColumn(
         "call",
-        _caller(backends, options)(
+        _caller(backends, options, schema)(
             provider.cast("string"),
             _text(system_prompt),
             F.col(input_field).cast("string"),
@@ -202,26 +262,67 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def saved_runs(spark: SparkSession, path: str) -> DataFrame | None:
-    """The runs stored at ``path``, or None if there are none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+REQUEST = "request"
+
+
+def request_hash(
+    provider: str | Column,
+    system: str | Column | None,
+    user: str | Column,
+    model_name: str | Column | None = None,
+    temperature: Column | None = None,
+    options: CallOptions = CallOptions(),
+) -> Column:
+    """What an answer depends on, as a hash: provider, prompts, model and its parameters."""
+    parts = {
+        "provider": _text(provider),
+        "system": _text(system),
+        "user": (F.col(user) if isinstance(user, str) else user).cast("string"),
+        "model_name": _text(model_name),
+        "temperature": temperature if temperature is not None else F.lit(float(options.temperature)),
+        "max_tokens": F.lit(options.max_tokens),
+    }
+    fields = F.struct(*[c.alias(name) for name, c in parts.items()])
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The folder as Hadoop's file systems see it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
 
+def committed_runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the runs at ``path`` that ended, from the folder names alone."""
+    fs, place = _folder(spark, path)
+    if not fs.exists(place):
+        return []
+    found = []
+    for entry in fs.listStatus(place):
+        number = re.fullmatch(r"run=(\d+)", entry.getPath().getName())
+        if number and fs.exists(_folder(spark, f"{path}/{entry.getPath().getName()}/_SUCCESS")[1]):
+            found.append(int(number.group(1)))
+    return sorted(found)
 
-def final_answers(runs: DataFrame, latest: int) -> DataFrame:
-    """One row per request: its success, or its failure in the latest run."""
-    return runs.filter(F.col("call.error").isNull() | (F.col("run") == latest)).drop("run")
+
+def final_answers(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per keys and request: its success, or else its newest failure.
+
+    Null keys are keys like others. The choice is a maximum per group, which tasks combine
+    before the shuffle. Columns of different runs are those of the newest one.
+    """
+    best = F.max_by(F.struct(*runs.columns), F.struct(F.col("call.error").isNull(), "run")).alias("_best")
+    return runs.groupBy(*keys, REQUEST).agg(best).select("_best.*").drop("run")
 
 
 def unanswered(df: DataFrame, answered: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` that have no successful answer yet."""
+    """Rows of ``df`` whose request has no successful answer yet, null keys compared as equal."""
     if answered is None:
         return df
-    return df.join(answered.filter(F.col("call.error").isNull()).select(*keys), keys, "left_anti")
+    names = [*keys, REQUEST]
+    done = answered.filter(F.col("call.error").isNull()).select(*[F.col(n).alias(f"_done_{n}") for n in names])
+    same = [F.col(n).eqNullSafe(F.col(f"_done_{n}")) for n in names]
+    return df.join(done, same, "left_anti")
 
 
 def infer_to_table(
@@ -235,20 +336,40 @@ def infer_to_table(
     model_name: str | Column | None = None,
     temperature: Column | None = None,
     options: CallOptions = CallOptions(),
+    schema: T.StructType | None = None,
+    waves: int = 1,
 ) -> DataFrame:
-    """Answer every row of ``df``, store the answers at ``path`` and return them.
+    """Answer every row of ``df``, store the answers at ``path`` and return all that are stored.
 
-    Each run is a folder of its own and asks only for rows that no earlier run answered:
-    new rows and failed ones. The first run is one narrow stage from scan to file; a task
-    that is repeated repeats only its own calls.
+    A row is told by its ``keys`` and the hash of its request, in the added column
+    ``request``: another prompt, model or temperature is another request. Rows that agree in
+    both are asked once. Each run asks only what no earlier run answered, and is a committed
+    folder of its own; ``waves`` divides a run by key into so many of them, of which those
+    that ended survive a failure. The result has one row per keys and request of any run.
     """
     spark = df.sparkSession
-    earlier = saved_runs(spark, path)
-    run = 0 if earlier is None else earlier.agg(F.max("run")).first()[0] + 1
-    todo = unanswered(df, earlier, keys)
-    asked = infer(todo, backends, provider, input_field, system_prompt, model_name, temperature, options)
-    asked.write.mode("overwrite").parquet(f"{path}/run={run}")
-    return final_answers(spark.read.parquet(path), run)
+    df = df.withColumn(
+        REQUEST, request_hash(provider, system_prompt, input_field, model_name, temperature, options)
+    )
+    for wave in range(waves):
+        numbers = committed_runs(spark, path)
+        earlier = _read_runs(spark, path, numbers) if numbers else None
+        part = df.filter(F.pmod(F.xxhash64(*keys), F.lit(waves)) == wave) if waves > 1 else df
+        todo = unanswered(part, earlier, keys).dropDuplicates([*keys, REQUEST])
+        asked = infer(
+            todo, backends, provider, input_field, system_prompt, model_name, temperature, options, schema
+        )
+        asked.write.mode("overwrite").parquet(f"{path}/run={numbers[-1] + 1 if numbers else 0}")
+    return final_answers(_read_runs(spark, path, committed_runs(spark, path)), keys)
+
+
+def _read_runs(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """The committed runs, with the number of the run; columns that a run lacks are null."""
+    parts = [spark.read.parquet(f"{path}/run={n}").withColumn("run", F.lit(n)) for n in numbers]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def without_waits(options: CallOptions = CallOptions()) -> CallOptions:

@@ -206,8 +206,8 @@ def histogram(df: DataFrame, value: str, low: float, width: float) -> DataFrame:
     )
 
 
-def metric_score(df: DataFrame, metric: Column, by: str | None = None) -> DataFrame:
+def metric_score(df: DataFrame, metric: Column, *by: str) -> DataFrame:
     """Examples and the mean of a 0/1 metric as a percent, optionally per group."""
-    return (df.groupBy(by) if by else df.groupBy()).agg(
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("examples"), F.round(100 * F.avg(metric), 6).alias("score")
     )

@@ -34,11 +34,16 @@ def drop_unneeded_columns(df: DataFrame, drop_empty: Iterable[str] = ("llm_respo
     """
     gone = ["llm_metadata"]
     for name in drop_empty:
-        if name in df.columns and df.filter(F.col(name) != "").select(name).isEmpty():
+        if name in df.columns and df.filter(_holds_something(df, name)).select(name).isEmpty():
             gone.append(name)
     return df.drop(*gone)
 
 
+def _holds_something(df: DataFrame, name: str) -> Column:
+    """Not null and, if it is text, not empty."""
+    return F.col(name) != "" if dict(df.dtypes)[name] == "string" else F.col(name).isNotNull()
+
+
 def add_word_count(df: DataFrame) -> DataFrame:
     """Add ``conversation_word_count``; unchanged if the table has no text column."""
     name = text_column(df)

@@ -25,8 +25,8 @@ SYNTHESIS_INSTRUCTION = (
     "message. First name the company, then list the turns one per line."
 )
 
-PROMPTS_IN_PLAN = 4_000_000
-_SALTS = 256
+# Characters of prompts that one plan carries; a larger set of programs is taken in slices.
+SLICE = 4_000_000
 
 
 def judge_context(company: Column, transcript: Column) -> Column:
@@ -92,8 +92,8 @@ def programs_table(spark: SparkSession, programs: Iterable[Mapping]) -> DataFram
 
 
 def latest_programs(programs: DataFrame) -> DataFrame:
-    """The row with the highest version of every program."""
-    best = F.max_by(F.struct(*programs.columns), "version").alias("p")
+    """The row with the highest version of every program; of equal versions the last instruction."""
+    best = F.max_by(F.struct(*programs.columns), F.struct("version", "instruction", "model_name")).alias("p")
     return programs.groupBy("program_id").agg(best).select("p.*")
 
 
@@ -125,9 +125,9 @@ def with_program_prompts(
 ) -> DataFrame:
     """Every row with the prompts of every program of ``task``.
 
-    Prompts of up to ``PROMPTS_IN_PLAN`` characters travel with the tasks, and each row is
-    repeated per program where it is read: nothing is shuffled. A larger set is joined on a
-    salt, of which each row has one value and each program has all.
+    Prompts travel with the tasks, and each row is repeated per program where it is read:
+    nothing is shuffled, and rows may have columns of any type. A plan carries prompts of
+    ``SLICE`` characters, or one program; further programs are further reads of ``df``.
     """
     prompts = programs.filter(F.col("task") == task).select(
         "program_id",
@@ -137,16 +137,36 @@ def with_program_prompts(
         "temperature",
         program_system_prompt().alias("system_prompt"),
     )
-    if _characters(prompts) <= PROMPTS_IN_PLAN:
-        listed = prompts.agg(F.collect_list(F.struct(*prompts.columns)).alias("listed"))
-        out = df.select("*", F.inline(listed.scalar()))
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int")
-        out = df.withColumn("_salt", salt).join(prompts.withColumn("_salt", salts), "_salt").drop("_salt")
+    slices = _slices(prompts)
+    out = None
+    for names in slices:
+        part = prompts.filter(F.struct("program_id", "version").isin(names)) if len(slices) > 1 else prompts
+        listed = part.agg(F.collect_list(F.struct(*prompts.columns)).alias("listed"))
+        repeated = df.select("*", F.inline(listed.scalar()))
+        out = repeated if out is None else out.union(repeated)
     return out.withColumn("user_prompt", program_user_prompt(F.col(input_field)))
 
 
-def _characters(prompts: DataFrame) -> int:
-    """Size of the prompts: one number, from a job over the programs only."""
-    return prompts.agg(F.coalesce(F.sum(F.length("system_prompt") + 100), F.lit(0))).first()[0]
+def _slices(prompts: DataFrame) -> list[list[Column]]:
+    """Programs in groups of up to ``SLICE`` characters. Only names and lengths are collected."""
+    size = F.coalesce(F.length("system_prompt"), F.lit(0)) + 100
+    sizes = prompts.select("program_id", "version", size.alias("n")).orderBy("program_id", "version").collect()
+    slices, left = [[]], SLICE
+    for r in sizes:
+        if r["n"] > left and slices[-1]:
+            slices.append([])
+            left = SLICE
+        left -= r["n"]
+        name = F.struct(F.lit(r["program_id"]).alias("program_id"), F.lit(r["version"]).cast("int").alias("version"))
+        slices[-1].append(name)
+    return slices
+
+
+def save_programs(programs: DataFrame, path: str) -> None:
+    """Add programs, or further versions of them, to the registry at ``path``."""
+    programs.select(*schemas.PROGRAM.fieldNames()).write.mode("append").parquet(path)
+
+
+def load_programs(spark: SparkSession, path: str) -> DataFrame:
+    """All programs and versions of the registry."""
+    return spark.read.schema(schemas.PROGRAM).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from convoeval import schemas
 from convoeval.functions.columns import with_computed
 from convoeval.functions.text import strip
+from convoeval.operators.inference import MISFIT
 
 _CORRUPT = "_corrupt"
 
@@ -122,7 +123,7 @@ def fold_structured_call(df: DataFrame, schema: T.StructType = schemas.STRUCTURE
     """``call`` as a typed ``response``. Text that does not fit the schema is a failed call."""
     out = add_checked_response(fold_text_call(df), "llm_response", schema)
     ok = F.coalesce(F.col("valid"), F.lit(False))
-    misfit = F.when(F.col("valid") == F.lit(False), "response does not fit the schema")
+    misfit = F.when(F.col("valid") == F.lit(False), MISFIT)
     return out.withColumns(
         {
             "error": F.coalesce(misfit, "error"),

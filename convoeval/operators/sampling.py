@@ -27,6 +27,13 @@ def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def _same_each_time(df: DataFrame) -> DataFrame:
+    """Cuts are found by passes before the one that filters: all must see the same rows."""
+    if not df._jdf.queryExecution().analyzed().deterministic():
+        raise ValueError("the rows come from calls or draws that would be made again: store them first (materialise)")
+    return df
+
+
 def _boundary(draws: DataFrame, bucket: Column, wanted: Callable[[Column], Column]) -> Row:
     """One row: the bucket in which the running count reaches ``wanted``, and the counts.
 
@@ -59,21 +66,27 @@ def _boundary(draws: DataFrame, bucket: Column, wanted: Callable[[Column], Colum
             )
         )
 
-    return summed.select("wanted", F.inline(F.array(F.aggregate("buckets", start, step)))).first()
+    return summed.select("wanted", "total", F.inline(F.array(F.aggregate("buckets", start, step)))).first()
 
 
-def in_first_rows(df: DataFrame, seed: int, key: str, wanted: Callable[[Column], Column]) -> Column:
+def in_first_rows(
+    df: DataFrame, seed: int, key: str, wanted: Callable[[Column], Column], least: int = 0
+) -> Column:
     """Condition that holds for the first rows of ``df`` in the order (draw, key).
 
+    Raises if fewer than ``least`` rows have a key.
+
     ``wanted`` gives the number of rows from the total number of rows. The cut is an exact
     selection by counting: by the upper half of the draw, by the lower half and, only if
     the boundary draw has to be divided, by the keys that share it. Each step is a job over
     the key column that returns one row; the condition itself compares with literals.
     """
-    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"))
+    keys = _same_each_time(df).filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"))
     draws = keys.withColumn("h", draw(seed, F.col("key")))
     coarse = F.shiftright("h", 16)
     upper = _boundary(draws, coarse, wanted)
+    if upper["total"] < least:
+        raise ValueError(f"cannot draw {least} rows from {upper['total']} that have a key")
     if not upper["wanted"]:
         return F.lit(False)
     rest = upper["wanted"] - upper["before"]
@@ -96,11 +109,8 @@ def seeded_sample(
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    if strict:
-        available = df.count()
-        if n > available:
-            raise ValueError(f"cannot draw {n} rows from {available}")
-    return df.filter(in_first_rows(df, seed, key, lambda total: F.lit(n).cast("bigint")))
+    least = n if strict else 0
+    return df.filter(in_first_rows(df, seed, key, lambda total: F.lit(n).cast("bigint"), least))
 
 
 def train_test_split(
@@ -164,7 +174,7 @@ def head_slice(df: DataFrame, k: int, key: str = "conversation_id") -> DataFrame
 
 
 def tail_slice(df: DataFrame, k: int, key: str = "conversation_id") -> DataFrame:
-    """All rows but the first ``k`` in key order, without sorting the table."""
+    """All rows but the first ``k`` in key order, rows without key included. Nothing is sorted."""
     if k <= 0:
         return df
-    return df.filter(F.col(key) > _kth_key(df, key, k))
+    return df.filter(F.col(key).isNull() | (F.col(key) > _kth_key(df, key, k)))

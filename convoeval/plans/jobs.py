@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convoeval import schemas
 from convoeval.operators.backends import Backend
 from convoeval.operators.candidates import add_match
-from convoeval.operators.inference import CallOptions, infer
+from convoeval.operators.inference import CallOptions, infer, materialise
 from convoeval.operators.metrics import judged_true
 from convoeval.operators.prompts import (
     JUDGE_INSTRUCTION,
@@ -30,6 +30,11 @@ from convoeval.operators.turns import truncate_table
 from convoeval.sources.tables import save_splits
 
 
+def _once(df: DataFrame, path: str | None) -> DataFrame:
+    """With a path the calls are made now, once, and the stored rows are returned."""
+    return df if path is None else materialise(df, path)
+
+
 def add_judge_context(df: DataFrame) -> DataFrame:
     """Add ``company_and_transcript`` from ``company`` and ``truncated_conversation``."""
     return df.withColumn(
@@ -43,21 +48,30 @@ def augmented_contexts(conversations: DataFrame, seed: int = 101, min_turns: int
 
 
 def synthesise_conversations(
-    seeds: DataFrame, backend: Backend, options: CallOptions = CallOptions(temperature=1.0)
+    seeds: DataFrame,
+    backend: Backend,
+    options: CallOptions = CallOptions(temperature=1.0),
+    path: str | None = None,
 ) -> DataFrame:
-    """Seed messages to synthetic conversations with company and text."""
+    """Seed messages to synthetic conversations with company and text.
+
+    This and the other jobs call the model whenever their rows are read. With ``path`` they
+    call it once, write the rows there and return what is stored.
+    """
     asked = infer(seeds, {"model": backend}, "model", "Text", SYNTHESIS_INSTRUCTION, options=options)
-    return split_company_and_conversation(fold_text_call(asked))
+    return _once(split_company_and_conversation(fold_text_call(asked)), path)
 
 
 def generate_replies(
-    contexts: DataFrame, backend: Backend, options: CallOptions = CallOptions(temperature=1.0)
+    contexts: DataFrame,
+    backend: Backend,
+    options: CallOptions = CallOptions(temperature=1.0),
+    path: str | None = None,
 ) -> DataFrame:
     """Contexts to replies and output transcripts, with a plain text model."""
     asked = infer(contexts, {"model": backend}, "model", "company_and_transcript", REPLY_INSTRUCTION, options=options)
-    return fold_text_call(asked).withColumn(
-        "output_transcript", output_transcript(F.col("company_and_transcript"), F.col("llm_response"))
-    )
+    full = output_transcript(F.col("company_and_transcript"), F.col("llm_response"))
+    return _once(fold_text_call(asked).withColumn("output_transcript", full), path)
 
 
 def generate_and_split(
@@ -87,10 +101,19 @@ def judge_structured(
     key: str = "conversation_id",
     instruction: str = JUDGE_INSTRUCTION,
     options: CallOptions = CallOptions(),
+    path: str | None = None,
 ) -> DataFrame:
     """Transcripts to ``satisfied BOOLEAN`` and ``explanation``."""
-    asked = infer(transcripts.select(key, input_field), {"model": backend}, "model", input_field, instruction, options=options)
-    return extract_structured_verdict(fold_structured_call(asked))
+    asked = infer(
+        transcripts.select(key, input_field),
+        {"model": backend},
+        "model",
+        input_field,
+        instruction,
+        options=options,
+        schema=schemas.STRUCTURED_VERDICT,
+    )
+    return _once(extract_structured_verdict(fold_structured_call(asked)), path)
 
 
 def run_programs(
@@ -101,8 +124,9 @@ def run_programs(
     schema=schemas.PROGRAM_VERDICT,
     input_field: str = "transcript",
     options: CallOptions = CallOptions(),
+    path: str | None = None,
 ) -> DataFrame:
-    """Every program of a task on every row: ``program_id`` and a typed ``response``.
+    """Every program of a task on every row: ``program_id``, ``version`` and a typed ``response``.
 
     A failed call gives a null response with its error, so no row is lost.
     """
@@ -116,10 +140,12 @@ def run_programs(
         F.col("model_name"),
         F.col("temperature"),
         options,
+        schema,
     )
-    return fold_structured_call(asked, schema).drop(
-        "system_prompt", "user_prompt", "model_name", "temperature", "output_field", "version"
+    answered = fold_structured_call(asked, schema).drop(
+        "system_prompt", "user_prompt", "model_name", "temperature", "output_field"
     )
+    return _once(answered, path)
 
 
 def judge_with_programs(
@@ -128,10 +154,11 @@ def judge_with_programs(
     backend: Backend,
     input_field: str = "output_transcript",
     options: CallOptions = CallOptions(),
+    path: str | None = None,
 ) -> DataFrame:
     """Transcripts to text verdicts per judge program."""
     return extract_program_verdict(
-        run_programs(transcripts, programs, "judge", backend, input_field=input_field, options=options)
+        run_programs(transcripts, programs, "judge", backend, input_field=input_field, options=options, path=path)
     )
 
 
@@ -141,9 +168,10 @@ def score_judges(
     backend: Backend,
     input_field: str = "transcript",
     options: CallOptions = CallOptions(),
+    path: str | None = None,
 ) -> DataFrame:
-    """Examples with ``gold_standard`` to one ``metric`` row per (program, example)."""
-    return add_match(judge_with_programs(examples, programs, backend, input_field, options))
+    """Examples with ``gold_standard`` to one ``metric`` row per (program, version, example)."""
+    return add_match(judge_with_programs(examples, programs, backend, input_field, options, path))
 
 
 def score_generators(
@@ -154,6 +182,7 @@ def score_generators(
     judge_backend: Backend,
     input_field: str = "transcript",
     options: CallOptions = CallOptions(),
+    path: str | None = None,
 ) -> DataFrame:
     """Replies of every generator program judged by a judge program: metric 1 if satisfied.
 
@@ -164,10 +193,8 @@ def score_generators(
     )
     full = replies.withColumn(
         "output_transcript", output_transcript(F.col(input_field), F.col("response.llm_response"))
-    ).withColumnRenamed("program_id", "generator_id")
+    ).withColumnsRenamed({"program_id": "generator_id", "version": "generator_version"})
     judged = judge_with_programs(full.drop("response", "error"), judges, judge_backend, options=options)
-    return (
-        judged.withColumn("metric", judged_true(F.col("satisfied")))
-        .withColumnRenamed("program_id", "judge_id")
-        .withColumnRenamed("generator_id", "program_id")
-    )
+    names = {"program_id": "judge_id", "version": "judge_version"}
+    scored = judged.withColumn("metric", judged_true(F.col("satisfied"))).withColumnsRenamed(names)
+    return _once(scored.withColumnsRenamed({"generator_id": "program_id", "generator_version": "version"}), path)

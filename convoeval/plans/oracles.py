@@ -183,7 +183,14 @@ judged AS (
   FROM examples CROSS JOIN programs),
 scored AS (SELECT *, CASE WHEN lower(gold_standard) = satisfied THEN 1 ELSE 0 END AS metric FROM judged)"""
 
-_SCORES = "SELECT program_id, count(*) AS examples, round(100 * avg(metric), 6) AS score FROM scored"
+_SCORES = "SELECT program_id, CAST(1 AS INTEGER) AS version, count(*) AS examples, round(100 * avg(metric), 6) AS score FROM scored"
+
+_VERSIONS = f"""
+versions AS (
+  SELECT 'judge' AS program_id, CAST(list_position({list(CANDIDATE_WORDS)}, least) AS INTEGER) AS version,
+         count(*) AS examples, round(100 * avg(metric), 6) AS score
+  FROM scored GROUP BY least)"""
+
 
 def _tagged(columns: str) -> str:
     hits = ", ".join(
@@ -405,6 +412,51 @@ SELECT conversation_id, CAST(least(failures + 1, 3) AS INTEGER) AS attempts,
 FROM f""",
     "resume_inference": f"""
 WITH {_CTX} SELECT conversation_id, {_REPLY} AS llm_response, CAST(NULL AS VARCHAR) AS error FROM ctx""",
+    "stored_inference_two_runs": f"""
+WITH {_CTX},
+c AS (
+  SELECT *, CAST(conversation_id AS INTEGER) AS k, {_FAILS} AS fails, {_REPLY} AS reply,
+         CASE WHEN CAST(conversation_id AS INTEGER) % 10 <> 0 THEN conversation_id END AS key
+  FROM ctx),
+asked AS (
+  SELECT *, 'first' AS system, 0 AS run, NOT fails AS ok FROM c WHERE k % 3 <> 1
+  UNION ALL
+  SELECT *, CASE WHEN k % 4 = 0 THEN 'second' ELSE 'first' END, 1, true FROM c WHERE k % 3 <> 0),
+final AS (
+  SELECT *, row_number() OVER (PARTITION BY conversation_id, system ORDER BY ok DESC, run DESC) AS place FROM asked)
+SELECT key, conversation_id, CASE WHEN ok THEN reply END AS llm_response, CASE WHEN NOT ok THEN {_BUSY} END AS error
+FROM final WHERE place = 1""",
+    "stored_inference_empty_start": f"""
+WITH {_CTX} SELECT conversation_id, {_REPLY} AS llm_response, CAST(NULL AS VARCHAR) AS error FROM ctx""",
+    "misfits_tried_again": f"""
+WITH {_CTX}, f AS (SELECT *, {_IN_WORDS} % 4 AS failures, {_last_words('company_and_transcript')} AS n FROM ctx)
+SELECT conversation_id, CASE WHEN failures < 3 THEN n >= {BASELINE_WORDS} END AS satisfied,
+       CAST(least(failures + 1, 3) AS INTEGER) AS attempts,
+       CASE WHEN failures = 3 THEN 'response does not fit the schema' END AS error
+FROM f""",
+    "call_throughput": f"WITH {_CTX} SELECT count(*) AS calls, true AS took_time, true AS has_rate FROM ctx",
+    "turns_with_other_roles": f"""
+WITH t AS (
+  SELECT conv_id, turn, text,
+         CASE WHEN role <> 'assistant' THEN role WHEN turn % 4 < 2 THEN 'agent' ELSE 'tool' END AS role
+  FROM conversations),
+said AS (
+  SELECT CAST(conv_id AS VARCHAR) AS conversation_id, turn,
+         CASE role WHEN 'user' THEN 'Customer' WHEN 'agent' THEN 'Support' WHEN 'tool' THEN 'tool' END
+           || ': ' || regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g') AS line,
+         CASE WHEN role = 'system' THEN regexp_extract(text, '^[A-Za-z]+') END AS company
+  FROM t)
+SELECT conversation_id, max(company) AS company, string_agg(line, {NL} ORDER BY turn, line) AS conversation
+FROM said GROUP BY conversation_id HAVING count(line) > 0""",
+    "strict_seed_sample": f"""
+SELECT doc_id, doc_id AS key, lang FROM documents WHERE doc_id % 10 <> 0
+ORDER BY {_draw(3, 'doc_id')}, CAST(doc_id AS VARCHAR) LIMIT 100""",
+    "candidate_scores_by_version": f"WITH {_JUDGED}, {_VERSIONS} SELECT * FROM versions",
+    "best_version": f"WITH {_JUDGED}, {_VERSIONS} SELECT * FROM versions ORDER BY score DESC, version LIMIT 1",
+    "latest_version_prompts": f"""
+SELECT doc_id, 'judge' AS program_id, CAST({len(CANDIDATE_WORDS)} AS INTEGER) AS version,
+       'transcript: ' || text AS user_prompt
+FROM documents""",
     "synthesis_job": f"""
 WITH s AS (
   SELECT conv_id || '-' || turn AS conversation_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS message,
@@ -465,16 +517,16 @@ pairs AS (
   FROM ctx), {_KAPPA}""",
     "judge_metric": f"""
 WITH said AS (
-  SELECT doc_id, lang, source, quality, {_words('text')} AS n FROM documents JOIN labels USING (doc_id))
+  SELECT doc_id, text, quality, {_words('text')} AS n FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, CAST((n >= 50) = (quality = 1) AS INTEGER) AS metric,
        CAST(n >= {GOLD_WORDS} AS INTEGER) AS judged_true,
-       coalesce(nullif(lang, ''), nullif(source, '')) AS judged_transcript
+       CASE WHEN doc_id % 3 = 2 THEN 'shown: ' || text ELSE nullif(text, '') END AS judged_transcript
 FROM said""",
     "program_evaluation": f"""
 WITH {_JUDGED} {_SCORES} WHERE least = {CANDIDATE_WORDS[1]} GROUP BY program_id""",
     "generator_evaluation": f"""
 WITH {_CTX}, r AS (SELECT {_PROGRAM_REPLY} AS reply FROM ctx)
-SELECT 'reply' AS program_id, count(*) AS examples,
+SELECT 'reply' AS program_id, CAST(1 AS INTEGER) AS version, count(*) AS examples,
        round(100 * avg(CASE WHEN {_words('reply')} + 1 >= {CANDIDATE_WORDS[0]} THEN 1 ELSE 0 END), 6) AS score
 FROM r""",
     "length_histogram": f"WITH d AS (SELECT {_words('text')} AS n_words FROM documents) "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from convoeval import schemas
 from convoeval.functions.text import normalise_label, reading_ease, word_count
 from convoeval.operators import backends as B
 from convoeval.operators import candidates, comparison, metrics, prepare, prompts, responses, sampling, turns
-from convoeval.operators.inference import final_answers, infer, materialise, unanswered, without_waits
+from convoeval.operators.inference import checkpoint_dir, infer, infer_to_table, without_waits
 from convoeval.operators.language import language_tag
 from convoeval.plans import jobs
 from convoeval.sources import tables
@@ -132,6 +133,14 @@ def ingest_seed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.ingest_seed_messages(raw)
 
 
+@query
+def turns_with_other_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which assistants are agents or tools; tools have no printed name of their own."""
+    role = F.when(F.col("role") == "assistant", F.when(F.col("turn") % 4 < 2, "agent").otherwise("tool"))
+    turns = _table(spark, sf_dir, "conversations").withColumn("role", F.coalesce(role, "role"))
+    return conversations_from_turns(turns, speakers={"user": "Customer", "agent": "Support"})
+
+
 @query
 def seed_message_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.seeded_sample(ingest_seed_messages(spark, sf_dir), 50, seed=0)
@@ -456,21 +465,72 @@ def infer_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _answers_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+
+
 @query
 def resume_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run in which short contexts fail, and a second run over what is left."""
     ctx = _contexts(spark, sf_dir).select(KEY, "company_and_transcript")
-    ask = {"provider": "model", "input_field": "company_and_transcript", "options": FAST}
-    backend = B.failing(B.rule_reply, _fails_on_short)
-    # Stored, because the first run is used twice: its answers are kept and what is left is asked.
-    first = materialise(infer(ctx, {"model": backend}, **ask).withColumn("run", F.lit(0)))
-    left = unanswered(ctx, first, [KEY])
-    second = infer(left, {"model": B.rule_reply}, **ask).withColumn("run", F.lit(1))
-    return final_answers(first.union(second), latest=1).select(
+    ask = {"provider": "model", "input_field": "company_and_transcript", "keys": [KEY], "options": FAST}
+    path = _answers_folder(spark)
+    infer_to_table(ctx, path, {"model": B.failing(B.rule_reply, _fails_on_short)}, **ask)
+    return infer_to_table(ctx, path, {"model": B.rule_reply}, **ask).select(
         KEY, F.col("call.response_text").alias("llm_response"), F.col("call.error").alias("error")
     )
 
 
+@query
+def stored_inference_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over different rows: short contexts fail in the first and stay failed if not asked again.
+
+    Conversations whose number is divisible by 3 are in the first run only, those with remainder
+    1 in the second only. The key is null for numbers divisible by 10. In the second run numbers
+    divisible by 4 have another system prompt, which makes another request of the same key.
+    """
+    number = F.col(KEY).cast("int")
+    ctx = _contexts(spark, sf_dir).select(KEY, "company_and_transcript")
+    ctx = ctx.withColumn("key", F.when(number % 10 != 0, F.col(KEY)))
+    ask = {"provider": "model", "input_field": "company_and_transcript", "keys": ["key"], "options": FAST}
+    path = _answers_folder(spark)
+    infer_to_table(
+        ctx.filter(number % 3 != 1), path, {"model": B.failing(B.rule_reply, _fails_on_short)}, system_prompt="first", **ask
+    )
+    changed = F.when(number % 4 == 0, F.lit("second")).otherwise(F.lit("first"))
+    done = infer_to_table(
+        ctx.filter(number % 3 != 0), path, {"model": B.rule_reply}, system_prompt=changed, waves=2, **ask
+    )
+    return done.select(
+        "key", KEY, F.col("call.response_text").alias("llm_response"), F.col("call.error").alias("error")
+    )
+
+
+@query
+def stored_inference_empty_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run over no row, then one over all."""
+    ctx = _contexts(spark, sf_dir).select(KEY, "company_and_transcript")
+    ask = {"provider": "model", "input_field": "company_and_transcript", "keys": [KEY], "options": FAST}
+    path = _answers_folder(spark)
+    infer_to_table(ctx.filter(F.lit(False)), path, {"model": B.rule_reply}, **ask)
+    return infer_to_table(ctx, path, {"model": B.rule_reply}, **ask).select(
+        KEY, F.col("call.response_text").alias("llm_response"), F.col("call.error").alias("error")
+    )
+
+
+@query
+def misfits_tried_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured verdicts whose first 0 to 3 answers, by the number of words, do not fit."""
+    judged = jobs.judge_structured(
+        _contexts(spark, sf_dir),
+        B.misfitting(B.rule_verdict, _failures_by_words),
+        "company_and_transcript",
+        instruction=f"at least {BASELINE_WORDS} words",
+        options=FAST,
+    )
+    return judged.select(KEY, "satisfied", "attempts", "error")
+
+
 @query
 def synthesis_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = jobs.synthesise_conversations(ingest_seed_messages(spark, sf_dir), B.rule_synthesis, FAST)
@@ -524,7 +584,8 @@ def call_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = infer(
         _contexts(spark, sf_dir), {"model": B.rule_reply}, "model", "company_and_transcript", options=FAST
     )
-    return metrics.throughput(asked)
+    timed = metrics.throughput(asked)
+    return timed.select("calls", (F.col("seconds") > 0).alias("took_time"), (F.col("calls_per_second") > 0).alias("has_rate"))
 
 
 @query
@@ -577,8 +638,9 @@ def judge_agreement_on_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def judge_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact match per document, and the transcript that a judge metric would read."""
-    shown = metrics.judged_transcript(F.col("lang"), F.col("source"))
-    rows = _examples(spark, sf_dir, "lang", "source").withColumn("n", word_count(F.col("transcript")))
+    predicted = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, F.concat(F.lit("shown: "), "transcript"))
+    shown = metrics.judged_transcript(predicted, F.col("transcript"))
+    rows = _examples(spark, sf_dir).withColumn("n", word_count(F.col("transcript")))
     said = F.when(F.col("n") >= GOLD_WORDS, "True").when(F.col("n") >= 50, " true").otherwise("FALSE")
     return rows.select(
         "doc_id",
@@ -673,6 +735,13 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def strict_seed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict sample from a table in which every tenth row has no key."""
+    keyed = _table(spark, sf_dir, "documents").withColumn("key", F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")))
+    return sampling.seeded_sample(keyed, 100, seed=3, key="key", strict=True).select("doc_id", "key", "lang")
+
+
 @query
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.train_test_split(_table(spark, sf_dir, "labels"), 0.4, seed=10, key="doc_id")
@@ -701,6 +770,43 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.candidate_scores(_judged_examples(spark, sf_dir))
 
 
+def _versions(spark: SparkSession) -> DataFrame:
+    """One program in as many versions as there are word bounds."""
+    rows = [
+        {
+            "program_id": "judge",
+            "version": v,
+            "task": "judge",
+            "instruction": f"Answer True if the last line has at least {n} words.",
+            "output_field": "satisfied",
+        }
+        for v, n in enumerate(CANDIDATE_WORDS, 1)
+    ]
+    return prompts.programs_table(spark, rows)
+
+
+def _judged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.score_judges(_examples(spark, sf_dir), _versions(spark), B.rule_program_verdict, options=FAST)
+
+
+@query
+def candidate_scores_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.candidate_scores(_judged_versions(spark, sf_dir))
+
+
+@query
+def best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.best_candidate(_judged_versions(spark, sf_dir))
+
+
+@query
+def latest_version_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of the latest of several versions."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("transcript"))
+    out = prompts.with_program_prompts(rows, prompts.latest_programs(_versions(spark)), "judge")
+    return out.select("doc_id", "program_id", "version", "user_prompt")
+
+
 @query
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.best_candidate(_judged_examples(spark, sf_dir))

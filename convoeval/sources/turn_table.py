@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +20,33 @@ def _with_line_breaks(text: Column, line_break: str) -> Column:
     return text if line_break == "\n" else F.replace(text, F.lit("\n"), F.lit(line_break))
 
 
-def conversations_from_turns(turns: DataFrame, line_break: str = " ") -> DataFrame:
+def conversations_from_turns(
+    turns: DataFrame, line_break: str = " ", speakers: Mapping[str, str] = SPEAKERS
+) -> DataFrame:
     """``conv_id, turn, role, text`` rows as ``conversation_id, company, conversation``.
 
     Each turn becomes one line: a newline inside a turn would begin a turn of the other
     speaker, so ``line_break`` takes its place (a newline keeps it). A system turn names
     the company with its first word: no system turn gives a null company, and one that
-    does not begin with a plain letter gives a blank company.
+    does not begin with a plain letter gives a blank company. Every other turn is spoken:
+    ``speakers`` says how its role is printed, and a role that is not in there is printed as
+    it is (a missing one as ``Unknown``). A turn without text is an empty line of its speaker.
+    A conversation of system turns only has nothing to show and no row.
 
     A conversation may hold a large share of all turns. Turns are therefore joined to text
     in pieces of ``PIECE`` turns first, which spreads a long conversation over many tasks,
     and the pieces are joined to the conversation: its task handles few large strings, and
     not more text than the one value that it writes.
     """
-    speaker = F.col("role")
-    for role, name in SPEAKERS.items():
+    speaker = F.coalesce("role", F.lit("Unknown"))
+    for role, name in speakers.items():
         speaker = F.when(F.col("role") == role, name).otherwise(speaker)
-    said = F.concat(speaker, F.lit(": "), _with_line_breaks(F.col("text"), line_break))
+    said = F.concat(speaker, F.lit(": "), _with_line_breaks(F.coalesce("text", F.lit("")), line_break))
     prepared = turns.select(
         F.col("conv_id").cast("string").alias("conversation_id"),
         F.floor(F.col("turn") / PIECE).alias("piece"),
         "turn",
-        F.when(F.col("role").isin(*SPEAKERS), said).alias("line"),
+        F.when(~F.col("role").eqNullSafe(F.lit("system")), said).alias("line"),
         F.when(F.col("role") == "system", F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("company"),
     )
     # collect_list skips the null structs of turns that are not spoken.

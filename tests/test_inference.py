@@ -182,25 +182,83 @@ def test_metadata_of_any_object_is_written():
     assert B.metadata_to_json("text") == '{"raw": "text"}' and B.metadata_to_json(5) == '{"raw": "5"}'
 
 
-def test_many_programs_are_joined_on_a_salt(spark, monkeypatch):
-    import convoeval.operators.prompts as prompts
-
-    programs = programs_table(
+def _programs(spark, numbers, padding=""):
+    return programs_table(
         spark,
         [
-            {"program_id": f"p{n}", "task": "judge", "instruction": f"at least {n} words", "output_field": "satisfied"}
-            for n in (1, 2, 3)
+            {"program_id": f"p{n}", "task": "judge", "instruction": f"at least {n} words{padding}", "output_field": "satisfied"}
+            for n in numbers
         ]
         + [{"program_id": "other", "task": "reply", "instruction": "x", "output_field": "y"}],
     )
 
-    def verdicts():
-        judged = judge_with_programs(table(spark), programs, B.rule_program_verdict, "text", FAST)
-        return sorted((r["conversation_id"], r["program_id"], r["satisfied"]) for r in judged.collect())
 
-    in_plan = verdicts()
-    monkeypatch.setattr(prompts, "PROMPTS_IN_PLAN", 0)
-    assert verdicts() == in_plan and len(in_plan) == 120
+def test_large_sets_of_programs_are_taken_in_slices(spark, monkeypatch):
+    import convoeval.operators.prompts as prompts
+
+    rows = table(spark).withColumn("a_map", F.create_map(F.lit("k"), "conversation_id"))
+
+    def verdicts(programs):
+        judged = judge_with_programs(rows, programs, B.rule_program_verdict, "text", FAST)
+        return sorted((r["conversation_id"], r["program_id"], r["version"], r["satisfied"]) for r in judged.collect())
+
+    whole = verdicts(_programs(spark, (1, 2, 3)))
+    assert len(whole) == 120
+    monkeypatch.setattr(prompts, "SLICE", 1)
+    assert verdicts(_programs(spark, (1, 2, 3))) == whole
+
+
+def test_five_megabytes_of_prompts(spark):
+    judged = judge_with_programs(
+        table(spark, 3), _programs(spark, (1, 2), " padding" * 320_000), B.rule_program_verdict, "text", FAST
+    )
+    assert judged.count() == 6
+
+
+def test_registry_keeps_versions(spark, tmp_path):
+    from convoeval.operators.prompts import latest_programs, load_programs, save_programs
+
+    path = str(tmp_path / "programs")
+    first = {"program_id": "p", "task": "judge", "instruction": "old", "output_field": "satisfied"}
+    save_programs(programs_table(spark, [first]), path)
+    save_programs(programs_table(spark, [{**first, "version": 2, "instruction": "new"}]), path)
+    assert load_programs(spark, path).count() == 2
+    assert [(r["version"], r["instruction"]) for r in latest_programs(load_programs(spark, path)).collect()] == [(2, "new")]
+
+
+def test_jobs_with_a_path_call_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    judged = judge_structured(table(spark, 12), logged(log), "text", options=FAST, path=str(tmp_path / "judged"))
+    assert judged.count() == 12 and len(judged.collect()) == 12
+    # The logging backend answers plain text, which is no verdict: each call is tried three times.
+    assert lines(log, "call") == 36
+
+
+def test_the_rate_is_that_of_all_tasks_and_attempts(spark, tmp_path):
+
+
+    def always_failing():
+        def call(request):
+            raise ConnectionError("no")
+
+        return call
+
+    options = CallOptions(partitions=4, threads=3, calls_per_second=20.0, tries=2, backoff_base=0.0)
+    started = time.time()
+    infer(table(spark, 40), {"m": always_failing}, "m", "text", options=options).collect()
+    assert 80 / (time.time() - started) <= 20.0 * 1.1
+    with pytest.raises(ValueError, match="needs partitions"):
+        CallOptions(calls_per_second=2.0)
+
+
+def test_null_and_repeated_keys_are_asked_once_over_two_runs(spark, tmp_path):
+    path, log = str(tmp_path / "answers"), str(tmp_path / "log")
+    rows = [(None, "a"), ("x", "b"), ("x", "b"), ("y", "c")]
+    df = spark.createDataFrame(rows, "conversation_id string, text string")
+    ask = {"provider": "m", "input_field": "text", "keys": ["conversation_id"], "options": FAST}
+    assert infer_to_table(df, path, {"m": logged(log)}, **ask).count() == 3
+    assert infer_to_table(df, path, {"m": logged(log)}, **ask).count() == 3
+    assert lines(log, "call") == 3
 
 
 def test_generate_and_split_asks_once_per_sampled_row(spark, tmp_path):

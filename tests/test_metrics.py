@@ -79,7 +79,7 @@ def test_switched(spark):
 def judged(spark):
     rows = [(f"p{p}", str(k), "True" if k % 2 else "False", "true" if k % (p + 1) else "false") for p in (1, 2) for k in range(60)]
     df = spark.createDataFrame(rows, "program_id string, conversation_id string, gold_standard string, satisfied string")
-    return candidates.add_match(df)
+    return candidates.add_match(df.withColumn("version", F.lit(1)))
 
 
 def test_candidates(spark):
@@ -91,6 +91,15 @@ def test_candidates(spark):
     assert candidates.best_candidate(tie.filter("false")).count() == 0
 
 
+def test_versions_are_scored_apart(spark):
+    both = judged(spark).filter("program_id = 'p1'")
+    both = both.unionByName(both.withColumns({"version": F.lit(2), "metric": F.lit(0)}))
+    scores = {(r["program_id"], r["version"]): (r["examples"], r["score"]) for r in candidates.candidate_scores(both).collect()}
+    assert scores == {("p1", 1): (60, 100.0), ("p1", 2): (60, 0.0)}
+    best = candidates.best_candidate(both).first()
+    assert (best["program_id"], best["version"]) == ("p1", 1)
+
+
 def test_demos_do_not_depend_on_partitions(spark):
     demos = candidates.select_demos(judged(spark), k=2)
     same = candidates.select_demos(judged(spark).repartition(13), k=2)

@@ -49,3 +49,12 @@ def test_labelled_examples(spark):
     df = spark.createDataFrame([("7", "  text\n", 3, None)], "conversation_id string, t string, n int, s string")
     row = prepare.labelled_examples(df, {"transcript": "t", "n": "n", "satisfied": "s"}).first()
     assert row.asDict() == {"_id": "example_7", "transcript": "text", "n": 3, "satisfied": None}
+
+
+def test_an_empty_struct_column_is_pruned(spark):
+    from convoeval.operators.prepare import drop_unneeded_columns
+
+    df = spark.createDataFrame([(1, None), (2, None)], "k int, llm_response struct<a: string>")
+    assert drop_unneeded_columns(df).columns == ["k"]
+    full = spark.createDataFrame([(1, None), (2, ("x",))], "k int, llm_response struct<a: string>")
+    assert drop_unneeded_columns(full).columns == ["k", "llm_response"]

@@ -95,3 +95,20 @@ def test_long_slice_of_a_hot_key_and_of_nothing(spark, monkeypatch):
 def test_sample_does_not_shuffle_the_table(spark):
     plan = sampling.seeded_sample(table(spark, 100).select("*"), 10)._jdf.queryExecution().toString()
     assert "TakeOrdered" not in plan and "Window" not in plan
+
+
+def test_rows_without_key_stay_in_the_tail_and_are_not_drawn(spark):
+    df = spark.createDataFrame([(str(i) if i % 2 else None,) for i in range(10)], "conversation_id string")
+    assert sampling.tail_slice(df, 0).count() == 10 and sampling.tail_slice(df, 2).count() == 8
+    assert sampling.seeded_sample(df, 5, strict=True).count() == 5
+    with pytest.raises(ValueError, match="cannot draw 6 rows from 5"):
+        sampling.seeded_sample(df, 6, strict=True)
+
+
+def test_rows_that_would_be_made_again_are_refused(spark):
+    import convoeval.operators.backends as B
+    from convoeval.operators.inference import infer
+
+    asked = infer(table(spark, 5), {"m": B.rule_reply}, "m", "conversation_id")
+    with pytest.raises(ValueError, match="store them first"):
+        sampling.seeded_sample(asked, 2)

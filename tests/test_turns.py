@@ -102,3 +102,15 @@ def test_render_keeps_every_turn_of_a_hot_conversation(spark):
     hot = [f"{'Customer' if t % 2 else 'Agent'}: {x.replace(chr(10), ' ')}" for c, t, _, x in rows if c == 1]
     assert got["1"].split("\n") == hot
     assert sum(len(v.split("\n")) for v in got.values()) == len(rows)
+
+
+def test_every_role_but_system_is_spoken(spark):
+    from convoeval.sources.turn_table import conversations_from_turns
+
+    rows = [(1, 0, "system", "Acme x"), (1, 1, "customer", "a"), (1, 2, "agent", "b"), (1, 3, "tool", "c\nd"), (1, 4, None, "e")]
+    rows += [(2, 0, "agent", None), (3, 0, "system", "Only")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conversation_id"]: r["conversation"] for r in conversations_from_turns(turns).collect()}
+    assert got == {"1": "customer: a\nagent: b\ntool: c d\nUnknown: e", "2": "agent: "}
+    mapped = conversations_from_turns(turns, speakers={"customer": "Customer", "agent": "Agent"}).collect()
+    assert {r["conversation"].split("\n")[0] for r in mapped} == {"Customer: a", "Agent: "}
