@@ -257,11 +257,29 @@ def _may_be_in(filter_: np.ndarray):
     return F.pandas_udf(look, "boolean")
 
 
-def _shared(prefixes: list[np.ndarray]) -> list[np.ndarray]:
-    """Of each prefix the tokens that another one has too. Only these can bring sets together."""
-    tokens, counts = np.unique(np.concatenate(prefixes), return_counts=True)
-    common = tokens[counts > 1]
-    return [p[np.isin(p, common)] for p in prefixes]
+class _Postings:
+    """Which of some token arrays share how many tokens with one of them."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.n = len(arrays)
+        sizes = [len(a) for a in arrays]
+        tokens, code, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+        common = counts[code] > 1
+        owner = np.repeat(np.arange(self.n), sizes)
+        # Tokens of one array only bring nothing together and are left out.
+        code, owner = code[common], owner[common]
+        self.owners = owner[np.argsort(code, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(tokens)))])
+        self.codes = np.split(code, np.searchsorted(owner, np.arange(1, self.n)))
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many tokens of array ``i`` each array has."""
+        lo, hi = self.starts[self.codes[i]], self.starts[self.codes[i] + 1]
+        size = hi - lo
+        if not len(size):
+            return np.zeros(self.n, np.int64)
+        at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        return np.bincount(self.owners[at], minlength=self.n)
 
 
 def links_between(
@@ -269,27 +287,28 @@ def links_between(
 ) -> list[tuple[int, int]]:
     """Edges that connect what the links between these sets connect.
 
-    With ``side`` only pairs of different sides count. A pair is looked at if it shares a prefix
-    token under the first order, is not connected yet, and shares one under the other orders too.
+    With ``side`` only pairs of different sides count. A pair is verified, by counting the tokens
+    that it shares, if it shares a prefix token under each of the three orders.
     """
     by = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    first, *others = [_shared([orders.prefix(s, k) for s in sets]) for k in range(3)]
-    union, posted, out = Union(), {}, []
-    for i in by:
-        near: set[int] = set()
-        for t in first[i].tolist():
-            near.update(posted.get(t, ()))
-            posted.setdefault(t, []).append(i)
-        todo = [
-            j
-            for j in near
-            if (side is None or side[i] != side[j]) and 100 * len(sets[j]) >= percent * len(sets[i])
-        ]
-        for j in sorted(todo, key=lambda j: (-len(sets[j]), ids[j])):
-            if union.root(j) == union.root(i) or not all(np.isin(o[i], o[j]).any() for o in others):
-                continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+    ids, sets = [ids[i] for i in by], [sets[i] for i in by]
+    n = np.array([len(s) for s in sets])
+    sides = np.array([side[i] for i in by]) if side is not None else None
+    prefixes = [_Postings([orders.prefix(s, k) for s in sets]) for k in range(3)]
+    whole, union, out = None, Union(), []
+    for i in range(1, len(ids)):
+        near = 100 * n[:i] >= percent * n[i]
+        if sides is not None:
+            near &= sides[:i] != sides[i]
+        for p in prefixes:
+            if near.any():
+                near &= p.shared(i)[:i] > 0
+        if not near.any():
+            continue
+        whole = whole or _Postings(sets)
+        shared = whole.shared(i)[:i]
+        for j in np.flatnonzero(near & (100 * shared >= percent * (n[:i] + n[i] - shared))).tolist():
+            if union.root(i) != union.root(j):
                 union.join(i, j)
                 out.append((ids[i], ids[j]))
     return out
