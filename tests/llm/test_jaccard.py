@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from convoeval.llm import jaccard
-from convoeval.llm.components import components
+from convoeval.llm.components import Union, components
 from convoeval.llm.shared import join_spread, work_folder
 from llm_data import awkward_texts, documents, linked, prose
 
@@ -57,6 +57,30 @@ def test_every_order_keeps_every_link():
             assert all(len(np.intersect1d(orders.prefix(a, k), orders.prefix(b, k))) for k in range(3))
 
 
+@pytest.mark.parametrize("trial", range(20))
+def test_links_of_a_cluster_connect_what_all_pairs_connect(trial):
+    rng = np.random.default_rng(trial)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    orders = jaccard.Orders(np.sort(draw(50)), rng.integers(3, 99, 50), 85)
+    bases = [np.unique(draw(rng.integers(5, 80))) for _ in range(4)]
+    sets = []
+    for _ in range(40):
+        base = bases[rng.integers(0, 4)]
+        kept = base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1])]
+        sets.append(np.unique(np.concatenate([kept, draw(rng.integers(0, 4))])))
+    sets = [s for s in sets if len(s)]
+    side = rng.integers(0, 2, len(sets)).tolist() if trial % 2 else None
+    got, expected = Union(), Union()
+    for a, b in jaccard.links_between(list(range(len(sets))), sets, side, orders, 85):
+        got.join(a, b)
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if (not side or side[i] != side[j]) and 100 * shared >= 85 * (len(sets[i]) + len(sets[j]) - shared):
+                expected.join(i, j)
+    assert [got.root(i) for i in range(len(sets))] == [expected.root(i) for i in range(len(sets))]
+
+
 def test_one_of_each_group_stays(spark):
     rows = group_of_copies()
     kept = jaccard.keep_one(documents(spark, rows))
