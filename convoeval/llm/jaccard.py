@@ -33,7 +33,7 @@ class Options:
     words: int = 4
     percent: int = 85  # of the union that the intersection must reach
     frequent: int = 1 << 18  # tokens that are known to be frequent, at most
-    counted: int = 1 << 22  # tokens that a task counts at a time
+    counted: int = 1 << 21  # tokens that a task counts at a time
     few: int = 32  # sets that may share a token and still be paired
     shard_rows: int = 1 << 20
     block: int = 1024  # sets of a cluster that meet in a task, twice at most
@@ -50,8 +50,10 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class _Words(dict):
+    """Hashes of words, emptied when full: idle Python workers keep what they once held."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
