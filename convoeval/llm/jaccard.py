@@ -320,11 +320,30 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
     """(a, b): links that connect the sets of each cluster.
 
     ``wanted`` has for each set the document that stands for it, its cluster and its block of the
-    cluster's ``blocks``. A cluster of one block meets once, others in all pairs of blocks.
+    cluster's ``blocks``. A cluster of one block meets once, others in all pairs of blocks. A set
+    that only documents without key have is found by its number, once in each task that reads it.
     """
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, seen = Shingler(o.words), set()
+        for batch in batches:
+            rows = []
+            for t in batch["_text"]:
+                tokens = shingles(t)
+                own = set_id(tokens) if len(tokens) else None
+                if own is not None and own not in seen:
+                    seen.add(own)
+                    rows.append((own, t))
+            yield pd.DataFrame(rows, columns=["set", "_text"])
+
+    read = documents.select(key, F.coalesce(text, F.lit("")).alias("_text"))
     hit = _may_be_in(bloom(wanted, key, o.bloom_bits))
-    texts = documents.select(key, F.coalesce(text, F.lit("")).alias("_text"))
-    texts = texts.filter(hit(F.xxhash64(key))).join(wanted, key)
+    texts = read.filter(F.col(key).isNotNull()).filter(hit(F.xxhash64(key))).join(wanted, key).drop(key)
+    keyless = wanted.filter(F.col(key).isNull()).drop(key)
+    if not keyless.isEmpty():
+        hit = _may_be_in(bloom(keyless, "set", o.bloom_bits))
+        named = read.filter(F.col(key).isNull()).select("_text").mapInPandas(name, "set long, _text string")
+        texts = texts.unionByName(named.filter(hit(F.xxhash64("set"))).join(keyless, "set"))
     mine, all_ = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
     meets = F.explode(F.transform(all_, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j"))))
 
@@ -364,16 +383,9 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
     return dealt.mapInPandas(meet, "a long, b long")
 
 
-def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every document.
-
-    A null or empty text, or one without words, has no shingle and is a component of its own. Equal
-    texts are linked. Repeated rows are returned each; a null key is never the smallest of a
-    component, so that one of null keys only has a null ``component_id``. Other columns are left
-    behind; an empty table gives no row.
-    """
-    o, spark = options, documents.sparkSession
-    folder = work_folder(spark, "jaccard")
+def _linked(documents: DataFrame, o: Options, key: str, text: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n, set) of every document, and (set, root) of every set that is linked to another."""
+    spark = documents.sparkSession
     read = stored(read_sets(documents, o, key, text), f"{folder}/sets")
     orders = frequent_tokens(read, o, o.percent)
     docs = read.filter("n >= 0").select(key, "n", "set")
@@ -401,7 +413,19 @@ def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id"
     wanted = stored(wanted, f"{folder}/wanted")
     links = stored(verified_links(documents, wanted, orders, o, key, text), f"{folder}/links")
 
-    roots = components(links, f"{folder}/components").select(F.col("node").alias("set"), "root")
+    return docs, components(links, f"{folder}/components").select(F.col("node").alias("set"), "root")
+
+
+def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every document.
+
+    A null or empty text, or one without words, has no shingle and is a component of its own. Equal
+    texts are linked. Repeated rows are returned each; a null key is never the smallest of a
+    component, so that one of null keys only has a null ``component_id``. Other columns are left
+    behind; an empty table gives no row.
+    """
+    docs, roots = _linked(documents, options, key, text, work_folder(documents.sparkSession, "jaccard"))
+    firsts = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key))
     linked = firsts.join(roots, "set")
     least = linked.groupBy("root").agg(F.min(key).alias("component_id"))
     of_set = firsts.join(roots.join(least, "root").drop("root"), "set", "left").select(
@@ -415,9 +439,28 @@ def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id"
 def keep_one(documents: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest key.
 
-    Of rows with the same key one stays. Rows without key cannot be told apart and all stay.
+    Of rows with the same key one stays. Rows without key are told apart by their texts: of those
+    of a component one stays, and all that have no words.
     """
-    joined = join(documents, options, key, text)
-    chosen = joined.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = documents.join(chosen, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
-    return kept.unionByName(documents.filter(F.col(key).isNull()))
+    o, folder = options, work_folder(documents.sparkSession, "jaccard")
+    docs, roots = _linked(documents, o, key, text, folder)
+    keyless = F.col(key).isNull()
+    sets = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key), F.bool_or(keyless).alias("keyless"))
+    each = sets.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root"))
+    chosen = stored(each.agg(F.min(key).alias(key), F.min(F.when(F.col("keyless"), F.col("set"))).alias("set")), f"{folder}/chosen")
+    keys = chosen.select(key).union(docs.filter("n = 0").select(key)).filter(~keyless).distinct()
+    kept = documents.join(keys, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
+
+    @F.pandas_udf("long")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingles = Shingler(o.words)
+        for batch in batches:
+            sets = map(shingles, batch)
+            yield pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64")
+
+    named = documents.filter(keyless).withColumn("_set", number(F.coalesce(text, F.lit(""))))
+    wanted = chosen.select(F.col("set").alias("_set")).filter("_set is not null")
+    one = named.filter("_set is not null").dropDuplicates(["_set"]).join(wanted, "_set", "left_semi")
+    for part in (one, named.filter("_set is null")):
+        kept = kept.unionByName(part.select(*documents.columns))
+    return kept
