@@ -439,28 +439,40 @@ def join(documents: DataFrame, options: Options = Options(), key: str = "doc_id"
 def keep_one(documents: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest key.
 
-    Of rows with the same key one stays. Rows without key are told apart by their texts: of those
-    of a component one stays, and all that have no words.
+    Of rows with the same key and set one stays; those with different sets are different documents.
+    Rows without key are told apart by their sets: of those of a component one stays, and all that
+    have no words.
     """
     o, folder = options, work_folder(documents.sparkSession, "jaccard")
     docs, roots = _linked(documents, o, key, text, folder)
     keyless = F.col(key).isNull()
+    first = F.min(F.when(~keyless, F.struct(key, "set")))
     sets = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key), F.bool_or(keyless).alias("keyless"))
     each = sets.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root"))
-    chosen = stored(each.agg(F.min(key).alias(key), F.min(F.when(F.col("keyless"), F.col("set"))).alias("set")), f"{folder}/chosen")
-    keys = chosen.select(key).union(docs.filter("n = 0").select(key)).filter(~keyless).distinct()
-    kept = documents.join(keys, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
+    least = each.agg(first.alias("first"), F.min(F.when(F.col("keyless"), F.col("set"))).alias("other"))
+    chosen = least.filter("first is not null").select("first.*").union(docs.filter("n = 0").select(key, "set").filter(~keyless).distinct())
+    shared = docs.filter(~keyless).groupBy(key).agg((F.min("set") != F.max("set")).alias("shared"))
+    chosen = chosen.join(shared, key).unionByName(
+        least.filter("other is not null").select(F.lit(None).cast(dict(docs.dtypes)[key]).alias(key), F.col("other").alias("set"), F.lit(True).alias("shared"))
+    )
+    chosen = stored(chosen, f"{folder}/chosen")
 
     @F.pandas_udf("long")
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingler(o.words)
         for batch in batches:
             sets = map(shingles, batch)
-            yield pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64")
-
-    named = documents.filter(keyless).withColumn("_set", number(F.coalesce(text, F.lit(""))))
-    wanted = chosen.select(F.col("set").alias("_set")).filter("_set is not null")
-    one = named.filter("_set is not null").dropDuplicates(["_set"]).join(wanted, "_set", "left_semi")
-    for part in (one, named.filter("_set is null")):
+            yield pd.Series([set_id(s) if len(s) else 0 for s in sets], dtype="int64")
+
+    # The key tells the row where it has one set only; elsewhere the text must be read again.
+    kept = documents.join(chosen.filter("not shared").select(key), key, "left_semi").dropDuplicates([key])
+    kept = kept.select(*documents.columns)
+    wanted = chosen.filter("shared").select(F.col(key).alias("_key"), F.col("set").alias("_set"))
+    several = documents.join(wanted.select("_key").filter("_key is not null").distinct(), F.col(key) == F.col("_key"), "left_semi")
+    named = several.unionByName(documents.filter(keyless)).withColumn("_number", number(F.coalesce(text, F.lit(""))))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_number") == F.col("_set"))
+    wordless = keyless & (F.col("_number") == 0)
+    one = named.filter(~wordless).dropDuplicates([key, "_number"]).join(wanted, same, "left_semi")
+    for part in (one, named.filter(wordless)):
         kept = kept.unionByName(part.select(*documents.columns))
     return kept

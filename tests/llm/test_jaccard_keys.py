@@ -33,3 +33,11 @@ def test_one_keyless_row_of_a_component_stays(spark):
     assert Counter(r["doc_id"] for r in kept) == Counter({None: 4, 5: 1})
     texts = [r["text"] for r in kept if r["doc_id"] is None]
     assert sum(t in a for t in texts if t) == 1 and b[1] in texts
+
+
+def test_different_texts_of_one_key_are_different_documents(spark):
+    rng = random.Random(23)
+    a, alone, other = chain(prose(rng, 120).split()), prose(rng, 80), prose(rng, 80)
+    rows = [(1, a[0]), (2, a[1]), (2, alone), (2, alone), (3, other), (3, ""), (3, ""), (3, None), (4, "")]
+    kept = jaccard.keep_one(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(1, a[0]), (2, alone), (3, other), (3, ""), (4, "")])
