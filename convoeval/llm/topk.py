@@ -37,7 +37,12 @@ class Options:
 def integers(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null unless every component is a finite number."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
+
+    def whole(x: Column) -> Column:
+        y = F.lit(scale) * x.cast("double")  # whole already from 2 ** 53 on, where floor would end at 2 ** 63
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return F.when(fine, F.transform(vector, whole))
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -45,12 +50,20 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    norms = np.einsum("ij,ij->i", out, out)
-    if len(norms) and norms.max() >= 2.0**53:
-        raise ValueError("vectors too long for exact inner products in float64")
+    if not np.isfinite(out).all():
+        raise ValueError("vectors too long for exact inner products: scaled components are infinite")
     return out
 
 
+def exact_products(vectors: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of whole numbers too large for float64."""
+    norms = np.array([np.einsum("ij,ij->i", vectors, vectors).max(initial=0), query @ query])
+    if norms.max() < 2.0**124 and norms.prod() < 2.0**124:
+        return (vectors.astype(np.int64) @ query.astype(np.int64)).tolist()
+    q = [int(x) for x in query.tolist()]
+    return [sum(int(x) * y for x, y in zip(row, q)) for row in vectors.tolist()]
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest first: each pivot is the vector farthest from those chosen so far."""
     if not len(sample):
@@ -67,12 +80,21 @@ def best(query: np.ndarray, near: np.ndarray, ids: np.ndarray, vectors: np.ndarr
          distances: np.ndarray, own, k: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best candidates: highest score, then smallest id.
 
-    ``near`` and ``distances`` are the distances of query and candidates to the pivots.
+    ``near`` and ``distances`` are the distances of query and candidates to the pivots. Candidates
+    whose products float64 may not hold exactly are all scored, in whole numbers.
     """
-    apart = np.abs(distances - near).max(axis=1) if len(near) else np.zeros(len(ids))
-    apart = np.maximum(apart - 1e-9 * (1 + distances.max(initial=0)), 0)  # rounding of the roots
-    bound = (query @ query + norms - apart * apart) / 2 + 1e-6
+    with np.errstate(invalid="ignore", over="ignore"):
+        apart = np.zeros(len(ids))
+        if len(near):  # less the rounding of the roots
+            slack = 1e-9 * (1 + np.maximum(distances.max(axis=0, initial=0), near))
+            apart = np.fmax(np.fmax.reduce(np.abs(distances - near) - slack, axis=1), 0)
+        both = query @ query + norms
+        bound = (both - apart * apart) / 2 + 1e-6 + 1e-12 * both
+        large = ~(norms * (query @ query) < 2.0**105)
     bound[ids == own] = -np.inf
+    if large.any():
+        large &= ids != own
+        bound[large] = -np.inf
     order = np.argsort(-bound, kind="stable")
     got_ids, got = np.zeros(0, ids.dtype), np.zeros(0)
     for lo in range(0, len(order), chunk):
@@ -84,6 +106,10 @@ def best(query: np.ndarray, near: np.ndarray, ids: np.ndarray, vectors: np.ndarr
         got = np.concatenate([got, vectors[part] @ query])
         top = np.lexsort((got_ids, -got))[:k]
         got_ids, got = got_ids[top], got[top]
+    if large.any():
+        exact = exact_products(vectors[large], query)
+        scored = sorted(zip([-int(x) for x in got] + [-x for x in exact], [*got_ids, *ids[large]]))[:k]
+        got_ids, got = np.array([i for _, i in scored], ids.dtype), np.array([-x for x, _ in scored], object)
     return got_ids, got
 
 
@@ -93,7 +119,8 @@ def search(embeddings: DataFrame, is_query: Column, options: Options = Options()
     Candidates are all rows but those with the query's own id. Vectors that are null or hold a
     null or non-finite component, and rows without id, take no part. Equal rows count once;
     different vectors with one id are candidates and queries each. Vectors of unequal length are
-    compared as if filled with zeros. Norms of 2 ** 26.5 or more raise an error.
+    compared as if filled with zeros. Scores are exact for vectors of any length; a score among the
+    best of a block that a 64-bit integer does not hold raises an error.
     """
     o, spark = options, embeddings.sparkSession
     rows = embeddings.select(F.col(key).alias("id"), integers(F.col(vector), o.scale).alias("v"), is_query.alias("q"))
@@ -113,7 +140,7 @@ def search(embeddings: DataFrame, is_query: Column, options: Options = Options()
             yield batch.assign(d=list(d))
 
     table = stored(
-        rows.mapInPandas(measure, f"id {kind}, v array<bigint>, q boolean, d array<double>"),
+        rows.mapInPandas(measure, f"id {kind}, v array<double>, q boolean, d array<double>"),
         work_folder(spark, "pivots"),
     )
     sizes = table.agg(F.count("*"), F.count_if("q")).first()
@@ -139,6 +166,8 @@ def search(embeddings: DataFrame, is_query: Column, options: Options = Options()
             far, near = np.array(c["d"].tolist()), np.array(q["d"].tolist())
             for i, (own, row) in enumerate(zip(q["id"], q["row"])):
                 got, scores = best(y[i], near[i], ids, x, norms, far, own, o.k, o.chunk)
+                if any(not -(2**63) <= s < 2**63 for s in scores):
+                    raise ValueError("vectors too long for exact inner products in 64 bits")
                 found += [(own, row, a, int(s)) for a, s in zip(got, scores)]
         return pd.DataFrame(found, columns=["query_id", "row", "vec_id", "score"])
 
