@@ -65,6 +65,11 @@ def probabilities(lowest: float) -> np.ndarray:
     return np.concatenate([p, np.zeros(256 - LEVELS)])
 
 
+def code_width(words: int) -> int:
+    """Bytes of hash that tell so many words apart: fewer than one pair is expected to share its code."""
+    return min(8, max(4, -(-2 * int(words).bit_length() // 8)))
+
+
 # Keys travel as text, since pandas has no exact whole numbers beside nulls.
 BLOCK = "block string, keys array<string>, lengths binary, train binary, words binary, tokens binary, n_tokens long, n_train long"
 
@@ -161,7 +166,8 @@ def word_counts(cut: DataFrame, shards: int, hot_count: float) -> DataFrame:
     """What the vocabulary's shards answer.
 
     A row (block, shard, counts) for each block, and a row without block for the shard itself:
-    its number of distinct training words, and hashes and counts of those with ``hot_count``.
+    its numbers of distinct words and of those in training, and hashes and counts of those with
+    ``hot_count``.
     """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,16 +193,16 @@ def word_counts(cut: DataFrame, shards: int, hot_count: float) -> DataFrame:
         ends = np.cumsum([len(w) for w in words])
         each = [_zip(total[inverse[e - len(w) : e]]) for w, e in zip(words, ends)]
         shard = pdf["shard"].iloc[0]
-        out = [(b, shard, c, 0, None, None) for b, c in zip(pdf["block"], each)]
+        out = [(b, shard, c, 0, 0, None, None) for b, c in zip(pdf["block"], each)]
         often = total >= max(1.0, hot_count)
-        out.append((None, shard, None, int((total > 0).sum()), known[often].tobytes(), total[often].tobytes()))
-        return pd.DataFrame(out, columns=["block", "shard", "counts", "distinct", "hot", "hot_counts"])
+        out.append((None, shard, None, len(known), int((total > 0).sum()), known[often].tobytes(), total[often].tobytes()))
+        return pd.DataFrame(out, columns=["block", "shard", "counts", "all_words", "distinct", "hot", "hot_counts"])
 
     sent = cut.select("block", "lengths", "train", "words", "tokens").mapInPandas(
         send, "block string, shard int, words binary, counts binary"
     )
     return sent.groupBy("shard").applyInPandas(
-        answer, "block string, shard int, counts binary, distinct long, hot binary, hot_counts binary"
+        answer, "block string, shard int, counts binary, all_words long, distinct long, hot binary, hot_counts binary"
     )
 
 
@@ -304,9 +310,8 @@ def score(documents: DataFrame, options: Options = Options(), key: str = "doc_id
     shards = max(4, -(-tokens // o.shard_tokens))
 
     words = stored(word_counts(cut, shards, o.hot_share * train), f"{folder}/words")
-    vocabulary = words.agg(F.sum("distinct")).first()[0] or 0
-    # Wide enough that a word shares its code with another one in a few hundred cases at most.
-    width = min(8, max(4, -(-(int(vocabulary).bit_length() + 8) // 8)))
+    sums = words.agg(F.sum("distinct"), F.sum("all_words")).first()
+    vocabulary, width = sums[0] or 0, code_width(sums[1] or 0)
     hot: dict[int, int] = {}
     for r in words.filter(F.col("block").isNull()).select("hot", "hot_counts").toLocalIterator():
         for h, c in zip(np.frombuffer(r["hot"], np.uint64), np.frombuffer(r["hot_counts"], np.uint64)):
