@@ -26,13 +26,18 @@ from convoeval.llm.shared import held_out, labelled_sample
 
 @dataclass(frozen=True)
 class Options:
-    """``sample_rows`` and ``sample_bytes`` bound, per class, what the driver trains on."""
+    """``sample_rows`` and ``sample_bytes`` bound, per class, what the driver trains on.
+
+    The ordinary dictionary is trained on every k-th window of its sample, so that from
+    ``train_windows`` to twice as many are left; fewer windows are all taken.
+    """
 
     sample_rows: int = 2000
     sample_bytes: int = 7_000_000
     window: int = 48
     hop: int = 16
     level: int = 3
+    train_windows: int = 60000
     ordinary_bytes: int = 65536
     toxic_bytes: int = 2048
     gains: tuple[int, ...] = (2, 3, 4, 5, 6, 8)
@@ -124,7 +129,7 @@ def _windows(texts: list[bytes], o: Options) -> list[bytes]:
 def _ordinary_dictionary(texts: list[bytes], o: Options) -> bytes:
     windows = _windows(texts, o)
     try:
-        return zstandard.train_dictionary(o.ordinary_bytes, windows[:: max(1, len(windows) // 60000)], k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(o.ordinary_bytes, windows[:: max(1, len(windows) // o.train_windows)], k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from
         return b"".join(texts)[-o.ordinary_bytes :] or b"\n" * 8
 
