@@ -30,7 +30,3 @@ def spark(tmp_path_factory):
 def sf_dir():
     return SF_DIR
 
-
-def column(df, name):
-    """Values of a column in the order of the ``k`` column."""
-    return [r[name] for r in sorted(df.collect(), key=lambda r: r["k"])]

@@ -1,5 +1,5 @@
 import pytest
-from conftest import column
+from table_values import column
 from pyspark.sql import functions as F
 
 from convoeval.operators import prepare

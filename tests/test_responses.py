@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import column
+from table_values import column
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
