@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, jaccard, lm, packing, quality_cnn, rules, token_store, topk, toxicity, warc
+from convoeval.llm import bpe, jaccard, lexical, lm, packing, quality_cnn, rules, token_store, topk, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,6 +110,33 @@ def op10_language_model(spark, sf_dir):
     return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op11_lexical_search(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(documents, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+_TERMS_11 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS_11} AS t FROM documents),
+n AS (SELECT rid, doc_id, len(t)::BIGINT AS n FROM d),
+g AS (SELECT count(*) FILTER (WHERE n > 0)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM n),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY rid, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, g),
+q AS (SELECT item_id, unnest({_TERMS_11}) AS term FROM benchmark),
+m AS (SELECT rid, doc_id, 25 + (75 * n * big_n) // big_l AS m FROM n, g WHERE n > 0),
+s AS (
+    SELECT q.item_id, m.rid, m.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m)))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (rid)
+    GROUP BY q.item_id, m.rid, m.doc_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 # The pipeline of these operators; it lies at the top of the repository and is part of them.
 import corpus_pipeline  # noqa: E402
 
