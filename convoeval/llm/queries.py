@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, jaccard, lexical, lm, packing, quality_cnn, rules, token_store, topk, toxicity, warc
+from convoeval.llm import bpe, jaccard, lexical, lm, packing, quality_cnn, rules, simhash, token_store, topk, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -137,6 +137,15 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <
 """
 
 
+@_query
+def op12_simhash_near_dedup(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(documents).select("doc_id", "fingerprint", "component_id")
+
+
+# op12 has no SQL: DuckDB has no XXH64. tests/llm/test_simhash.py holds it against brute force.
+
+
 # The pipeline of these operators; it lies at the top of the repository and is part of them.
 import corpus_pipeline  # noqa: E402
 
