@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoeval.llm import bpe, jaccard, lexical, lm, packing, quality_cnn, rules, simhash, token_store, topk, toxicity, warc
+from convoeval.llm import bpe, divergence, jaccard, lexical, lm, packing, quality_cnn, rules, simhash, token_store, topk, toxicity, warc
 from convoeval.llm.shared import work_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -146,6 +146,55 @@ def op12_simhash_near_dedup(spark, sf_dir):
 # op12 has no SQL: DuckDB has no XXH64. tests/llm/test_simhash.py holds it against brute force.
 
 
+@_query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+_TERMS_13 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op13_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS_13} AS t FROM documents),
+o AS (SELECT rid, lang, source, unnest(t) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT l.lang, count(k.term)::BIGINT AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k USING (lang) GROUP BY l.lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+gc AS (SELECT o.lang, o.source, o.term, count(*)::BIGINT AS c FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(gc.c, 0)::BIGINT AS c FROM groups g JOIN kept k USING (lang) LEFT JOIN gc USING (lang, source, term)),
+gn AS (SELECT lang, source, sum(c)::BIGINT AS n FROM cells GROUP BY ALL),
+lc AS (SELECT lang, term, sum(c)::BIGINT AS c FROM cells GROUP BY ALL),
+ln AS (SELECT lang, sum(c)::BIGINT AS n FROM lc GROUP BY lang),
+gp AS (
+    SELECT x.lang, x.source, x.term, x.c, (1 + (1000000000::HUGEINT * (x.c + 2)) // (gn.n + 2 * v.v))::BIGINT AS p
+    FROM cells x JOIN gn USING (lang, source) JOIN v USING (lang)
+),
+lp AS (
+    SELECT lc.lang, lc.term, (1 + (1000000000::HUGEINT * (lc.c + 2)) // (ln.n + 2 * v.v))::BIGINT AS q
+    FROM lc JOIN ln USING (lang) JOIN v USING (lang)
+),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+    FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL
+),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+terms AS (
+    SELECT gp.lang, gp.source, 'term' AS part, gp.term AS item, (((gp.p - lp.q) * (gp.p - lp.q)) // (gp.p + lp.q))::BIGINT AS value
+    FROM gp JOIN lp USING (lang, term)
+    WHERE gp.c > 0 AND gp.p > lp.q
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 # The pipeline of these operators; it lies at the top of the repository and is part of them.
 import corpus_pipeline  # noqa: E402
 
