@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from convoeval.llm.components import Union, components
 from convoeval.llm.shared import WORD, join_spread, partitions_for, stored, work_folder
@@ -64,7 +65,7 @@ def shingle_hashes(w: Column, words: int = 3) -> Column:
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def majority(hashes: pd.Series) -> pd.Series:
     """Bit i is 1 where more than half of the hashes have it; no hashes give 0."""
     out = np.zeros(len(hashes), dtype=np.uint64)
