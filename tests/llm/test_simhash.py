@@ -1,0 +1,40 @@
+import random
+
+from convoeval.llm import simhash
+from llm_data import CLASHING, awkward_texts, documents, prose
+
+
+def run(spark, rows, **options):
+    df = documents(spark, rows).withColumn("fingerprint", simhash.F.lit("old"))
+    out = simhash.near_duplicates(df, options=simhash.Options(**options))
+    assert set(CLASHING) - {"component_id"} <= set(out.columns)
+    assert out.columns.count("fingerprint") == 1 and out.columns.count("component_id") == 1
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fingerprint"], -1 if r["component_id"] is None else r["component_id"]) for r in out.collect())
+
+
+def brute(rows):
+    return sorted((d is None, d or 0, f, c if c is not None else -1) for (_, d), (f, c) in simhash.brute_force(rows).items())
+
+
+def test_awkward_rows(spark):
+    rows = awkward_texts()
+    assert run(spark, rows) == brute(rows)
+
+
+def test_near_copies_at_one_and_two_bits(spark):
+    rng = random.Random(2)
+    base = [prose(rng, 300) for _ in range(5)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base):  # small edits give fingerprints a few bits apart
+        w = t.split()
+        for e in range(1, 6):
+            v = list(w)
+            for k in range(e):
+                v[7 * k + e] = "edit" + str(k)
+            rows.append((100 * (i + 1) + e, " ".join(v)))
+    rows += [(900 + i, base[0]) for i in range(40)]  # a group of exact copies
+    assert run(spark, rows, compare=3) == brute(rows)
+
+
+def test_empty(spark):
+    assert run(spark, []) == []
