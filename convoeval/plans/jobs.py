@@ -1,14 +1,25 @@
-"""The jobs of the workflow, composed from the operators."""
+"""The jobs of the workflow, composed from the operators.
+
+A job with a ``path`` keeps its model calls in an answer log there (``operators.answer_log``):
+it asks only the requests that no committed wave answered, in ``waves`` slices that each commit
+on their own, so a job killed at 99 % asks the last 1 % when it is run again. What it returns is
+read from the log: each input row with the answer of its current request, whatever older prompts
+left there. Answers are told by ``keys`` and the request; by default the keys are those of
+``conversation_id``, ``doc_id``, ``program_id`` and ``version`` that the rows have.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoeval import schemas
 from convoeval.operators.backends import Backend
 from convoeval.operators.candidates import add_match
-from convoeval.operators.inference import CallOptions, infer, materialise
+from convoeval.operators import answer_log
+from convoeval.operators.inference import REQUEST, CallOptions, infer
 from convoeval.operators.metrics import judged_true
 from convoeval.operators.prompts import (
     JUDGE_INSTRUCTION,
@@ -30,9 +41,31 @@ from convoeval.operators.turns import truncate_table
 from convoeval.sources.tables import save_splits
 
 
-def _once(df: DataFrame, path: str | None) -> DataFrame:
-    """With a path the calls are made now, once, and the stored rows are returned."""
-    return df if path is None else materialise(df, path)
+KEY_NAMES = ("conversation_id", "doc_id", "program_id", "version")
+
+
+def _ask(
+    df: DataFrame,
+    backend: Backend,
+    input_field: str,
+    system_prompt,
+    options: CallOptions,
+    path: str | None,
+    keys: Sequence[str] | None = None,
+    schema=None,
+    model_name=None,
+    temperature=None,
+    waves: int = 1,
+) -> DataFrame:
+    """``df`` with ``call``: asked now, or with a path through the answer log there."""
+    if path is None:
+        return infer(df, {"model": backend}, "model", input_field, system_prompt, model_name, temperature, options, schema)
+    keys = [k for k in KEY_NAMES if k in df.columns] if keys is None else list(keys)
+    asked = answer_log.ask(
+        df, path, {"model": backend}, "model", input_field, keys, system_prompt, model_name, temperature,
+        options, schema, answer_log.LogOptions(waves=waves),
+    )
+    return asked.drop(REQUEST)
 
 
 def add_judge_context(df: DataFrame) -> DataFrame:
@@ -52,14 +85,16 @@ def synthesise_conversations(
     backend: Backend,
     options: CallOptions = CallOptions(temperature=1.0),
     path: str | None = None,
+    keys: Sequence[str] | None = None,
+    waves: int = 1,
 ) -> DataFrame:
     """Seed messages to synthetic conversations with company and text.
 
     This and the other jobs call the model whenever their rows are read. With ``path`` they
-    call it once, write the rows there and return what is stored.
+    keep the answers there and ask only what is missing (see the module).
     """
-    asked = infer(seeds, {"model": backend}, "model", "Text", SYNTHESIS_INSTRUCTION, options=options)
-    return _once(split_company_and_conversation(fold_text_call(asked)), path)
+    asked = _ask(seeds, backend, "Text", SYNTHESIS_INSTRUCTION, options, path, keys, waves=waves)
+    return split_company_and_conversation(fold_text_call(asked))
 
 
 def generate_replies(
@@ -67,11 +102,13 @@ def generate_replies(
     backend: Backend,
     options: CallOptions = CallOptions(temperature=1.0),
     path: str | None = None,
+    keys: Sequence[str] | None = None,
+    waves: int = 1,
 ) -> DataFrame:
     """Contexts to replies and output transcripts, with a plain text model."""
-    asked = infer(contexts, {"model": backend}, "model", "company_and_transcript", REPLY_INSTRUCTION, options=options)
+    asked = _ask(contexts, backend, "company_and_transcript", REPLY_INSTRUCTION, options, path, keys, waves=waves)
     full = output_transcript(F.col("company_and_transcript"), F.col("llm_response"))
-    return _once(fold_text_call(asked).withColumn("output_transcript", full), path)
+    return fold_text_call(asked).withColumn("output_transcript", full)
 
 
 def generate_and_split(
@@ -83,15 +120,18 @@ def generate_and_split(
     seed: int = 10,
     truncate_seed: int = 101,
     options: CallOptions = CallOptions(temperature=1.0),
+    answers: str | None = None,
 ) -> None:
     """Truncate, sample, reply and store as the splits ``train`` and ``test``.
 
-    Sample and split depend on the keys alone and are decided before the calls, so the
-    calls and the write are one stage and nothing is asked twice.
+    Sample and split depend on the keys alone and are decided before the calls, so nothing is
+    asked twice. The replies are kept in an answer log at ``answers`` (by default beside
+    ``path``, as ``path.answers``), so that a failed write asks nothing again.
     """
     contexts = augmented_contexts(conversations, truncate_seed)
     chosen = train_test_split(seeded_sample(contexts, n_samples, seed), test_size, seed)
-    save_splits(generate_replies(chosen, backend, options), path)
+    log = answers or f"{path.rstrip('/')}.answers"
+    save_splits(generate_replies(chosen, backend, options, path=log), path)
 
 
 def judge_structured(
@@ -102,18 +142,12 @@ def judge_structured(
     instruction: str = JUDGE_INSTRUCTION,
     options: CallOptions = CallOptions(),
     path: str | None = None,
+    waves: int = 1,
 ) -> DataFrame:
     """Transcripts to ``satisfied BOOLEAN`` and ``explanation``."""
-    asked = infer(
-        transcripts.select(key, input_field),
-        {"model": backend},
-        "model",
-        input_field,
-        instruction,
-        options=options,
-        schema=schemas.STRUCTURED_VERDICT,
-    )
-    return _once(extract_structured_verdict(fold_structured_call(asked)), path)
+    rows = transcripts.select(key, input_field)
+    asked = _ask(rows, backend, input_field, instruction, options, path, [key], schemas.STRUCTURED_VERDICT, waves=waves)
+    return extract_structured_verdict(fold_structured_call(asked))
 
 
 def run_programs(
@@ -125,27 +159,18 @@ def run_programs(
     input_field: str = "transcript",
     options: CallOptions = CallOptions(),
     path: str | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every program of a task on every row: ``program_id``, ``version`` and a typed ``response``.
 
     A failed call gives a null response with its error, so no row is lost.
     """
     prompts = with_program_prompts(df, programs, task, input_field)
-    asked = infer(
-        prompts,
-        {"model": backend},
-        "model",
-        "user_prompt",
-        F.col("system_prompt"),
-        F.col("model_name"),
-        F.col("temperature"),
-        options,
-        schema,
+    asked = _ask(
+        prompts, backend, "user_prompt", F.col("system_prompt"), options, path, keys, schema,
+        F.col("model_name"), F.col("temperature"),
     )
-    answered = fold_structured_call(asked, schema).drop(
-        "system_prompt", "user_prompt", "model_name", "temperature", "output_field"
-    )
-    return _once(answered, path)
+    return fold_structured_call(asked, schema).drop("system_prompt", "user_prompt", "model_name", "temperature", "output_field")
 
 
 def judge_with_programs(
@@ -189,12 +214,15 @@ def score_generators(
     The two model calls are two Arrow stages of the same task; nothing is shuffled between.
     """
     replies = run_programs(
-        examples, generators, "reply", reply_backend, schemas.PROGRAM_REPLY, input_field, options
+        examples, generators, "reply", reply_backend, schemas.PROGRAM_REPLY, input_field, options,
+        path and f"{path}/reply",
     )
     full = replies.withColumn(
         "output_transcript", output_transcript(F.col(input_field), F.col("response.llm_response"))
     ).withColumnsRenamed({"program_id": "generator_id", "version": "generator_version"})
-    judged = judge_with_programs(full.drop("response", "error"), judges, judge_backend, options=options)
+    judged = judge_with_programs(
+        full.drop("response", "error"), judges, judge_backend, options=options, path=path and f"{path}/judge"
+    )
     names = {"program_id": "judge_id", "version": "judge_version"}
     scored = judged.withColumn("metric", judged_true(F.col("satisfied"))).withColumnsRenamed(names)
-    return _once(scored.withColumnsRenamed({"generator_id": "program_id", "generator_version": "version"}), path)
+    return scored.withColumnsRenamed({"generator_id": "program_id", "generator_version": "version"})
