@@ -473,6 +473,11 @@ SELECT conversation_id, company_and_transcript || {NL} || 'Support: ' || {_REPLY
 WITH {_CTX}
 SELECT conversation_id, company_and_transcript || {NL} || 'Support: ' || {_PROGRAM_REPLY} AS output_transcript
 FROM ctx""",
+    "resumed_judge_job": f"""
+WITH {_CTX}, r AS (SELECT conversation_id, {_REPLY_WORDS} + 1 AS n FROM ctx)
+SELECT conversation_id, n >= 12 AS satisfied, 'last line has ' || n || ' of 12 words' AS explanation FROM r""",
+    "current_answers": f"""
+WITH {_CTX} SELECT conversation_id, {_REPLY} AS llm_response, CAST(NULL AS VARCHAR) AS error FROM ctx""",
     "judge_job": f"""
 WITH {_CTX}, r AS (SELECT conversation_id, {_REPLY_WORDS} + 1 AS n FROM ctx)
 SELECT conversation_id, n >= 12 AS satisfied, 'last line has ' || n || ' of 12 words' AS explanation FROM r""",

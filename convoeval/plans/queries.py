@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from convoeval import schemas
 from convoeval.functions.text import normalise_label, reading_ease, word_count
+from convoeval.operators import answer_log
 from convoeval.operators import backends as B
 from convoeval.operators import candidates, comparison, metrics, prepare, prompts, responses, sampling, turns
 from convoeval.operators.inference import checkpoint_dir, infer, infer_to_table, without_waits
@@ -561,6 +562,61 @@ def judge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(KEY, "satisfied", "explanation")
 
 
+def _killed_on(inner: B.Backend, dies) -> B.Backend:
+    """``inner``, whose task dies (no retry catches it) on the requests for which ``dies`` holds."""
+
+    class Lost(BaseException):
+        pass
+
+    def factory() -> B.Client:
+        client = inner()
+
+        def call(request: B.Request) -> dict:
+            if dies(request):
+                raise Lost("the task was lost")
+            return client(request)
+
+        return call
+
+    return factory
+
+
+def _long_input(request: B.Request) -> bool:
+    return len(request["user"]) % 7 == 0
+
+
+@query
+def resumed_judge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored judge job in four waves whose tasks die on some requests, run again to the end.
+
+    The waves that committed before the failure are not asked again; the result is that of one
+    clean run.
+    """
+    replies = jobs.generate_replies(_contexts(spark, sf_dir), B.rule_reply, FAST)
+    path, judge = _answers_folder(spark), {"instruction": "at least 12 words", "options": FAST, "waves": 4}
+    try:
+        jobs.judge_structured(replies, _killed_on(B.rule_verdict, _long_input), path=path, **judge).count()
+    except Exception:  # the job failed as a lost executor would make it fail
+        pass
+    judged = jobs.judge_structured(replies, B.rule_verdict, path=path, **judge)
+    return judged.select(KEY, "satisfied", "explanation")
+
+
+@query
+def current_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies stored under one system prompt, then asked with a new one for every third key.
+
+    The log keeps both answers of those keys; the view returns the one of the current request.
+    """
+    ctx = _contexts(spark, sf_dir).select(KEY, "company_and_transcript")
+    ask = {"provider": "model", "input_field": "company_and_transcript", "keys": [KEY], "options": FAST}
+    path = _answers_folder(spark)
+    answer_log.ask(ctx, path, {"model": B.rule_reply}, system_prompt="first", **ask)
+    changed = F.when(F.col(KEY).cast("int") % 3 == 0, F.lit("second")).otherwise(F.lit("first"))
+    done = answer_log.ask(ctx, path, {"model": B.rule_reply}, system_prompt=changed, **ask)
+    return done.select(KEY, F.col("call.response_text").alias("llm_response"), F.col("call.error").alias("error"))
+
+
 # --- metrics ----------------------------------------------------------------------------
 
 
