@@ -164,11 +164,18 @@ def ask(
     options: CallOptions = CallOptions(),
     schema: T.StructType | None = None,
     log_options: LogOptions = LogOptions(),
+    system_prompts: Mapping[int, str] | None = None,
+    request_system: Column | None = None,
 ) -> DataFrame:
-    """The rows of ``df`` with ``request`` and ``call``; what the log lacks is asked first."""
+    """The rows of ``df`` with ``request`` and ``call``; what the log lacks is asked first.
+
+    With ``system_prompts`` (numbers in ``system_prompt``, as ``infer`` takes them) the request is
+    told by ``request_system``, a column that stands for the prompt text, such as its hash.
+    """
     spark = df.sparkSession
     keys = list(keys)
-    rows = df.withColumn(REQUEST, request_key(provider, system_prompt, input_field, model_name, temperature, options, schema))
+    system_seen = request_system if system_prompts is not None else system_prompt
+    rows = df.withColumn(REQUEST, request_key(provider, system_seen, input_field, model_name, temperature, options, schema))
     for wave in range(log_options.waves):
         done = _answered(read_log(spark, path), keys)
         part = rows if log_options.waves == 1 else rows.filter(F.pmod(F.xxhash64(*keys, REQUEST), F.lit(log_options.waves)) == wave)
@@ -177,7 +184,9 @@ def ask(
         if todo.isEmpty():
             continue
         number = _next_number(spark, path)
-        asked = infer(todo, backends, provider, input_field, system_prompt, model_name, temperature, options, schema)
+        asked = infer(
+            todo, backends, provider, input_field, system_prompt, model_name, temperature, options, schema, system_prompts
+        )
         asked.select(*keys, REQUEST, F.lit(number).alias(WAVE), "call").write.parquet(f"{path}/data/wave-{number:08d}")
         _claim(spark, path, number, "wave")
     if sum(1 for _ in _live(spark, path)) > log_options.compact_after + 1:

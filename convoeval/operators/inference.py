@@ -145,8 +145,17 @@ def _failed(error: str, attempts: int, started: float) -> dict:
     }
 
 
-def _caller(backends: Mapping[str, Backend], options: CallOptions, schema: T.StructType | None):
-    """The UDF (provider, system, user, model_name, temperature) -> CALL."""
+def _caller(
+    backends: Mapping[str, Backend],
+    options: CallOptions,
+    schema: T.StructType | None,
+    system_prompts: Mapping[int, str] | None = None,
+):
+    """The UDF (provider, system, user, model_name, temperature) -> CALL.
+
+    With ``system_prompts`` the system column holds numbers, looked up in that dictionary,
+    which travels with the task once instead of with every row.
+    """
 
     def call(
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
@@ -156,6 +165,8 @@ def _caller(backends: Mapping[str, Backend], options: CallOptions, schema: T.Str
 
         def one(row: tuple) -> dict:
             provider, system, user, model_name, temperature = row
+            if system_prompts is not None and system is not None:
+                system = system_prompts[int(system)]
             if user is None or provider not in clients:
                 return _failed("no input" if user is None else f"unknown provider: {provider}", 0, time.time())
             request = {
@@ -201,9 +212,12 @@ def infer(
     temperature: Column | None = None,
     options: CallOptions = CallOptions(),
     schema: T.StructType | None = None,
+    system_prompts: Mapping[int, str] | None = None,
 ) -> DataFrame:
     """Add ``call``, the raw outcome of one model call per row.
 
+    With ``system_prompts``, ``system_prompt`` is a column of numbers into that dictionary.
+
     With ``schema`` an answer must be a JSON object that fits it; another one is tried again.
 
     ``provider`` names the backend: a name that is not registered is rejected here. As a
@@ -217,7 +231,7 @@ def infer(
         df = df.repartition(options.partitions)
     return df.withColumn(
         "call",
-        _caller(backends, options, schema)(
+        _caller(backends, options, schema, system_prompts)(
             provider.cast("string"),
             _text(system_prompt),
             F.col(input_field).cast("string"),

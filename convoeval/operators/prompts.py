@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
@@ -25,10 +26,6 @@ SYNTHESIS_INSTRUCTION = (
     "message. First name the company, then list the turns one per line."
 )
 
-# Characters of prompts that one plan carries; a larger set of programs is taken in slices.
-SLICE = 4_000_000
-
-
 def judge_context(company: Column, transcript: Column) -> Column:
     """Company and transcript as one text. A missing company is printed as ``None``."""
     return F.concat(
@@ -120,46 +117,64 @@ def program_user_prompt(transcript: Column) -> Column:
     return F.concat(F.lit("transcript: "), transcript)
 
 
+def _program_rows(programs: DataFrame, task: str) -> list:
+    """The programs of ``task`` with their system prompts, in order of id and version.
+
+    A registry of programs is collected: its size is that of the prompts, not of the rows.
+    """
+    return (
+        programs.filter(F.col("task") == task)
+        .select("program_id", "version", "output_field", "model_name", "temperature", program_system_prompt().alias("system_prompt"))
+        .orderBy("program_id", "version")
+        .collect()
+    )
+
+
+def with_program_numbers(
+    df: DataFrame, programs: DataFrame, task: str, input_field: str = "transcript"
+) -> tuple[DataFrame, dict[int, str]]:
+    """Every row once per program of ``task``, and the system prompts by program number.
+
+    The rows get ``program_no``, ``program_id``, ``version``, ``output_field``, ``model_name``,
+    ``temperature``, ``system_hash`` (SHA-256 of the system prompt) and ``user_prompt``, but not
+    the system prompt itself: that goes to the tasks once, as the dictionary, and is looked up
+    where the model is called. Rows are repeated where they are read; nothing is shuffled, and
+    rows may have columns of any type. No program gives no rows.
+    """
+    listed = _program_rows(programs, task)
+    meta = [
+        F.struct(
+            F.lit(i).alias("program_no"),
+            F.lit(r["program_id"]).cast("string").alias("program_id"),
+            F.lit(r["version"]).cast("int").alias("version"),
+            F.lit(r["output_field"]).cast("string").alias("output_field"),
+            F.lit(r["model_name"]).cast("string").alias("model_name"),
+            F.lit(r["temperature"]).cast("double").alias("temperature"),
+            F.lit(hashlib.sha256((r["system_prompt"] or "").encode()).hexdigest()).alias("system_hash"),
+        )
+        for i, r in enumerate(listed)
+    ]
+    if meta:
+        repeated = df.select("*", F.inline(F.array(*meta)))
+    else:
+        fields = (("program_no", "int"), ("program_id", "string"), ("version", "int"), ("output_field", "string"),
+                  ("model_name", "string"), ("temperature", "double"), ("system_hash", "string"))
+        repeated = df.filter(F.lit(False)).select("*", *[F.lit(None).cast(t).alias(n) for n, t in fields])
+    numbers = {i: r["system_prompt"] for i, r in enumerate(listed)}
+    return repeated.withColumn("user_prompt", program_user_prompt(F.col(input_field))), numbers
+
+
 def with_program_prompts(
     df: DataFrame, programs: DataFrame, task: str, input_field: str = "transcript"
 ) -> DataFrame:
-    """Every row with the prompts of every program of ``task``.
+    """Every row with the prompts of every program of ``task``, the system prompt as text.
 
-    Prompts travel with the tasks, and each row is repeated per program where it is read:
-    nothing is shuffled, and rows may have columns of any type. A plan carries prompts of
-    ``SLICE`` characters, or one program; further programs are further reads of ``df``.
+    The texts are joined by program number from a table of the programs, so that no plan
+    carries them as literals; calls should use ``with_program_numbers``.
     """
-    prompts = programs.filter(F.col("task") == task).select(
-        "program_id",
-        "version",
-        "output_field",
-        "model_name",
-        "temperature",
-        program_system_prompt().alias("system_prompt"),
-    )
-    slices = _slices(prompts)
-    out = None
-    for names in slices:
-        part = prompts.filter(F.struct("program_id", "version").isin(names)) if len(slices) > 1 else prompts
-        listed = part.agg(F.collect_list(F.struct(*prompts.columns)).alias("listed"))
-        repeated = df.select("*", F.inline(listed.scalar()))
-        out = repeated if out is None else out.union(repeated)
-    return out.withColumn("user_prompt", program_user_prompt(F.col(input_field)))
-
-
-def _slices(prompts: DataFrame) -> list[list[Column]]:
-    """Programs in groups of up to ``SLICE`` characters. Only names and lengths are collected."""
-    size = F.coalesce(F.length("system_prompt"), F.lit(0)) + 100
-    sizes = prompts.select("program_id", "version", size.alias("n")).orderBy("program_id", "version").collect()
-    slices, left = [[]], SLICE
-    for r in sizes:
-        if r["n"] > left and slices[-1]:
-            slices.append([])
-            left = SLICE
-        left -= r["n"]
-        name = F.struct(F.lit(r["program_id"]).alias("program_id"), F.lit(r["version"]).cast("int").alias("version"))
-        slices[-1].append(name)
-    return slices
+    repeated, numbers = with_program_numbers(df, programs, task, input_field)
+    texts = df.sparkSession.createDataFrame(list(numbers.items()), "program_no int, system_prompt string")
+    return repeated.join(texts, "program_no").drop("system_hash", "program_no")
 
 
 def save_programs(programs: DataFrame, path: str) -> None:

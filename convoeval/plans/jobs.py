@@ -27,7 +27,7 @@ from convoeval.operators.prompts import (
     SYNTHESIS_INSTRUCTION,
     judge_context,
     output_transcript,
-    with_program_prompts,
+    with_program_numbers,
 )
 from convoeval.operators.responses import (
     extract_program_verdict,
@@ -56,14 +56,19 @@ def _ask(
     model_name=None,
     temperature=None,
     waves: int = 1,
+    system_prompts=None,
+    request_system=None,
 ) -> DataFrame:
     """``df`` with ``call``: asked now, or with a path through the answer log there."""
     if path is None:
-        return infer(df, {"model": backend}, "model", input_field, system_prompt, model_name, temperature, options, schema)
+        return infer(
+            df, {"model": backend}, "model", input_field, system_prompt, model_name, temperature, options, schema,
+            system_prompts,
+        )
     keys = [k for k in KEY_NAMES if k in df.columns] if keys is None else list(keys)
     asked = answer_log.ask(
         df, path, {"model": backend}, "model", input_field, keys, system_prompt, model_name, temperature,
-        options, schema, answer_log.LogOptions(waves=waves),
+        options, schema, answer_log.LogOptions(waves=waves), system_prompts, request_system,
     )
     return asked.drop(REQUEST)
 
@@ -165,12 +170,13 @@ def run_programs(
 
     A failed call gives a null response with its error, so no row is lost.
     """
-    prompts = with_program_prompts(df, programs, task, input_field)
+    prompts, numbers = with_program_numbers(df, programs, task, input_field)
     asked = _ask(
-        prompts, backend, "user_prompt", F.col("system_prompt"), options, path, keys, schema,
-        F.col("model_name"), F.col("temperature"),
+        prompts, backend, "user_prompt", F.col("program_no"), options, path, keys, schema,
+        F.col("model_name"), F.col("temperature"), system_prompts=numbers, request_system=F.col("system_hash"),
     )
-    return fold_structured_call(asked, schema).drop("system_prompt", "user_prompt", "model_name", "temperature", "output_field")
+    dropped = ("program_no", "system_hash", "user_prompt", "model_name", "temperature", "output_field")
+    return fold_structured_call(asked, schema).drop(*dropped)
 
 
 def judge_with_programs(

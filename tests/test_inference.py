@@ -193,19 +193,31 @@ def _programs(spark, numbers, padding=""):
     )
 
 
-def test_large_sets_of_programs_are_taken_in_slices(spark, monkeypatch):
-    import convoeval.operators.prompts as prompts
-
-    rows = table(spark).withColumn("a_map", F.create_map(F.lit("k"), "conversation_id"))
-
-    def verdicts(programs):
-        judged = judge_with_programs(rows, programs, B.rule_program_verdict, "text", FAST)
-        return sorted((r["conversation_id"], r["program_id"], r["version"], r["satisfied"]) for r in judged.collect())
-
-    whole = verdicts(_programs(spark, (1, 2, 3)))
-    assert len(whole) == 120
-    monkeypatch.setattr(prompts, "SLICE", 1)
-    assert verdicts(_programs(spark, (1, 2, 3))) == whole
+def test_programs_travel_as_numbers_and_every_reply_is_asked_once(spark, tmp_path):
+    from convoeval.plans.jobs import score_generators
+
+    rows = table(spark, 10).withColumn("a_map", F.create_map(F.lit("k"), "conversation_id"))
+    judged = judge_with_programs(rows, _programs(spark, (1, 2, 3)), B.rule_program_verdict, "text", FAST)
+    assert judged.count() == 30
+    from convoeval.operators.prompts import with_program_prompts
+
+    texts = with_program_prompts(rows, _programs(spark, (1, 2, 3)), "judge", "text")
+    plain = fold_structured_call(
+        infer(texts, {"m": B.rule_program_verdict}, "m", "user_prompt", F.col("system_prompt"), options=FAST, schema=schemas.PROGRAM_VERDICT),
+        schemas.PROGRAM_VERDICT,
+    )
+    want = sorted((r["conversation_id"], r["program_id"], str(r["response"]["satisfied"]).lower()) for r in plain.collect())
+    assert sorted((r["conversation_id"], r["program_id"], str(r["satisfied"]).lower()) for r in judged.collect()) == want
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "at least 1 words" not in plan  # prompt texts are not in the plan, only their numbers
+    replies, log = str(tmp_path / "replies"), str(tmp_path / "log")
+    generator = programs_table(spark, [{"program_id": "g", "task": "reply", "instruction": "reply", "output_field": "llm_response"}])
+    scored = score_generators(
+        rows.withColumnRenamed("text", "transcript"), generator, logged(replies, B.rule_program_reply),
+        _programs(spark, (1, 2), " padding" * 320_000), logged(log, B.rule_program_verdict), options=FAST,
+    )
+    assert scored.count() == 20
+    assert lines(replies, "call") == 10 and lines(log, "call") == 20  # two 2.5 MB judges: 10 replies
 
 
 def test_five_megabytes_of_prompts(spark):
