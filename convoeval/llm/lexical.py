@@ -11,9 +11,11 @@ and one that the bounds cannot exclude is always scored. Each task keeps its own
 query; the global ranking is taken from those.
 
 The statistics that weights need (documents with terms, all their terms, each query term's
-document frequency) are Spark aggregates over all rows; only the query terms' frequencies are
-shuffled. The query set, with its weights, goes to every task; it is taken in passes of at most
-``Options.query_terms`` terms, so that what a task holds does not grow with the query set.
+document frequency) cover all rows: every task counts its own in one pass, and Spark sums the
+counts, of which there are as many as query terms. Texts are split into terms by the tasks, in
+Python, once for the statistics and once for the search. The query set, with its weights, goes
+to every task; it is taken in passes of at most ``Options.query_terms`` terms, so that what a
+task holds does not grow with the query set.
 
 Edge cases: a null or empty text has no terms, is not counted in N or L and never scores; a null
 query text asks nothing. Rows with the same doc_id are separate documents (both may be returned);
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -119,15 +122,48 @@ def _block_top(block: list[tuple], queries: dict, o: Options, tops: dict, thresh
                 threshold[item] = top[0][0]
 
 
-def _searcher(queries: dict, o: Options):
+_PATTERN = re.compile(TERM)
+_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def tokens(text: str | None) -> list[str]:
+    """The terms of one text, in Python: the same as ``terms``."""
+    return _PATTERN.findall(text.translate(_LOWER)) if text else []
+
+
+def _counter(wanted: frozenset):
+    """Per task: documents with terms, their terms, and the documents holding each wanted term."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with_terms = all_terms = 0
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"].tolist():
+                t = tokens(text)
+                if t:
+                    with_terms += 1
+                    all_terms += len(t)
+                    held.update(wanted.intersection(t))
+        rows = [(term, n, 0) for term, n in held.items()] + [(None, with_terms, all_terms)]
+        yield pd.DataFrame(rows, columns=["term", "df", "terms"])
+
+    return count
+
+
+def _searcher(queries: dict, big_n: int, big_l: int, o: Options):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tops: dict = {}
         threshold: dict = {}
         block: list[tuple] = []
         for batch in batches:
-            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
-            for row in zip(ids, batch["_m"].tolist(), batch["_n"].tolist(), batch["_terms"].tolist()):
-                block.append((None if row[0] is None else int(row[0]), int(row[1]), int(row[2]), list(row[3])))
+            # pandas would turn a long column with nulls into doubles: ids come without nulls.
+            ids = [None if gone else i for i, gone in zip(batch["_id"].tolist(), batch["_no_id"].tolist())]
+            for doc_id, text in zip(ids, batch["text"].tolist()):
+                t = tokens(text)
+                if not t:
+                    continue
+                n = len(t)
+                block.append((None if doc_id is None else int(doc_id), 25 + (75 * n * big_n) // big_l, n, t))
                 if len(block) >= o.block:
                     _block_top(block, queries, o, tops, threshold)
                     block = []
@@ -142,42 +178,47 @@ def _searcher(queries: dict, o: Options):
 def search(documents: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` best documents of every query with score above 0.
 
-    ``documents`` has ``doc_id`` and ``text``, ``queries`` has ``item_id`` and ``text``.
+    ``documents`` has ``doc_id`` and ``text``, ``queries`` has ``item_id`` and ``text``. Texts are
+    read twice, by tasks that split them in Python: once for the statistics of the weights, once
+    for the search. The query set is taken in passes of at most ``query_terms`` (item, term) rows.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", terms(F.col("text")).alias("_terms")).select(
-        "doc_id", "_terms", F.size("_terms").cast("long").alias("_n")
-    )
-    totals = docs.agg(F.count_if(F.col("_n") > 0).alias("N"), F.coalesce(F.sum("_n"), F.lit(0)).alias("L")).first()
-    big_n, big_l = int(totals["N"]), int(totals["L"])
     empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    if big_l == 0:
-        return empty
     asked = (
         queries.select(F.col("item_id").cast("long").alias("item_id"), F.explode(terms(F.col("text"))).alias("term"))
         .groupBy("item_id", "term")
         .agg(F.count("*").alias("times"))
     )
-    wanted = asked.select("term").distinct()
-    frequency = (
-        docs.select(F.explode(F.array_distinct("_terms")).alias("term"))
-        .join(F.broadcast(wanted), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+    passes = max(1, -(-asked.count() // options.query_terms))
+    key = F.col("doc_id").cast("long")
+    texts = documents.select(
+        F.coalesce(key, F.lit(0)).alias("_id"), key.isNull().alias("_no_id"), F.col("text").cast("string").alias("text")
     )
-    weight = F.floor(1000 * F.log((2.0 * big_n + 2) / (2 * F.col("df") + 1))).cast("long")
-    weighted = asked.join(frequency.select("term", weight.alias("w")), "term")
-    passes = -(-weighted.count() // options.query_terms)
-    m = (25 + F.expr(f"(75 * _n * {big_n}L) div {big_l}L")).cast("long")
-    scan = docs.filter(F.col("_n") > 0).select(F.col("doc_id").cast("long"), m.alias("_m"), "_n", "_terms")
     found = []
-    for part in range(max(passes, 1)):
-        chosen = weighted.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(passes, 1))) == part) if passes > 1 else weighted
+    for part in range(passes):
+        chosen = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part) if passes > 1 else asked
         table: dict = {}
         for r in chosen.collect():
-            table.setdefault(r["item_id"], {})[r["term"]] = (int(r["times"]), int(r["w"]))
-        if table:
-            found.append(scan.mapInPandas(_searcher(table, options), "item_id long, doc_id long, score long"))
+            table.setdefault(r["item_id"], {})[r["term"]] = int(r["times"])
+        if not table:
+            continue
+        wanted = frozenset(t for asked_terms in table.values() for t in asked_terms)
+        counted = texts.select("text").mapInPandas(_counter(wanted), "term string, df long, terms long")
+        sums = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("terms").alias("terms")).collect()
+        big_n = next((int(r["df"]) for r in sums if r["term"] is None), 0)
+        big_l = next((int(r["terms"]) for r in sums if r["term"] is None), 0)
+        if big_l == 0:
+            return empty
+        frequency = {r["term"]: int(r["df"]) for r in sums if r["term"] is not None}
+        weighted = {
+            item: {
+                t: (times, math.floor(1000 * math.log((2.0 * big_n + 2) / (2 * frequency[t] + 1))))
+                for t, times in asked_terms.items()
+                if t in frequency
+            }
+            for item, asked_terms in table.items()
+        }
+        found.append(texts.mapInPandas(_searcher(weighted, big_n, big_l, options), "item_id long, doc_id long, score long"))
     if not found:
         return empty
     best = found[0]
