@@ -175,11 +175,11 @@ FROM shares"""
 
 _PROGRAMS = "programs AS (SELECT unnest([" + ", ".join(map(str, CANDIDATE_WORDS)) + "]) AS least)"
 
-# One row per (program, example): the last line of the prompt decides.
+# One row per (program, example): the words of the whole document decide.
 _JUDGED = f"""{_EXAMPLES}, {_PROGRAMS},
 judged AS (
   SELECT 'judge_' || least AS program_id, least, doc_id, gold_standard,
-         CASE WHEN {_last_words("'transcript: ' || transcript")} >= least THEN 'true' ELSE 'false' END AS satisfied
+         CASE WHEN {_words("transcript")} >= least THEN 'true' ELSE 'false' END AS satisfied
   FROM examples CROSS JOIN programs),
 scored AS (SELECT *, CASE WHEN lower(gold_standard) = satisfied THEN 1 ELSE 0 END AS metric FROM judged)"""
 

@@ -86,6 +86,13 @@ def _judge_programs(spark: SparkSession) -> DataFrame:
     )
 
 
+def _document_programs(spark: SparkSession) -> DataFrame:
+    """The judges of ``_judge_programs`` for documents: the words of the whole text count."""
+    return _judge_programs(spark).withColumn(
+        "instruction", F.regexp_replace("instruction", "the last line has", "the text has")
+    )
+
+
 def _reply_programs(spark: SparkSession) -> DataFrame:
     return prompts.programs_table(
         spark,
@@ -709,8 +716,8 @@ def judge_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def program_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of one judge program over all labelled documents, as a percent."""
-    one = _judge_programs(spark).filter(F.col("program_id") == f"judge_{CANDIDATE_WORDS[1]}")
-    judged = jobs.score_judges(_examples(spark, sf_dir), one, B.rule_program_verdict, options=FAST)
+    one = _document_programs(spark).filter(F.col("program_id") == f"judge_{CANDIDATE_WORDS[1]}")
+    judged = jobs.score_judges(_examples(spark, sf_dir), one, B.rule_document_verdict, options=FAST)
     return candidates.candidate_scores(judged)
 
 
@@ -817,7 +824,7 @@ def ordered_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.score_judges(
-        _examples(spark, sf_dir), _judge_programs(spark), B.rule_program_verdict, options=FAST
+        _examples(spark, sf_dir), _document_programs(spark), B.rule_document_verdict, options=FAST
     )
 
 
@@ -833,7 +840,7 @@ def _versions(spark: SparkSession) -> DataFrame:
             "program_id": "judge",
             "version": v,
             "task": "judge",
-            "instruction": f"Answer True if the last line has at least {n} words.",
+            "instruction": f"Answer True if the text has at least {n} words.",
             "output_field": "satisfied",
         }
         for v, n in enumerate(CANDIDATE_WORDS, 1)
@@ -842,7 +849,7 @@ def _versions(spark: SparkSession) -> DataFrame:
 
 
 def _judged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.score_judges(_examples(spark, sf_dir), _versions(spark), B.rule_program_verdict, options=FAST)
+    return jobs.score_judges(_examples(spark, sf_dir), _versions(spark), B.rule_document_verdict, options=FAST)
 
 
 @query
