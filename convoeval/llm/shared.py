@@ -23,8 +23,17 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, named but not yet made, in the folder that the cluster shares."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder, named but not yet made, in the folder that the cluster shares.
+
+    The name is qualified on the driver as Hadoop resolves it (a path without a scheme is on
+    ``fs.defaultFS``), so that Arrow's file systems on the executors open the same place.
+    """
+    base = checkpoint_dir(spark).rstrip("/")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    qualified = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    if qualified.startswith("file:/") and not qualified.startswith("file:///"):
+        qualified = "file:///" + qualified[len("file:/") :].lstrip("/")
+    return f"{qualified.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -34,7 +43,10 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder and the folder's path in it; plain paths are local."""
+    """The file system of a folder and the folder's path in it.
+
+    Folders of ``work_folder`` carry their scheme; a plain path (only in tests) is local.
+    """
     if not urlparse(uri).scheme:
         return pafs.LocalFileSystem(), uri
     return pafs.FileSystem.from_uri(uri)
@@ -99,14 +111,17 @@ def labelled_sample(
             chosen.setdefault(r["doc_id"], []).append((r["_bytes"], r["_y"]))
     if not chosen:
         return []
-    keys = documents.sparkSession.createDataFrame([(k,) for k in chosen], f"doc_id {dict(documents.dtypes)['doc_id']}")
-    texts: dict = {}
-    for r in doc.join(F.broadcast(keys), "doc_id").select("doc_id", "_text").collect():
-        texts.setdefault((r["doc_id"], len(raw := r["_text"].encode())), []).append(raw)
+    # One text per chosen (key, size), the smallest: the driver gets at most ``rows`` texts.
+    wanted_keys = sorted({(k, size) for k, uses in chosen.items() for size, _ in uses})
+    keys = documents.sparkSession.createDataFrame(wanted_keys, f"doc_id {dict(documents.dtypes)['doc_id']}, _bytes int")
+    sized_texts = doc.select("doc_id", "_text", F.octet_length("_text").alias("_bytes"))
+    picked = sized_texts.join(F.broadcast(keys), ["doc_id", "_bytes"]).groupBy("doc_id", "_bytes").agg(F.min("_text").alias("_text"))
+    texts = {(r["doc_id"], r["_bytes"]): r["_text"].encode() for r in picked.collect()}
     out = []
     for k, uses in chosen.items():
         for size, label_value in uses:
-            out += [(t, label_value) for t in sorted(texts.get((k, size), []))[:1]]
+            if (k, size) in texts:
+                out.append((texts[(k, size)], label_value))
     return out
 
 
