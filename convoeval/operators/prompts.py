@@ -177,9 +177,47 @@ def with_program_prompts(
     return repeated.join(texts, "program_no").drop("system_hash", "program_no")
 
 
+class VersionTaken(ValueError):
+    """A (program_id, version) that the registry holds already."""
+
+
 def save_programs(programs: DataFrame, path: str) -> None:
-    """Add programs, or further versions of them, to the registry at ``path``."""
-    programs.select(*schemas.PROGRAM.fieldNames()).write.mode("append").parquet(path)
+    """Add programs, or further versions of them, to the registry at ``path``.
+
+    Every (program_id, version) is saved once. Each is first claimed by a marker in
+    ``path/_claims``, created without overwriting (Hadoop's atomic create), so that of two writers
+    of one version one wins and the other raises ``VersionTaken`` before it writes; a frame that
+    holds one version twice raises as well. Then the rows are appended. A failed write releases
+    its claims; a writer killed between claim and write leaves a marker without rows, which must
+    be deleted before that version can be saved.
+    """
+    from convoeval.operators.inference import _folder
+
+    rows = programs.select(*schemas.PROGRAM.fieldNames())
+    spark = programs.sparkSession
+    keys = [(r["program_id"], r["version"]) for r in rows.select("program_id", "version").collect()]
+    if len(set(keys)) != len(keys):
+        raise VersionTaken("a (program_id, version) occurs more than once in the programs to save")
+    claimed = []
+
+    def release() -> None:
+        for fs, place in claimed:
+            fs.delete(place, False)
+
+    for program_id, version in keys:
+        name = hashlib.sha256(repr(program_id).encode()).hexdigest()[:32]
+        fs, place = _folder(spark, f"{path.rstrip('/')}/_claims/{name}-{version}")
+        try:
+            fs.create(place, False).close()
+        except Exception as e:
+            release()
+            raise VersionTaken(f"program {program_id!r} version {version} is saved already") from e
+        claimed.append((fs, place))
+    try:
+        rows.write.mode("append").parquet(path)
+    except BaseException:
+        release()
+        raise
 
 
 def load_programs(spark: SparkSession, path: str) -> DataFrame:

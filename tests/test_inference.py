@@ -280,3 +280,29 @@ def test_generate_and_split_asks_once_per_sampled_row(spark, tmp_path):
     assert lines(log, "call") == 50
     assert read_split(spark, path, "test").count() == 20 and read_split(spark, path, "train").count() == 30
     assert read_split(spark, path, "test").filter("output_transcript is null").count() == 0
+
+
+def test_a_version_is_saved_once_even_by_two_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from convoeval.operators.prompts import VersionTaken, load_programs, save_programs
+
+    path = str(tmp_path / "programs")
+    one = {"program_id": "p", "task": "judge", "instruction": "old", "output_field": "satisfied"}
+    save_programs(programs_table(spark, [one]), path)
+    with pytest.raises(VersionTaken):
+        save_programs(programs_table(spark, [{**one, "instruction": "other"}]), path)
+    with pytest.raises(VersionTaken):
+        save_programs(programs_table(spark, [{**one, "version": 3}, {**one, "version": 3}]), path)
+
+    def save(text):
+        try:
+            save_programs(programs_table(spark, [{**one, "version": 2, "instruction": text}]), path)
+            return True
+        except VersionTaken:
+            return False
+
+    with ThreadPoolExecutor(2) as pool:
+        won = list(pool.map(save, ["a", "b"]))
+    assert sorted(won) == [False, True]
+    assert sorted(r["version"] for r in load_programs(spark, path).collect()) == [1, 2]
