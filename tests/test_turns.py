@@ -114,3 +114,22 @@ def test_every_role_but_system_is_spoken(spark):
     assert got == {"1": "customer: a\nagent: b\ntool: c d\nUnknown: e", "2": "agent: "}
     mapped = conversations_from_turns(turns, speakers={"customer": "Customer", "agent": "Agent"}).collect()
     assert {r["conversation"].split("\n")[0] for r in mapped} == {"Customer: a", "Agent: "}
+
+
+def test_one_conversation_with_half_of_all_turns_both_ways(spark, monkeypatch):
+    import convoeval.sources.turn_table as tt
+
+    rows = [(1, i, "user" if i % 2 else "assistant", f"h{i}") for i in range(3_000)]
+    rows += [(100 + i, 0, "user", f"s{i}") for i in range(2_990)]
+    rows += [(5, None, "user", "null turn"), (5, 1, "assistant", "b"), (None, 0, "user", "no key"), (None, 2_000, "user", "far")]
+    rows += [(6, -3, "user", "negative"), (6, 0, "assistant", "zero")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    fast = sorted(map(tuple, tt.conversations_from_turns(turns).collect()), key=str)
+    monkeypatch.setattr(tt, "MOST_LONG", 0)
+    slow = sorted(map(tuple, tt.conversations_from_turns(turns).collect()), key=str)
+    assert fast == slow
+    got = {r[0]: r[2] for r in fast}
+    assert got["1"].split("\n") == [f"{'Customer' if i % 2 else 'Agent'}: h{i}" for i in range(3_000)]
+    assert got["5"] == "Customer: null turn\nAgent: b" and got["6"] == "Customer: negative\nAgent: zero"
+    assert got[None] == "Customer: no key\nCustomer: far"
+    assert len(fast) == 2_990 + 4
