@@ -24,6 +24,9 @@ and no term rows. Repeated rows are separate documents. Other input columns are
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoeval.llm.shared import stored, work_folder
+
 # Fixed values of the contract: what a term is (letters only).
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,6 +47,7 @@ class Options:
     least_docs: int = 10  # documents of a language that a kept term is in
     top: int = 10  # ranks of the term part
     bucket_rows: int = 200_000  # candidate rows a skyband bucket is made for
+    flush: int = 1_000_000  # (lang, source, term) sums a task holds before it sends them
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -78,27 +84,75 @@ def _skyband(top: int):
     return keep
 
 
+_PATTERN = re.compile(TERM)
+_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def _counter(flush: int):
+    """Per task: occurrences and documents of every (lang, source, term), and documents per group.
+
+    Counting is done by ``Counter.update`` over lists and sets, in C. A task sends its sums
+    whenever ``flush`` terms are held, so that its memory does not grow with its input. Group
+    rows have a null term.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        occurrences: dict = {}
+        holding: dict = {}
+        documents: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            out = [(lang, source, None, 0, n) for (lang, source), n in documents.items()]
+            for group, counted in occurrences.items():
+                held = holding[group]
+                out += [(*group, term, c, held[term]) for term, c in counted.items()]
+            occurrences.clear()
+            holding.clear()
+            documents.clear()
+            return pd.DataFrame(out, columns=["lang", "source", "term", "c", "d"])
+
+        for batch in batches:
+            for text, lang, source in zip(batch["text"].tolist(), batch["lang"].tolist(), batch["source"].tolist()):
+                group = (lang, source)
+                documents[group] += 1
+                found = _PATTERN.findall(text.translate(_LOWER)) if text else []
+                if found:
+                    if group not in occurrences:
+                        occurrences[group], holding[group] = Counter(), Counter()
+                    occurrences[group].update(found)
+                    holding[group].update(set(found))
+            if sum(map(len, occurrences.values())) >= flush:
+                yield rows()
+        yield rows()
+
+    return count
+
+
 def audit(documents: DataFrame, options: Options = Options()) -> DataFrame:
-    """(lang, source, part, item, value, rank) for ``documents`` with ``text``, ``lang``, ``source``."""
+    """(lang, source, part, item, value, rank) for ``documents`` with ``text``, ``lang``, ``source``.
+
+    The texts are read once: tasks split them into terms in Python and add up per (lang, source,
+    term). The sums are dealt by (lang, term), so that each term's document count over its
+    sources is a window without a further shuffle; only kept terms and the groups are stored,
+    and both parts are computed from that table.
+    """
     docs = documents.select(
-        F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-        F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), F.lit(TERM), 0).alias("t"),
-    )
-    groups = docs.select("lang", "source").distinct()
-    kept = (
-        docs.select("lang", F.explode(F.array_distinct("t")).alias("term"))
-        .groupBy("lang", "term")
-        .count()
-        .filter(F.col("count") >= options.least_docs)
-        .select("lang", "term")
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
     )
-    used = (
-        docs.select("lang", "source", F.explode("t").alias("term"))
-        .groupBy("lang", "source", "term")
-        .agg(F.count("*").alias("c"))
-        .join(kept, ["lang", "term"], "left_semi")
+    counted = docs.mapInPandas(_counter(options.flush), "lang string, source string, term string, c long, d long")
+    summed = (
+        counted.repartition("lang", "term")
+        .groupBy("lang", "term", "source")
+        .agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     )
+    held = F.sum("d").over(Window.partitionBy("lang", "term"))
+    keep = summed.withColumn("_held", held).filter(F.col("term").isNull() | (F.col("_held") >= options.least_docs))
+    table = stored(keep.drop("_held"), f"{work_folder(documents.sparkSession, 'divergence')}/kept")
+    groups = table.filter(F.col("term").isNull()).select("lang", "source")
+    used = table.filter(F.col("term").isNotNull()).select("lang", "source", "term", "c")
+    kept = used.select("lang", "term").distinct()
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     per_group = (
         groups.join(used.groupBy("lang", "source").agg(F.sum("c").alias("n")), ["lang", "source"], "left")
