@@ -159,9 +159,11 @@ def audit(documents: DataFrame, options: Options = Options()) -> DataFrame:
         .join(sizes, "lang", "left")
         .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"))
     )
-    per_group = per_group.withColumn("p0", share(F.lit(0), F.col("n"), F.col("v")))
+    # Small tables that several branches read are stored once.
+    folder = work_folder(documents.sparkSession, "divergence")
+    per_group = stored(per_group.withColumn("p0", share(F.lit(0), F.col("n"), F.col("v"))), f"{folder}/groups")
     per_lang = per_group.groupBy("lang").agg(F.sum("n").alias("ln"), F.first("v").alias("v"))
-    lang_count = used.groupBy("lang", "term").agg(F.sum("c").alias("lc"))
+    lang_count = stored(used.groupBy("lang", "term").agg(F.sum("c").alias("lc")), f"{folder}/languages")
 
     # Part term: the skyband of each bucket, then exact ranks.
     scored = (
