@@ -12,7 +12,8 @@ killed job leaves at most a folder that no reader looks at, and two writers cann
 number. Readers take the newest base and the waves after it, in one Parquet scan of a list of
 folders: the plan has the same size after 3 or 3,000 waves. When more than ``compact_after``
 waves follow the base, their final answers are written as a new base; ``vacuum`` removes what
-a base has replaced.
+a base has replaced. Each wave's entry holds what its write observed (``DataFrame.observe``):
+calls, failures, attempts and seconds, which ``wave_figures`` returns without reading answers.
 
 ``ask`` answers the rows of a frame: it asks, in ``waves`` slices by key, only the requests that
 no committed wave answered successfully, and returns each row of the frame with the answer of
@@ -26,11 +27,12 @@ every attempt failed keeps its newest failure and is asked again by the next ``a
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,10 +83,32 @@ def entries(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted((int(m.group(1)), m.group(2)) for m in found if m)
 
 
-def _claim(spark: SparkSession, path: str, number: int, kind: str) -> None:
-    """Create the manifest entry; raises if the number is taken."""
+def _claim(spark: SparkSession, path: str, number: int, kind: str, figures: dict | None = None) -> None:
+    """Create the manifest entry, holding ``figures`` as JSON; raises if the number is taken."""
     fs, place = _folder(spark, f"{path}/_manifest/{number:08d}.{kind}")
-    fs.create(place, False).close()
+    out = fs.create(place, False)
+    out.write(bytearray(json.dumps(figures or {}).encode()))
+    out.close()
+
+
+def wave_figures(spark: SparkSession, path: str) -> list[dict]:
+    """What each committed wave asked, as its write observed it: no answer is read back.
+
+    One dict per wave, in order: ``wave``, ``calls``, ``failed``, ``attempts`` and ``seconds``
+    (the time the calls took, summed).
+    """
+    jvm, out = spark.sparkContext._jvm, []
+    for number, kind in entries(spark, path):
+        if kind != "wave":
+            continue
+        fs, place = _folder(spark, f"{path}/_manifest/{number:08d}.wave")
+        stream = fs.open(place)
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        out.append({"wave": number, **(json.loads(text) if text else {})})
+    return out
 
 
 def _next_number(spark: SparkSession, path: str) -> int:
@@ -187,8 +211,16 @@ def ask(
         asked = infer(
             todo, backends, provider, input_field, system_prompt, model_name, temperature, options, schema, system_prompts
         )
-        asked.select(*keys, REQUEST, F.lit(number).alias(WAVE), "call").write.parquet(f"{path}/data/wave-{number:08d}")
-        _claim(spark, path, number, "wave")
+        seen = Observation(f"wave-{number}")
+        written = asked.select(*keys, REQUEST, F.lit(number).alias(WAVE), "call").observe(
+            seen,
+            F.count(F.lit(1)).alias("calls"),
+            F.count_if(F.col("call.error").isNotNull()).alias("failed"),
+            F.coalesce(F.sum("call.attempts"), F.lit(0)).cast("long").alias("attempts"),
+            F.coalesce(F.sum(F.col("call.finished_at") - F.col("call.started_at")), F.lit(0.0)).alias("seconds"),
+        )
+        written.write.parquet(f"{path}/data/wave-{number:08d}")
+        _claim(spark, path, number, "wave", seen.get)
     if sum(1 for _ in _live(spark, path)) > log_options.compact_after + 1:
         compact(spark, path, keys)
     return current(rows, path, keys)

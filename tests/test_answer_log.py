@@ -128,3 +128,16 @@ def test_score_generators_with_a_path_asks_once(spark, tmp_path):
     assert len(first) == len(again) == 6
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
     assert lines(replies, "call") == 6 and lines(verdicts, "call") == 6
+
+
+def test_wave_figures_come_from_the_writes(spark, tmp_path):
+    path, log = str(tmp_path / "answers"), str(tmp_path / "log")
+    df = table(spark, 20)
+    fails = lambda r: r["user"].endswith("7")
+    answer_log.ask(df, path, {"m": B.failing(logged(log), fails)}, log_options=answer_log.LogOptions(waves=2), **ASK)
+    figures = answer_log.wave_figures(spark, path)
+    assert len(figures) == 2 and sum(f["calls"] for f in figures) == 20
+    stored = answer_log.read_log(spark, path)
+    assert sum(f["failed"] for f in figures) == stored.filter("call.error is not null").count() == 2
+    assert sum(f["attempts"] for f in figures) == stored.agg(F.sum("call.attempts")).first()[0]
+    assert all(f["seconds"] >= 0 for f in figures)
