@@ -17,16 +17,39 @@ from convoeval.llm.shared import stored, work_folder
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with every column but doc_id and text under a private name, and the way back.
+
+    A stage's judge adds columns such as ``score`` or ``kept``; a user's columns of those names
+    are handed on as they came.
+    """
+    names = {c: f"_input_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(names), back
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the convolutional network does not reject."""
+    """Documents that the convolutional network does not reject (score of 0.3 or more).
+
+    Null and empty texts are scored like others; rows with a null or repeated doc_id are judged
+    each by its text; an empty table gives an empty one. The columns are those of ``docs``,
+    whatever their names; a user's ``score`` or ``predicted`` is handed on unchanged.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = quality_cnn.train(docs, labels)
-    return quality_cnn.score(docs, net).filter(F.col("predicted") == 1).select(*docs.columns)
+    safe, back = _aside(docs)
+    return quality_cnn.score(safe, net).filter(F.col("predicted") == 1).select(*back)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
-    return rules.judge(docs, keep_text=True).filter("kept").select(*docs.columns)
+    """Documents that the weakly supervised rules keep.
+
+    Null texts have no words and fail the base rules; repeated rows are judged each by itself; an
+    empty table gives an empty one. The columns are those of ``docs``; a user's columns named like
+    the rules' (``n_words``, ``kept``, ``posterior``, votes) are handed on unchanged.
+    """
+    safe, back = _aside(docs)
+    return rules.judge(safe, keep_text=True).filter("kept").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
