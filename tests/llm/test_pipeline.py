@@ -46,3 +46,16 @@ def test_stages(spark):
 def test_run_packs_what_is_left(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(Counter((r["doc_id"], r["piece"]) for r in rows).values()) == 1
+
+
+def test_quality_stages_hand_on_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clashing = {"score": "mine", "predicted": "p", "n_words": "w", "kept": "k", "posterior": "q"}
+    mine = docs.withColumns({k: F.lit(v) for k, v in clashing.items()})
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, mine, SF)
+        assert out.columns == mine.columns
+        assert dict(out.dtypes) == dict(mine.dtypes)
+        assert all(r[k] == v for r in out.collect() for k, v in clashing.items())
