@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convoeval.operators.backends import Backend
-from convoeval.operators.inference import REQUEST, CallOptions, _folder, _text, infer
+from convoeval.operators.inference import REQUEST, CallOptions, _folder, _text, create_once, infer
 
 WAVE = "wave"
 ENTRY = re.compile(r"(\d{8})\.(wave|base)")
@@ -85,10 +85,7 @@ def entries(spark: SparkSession, path: str) -> list[tuple[int, str]]:
 
 def _claim(spark: SparkSession, path: str, number: int, kind: str, figures: dict | None = None) -> None:
     """Create the manifest entry, holding ``figures`` as JSON; raises if the number is taken."""
-    fs, place = _folder(spark, f"{path}/_manifest/{number:08d}.{kind}")
-    out = fs.create(place, False)
-    out.write(bytearray(json.dumps(figures or {}).encode()))
-    out.close()
+    create_once(spark, f"{path}/_manifest/{number:08d}.{kind}", json.dumps(figures or {}).encode())
 
 
 def wave_figures(spark: SparkSession, path: str) -> list[dict]:

@@ -306,6 +306,33 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def create_once(spark: SparkSession, path: str, content: bytes = b"") -> None:
+    """Create a file that must not exist yet; raises ``FileExistsError`` if it does.
+
+    On local disks this is ``O_CREAT | O_EXCL``, atomic; elsewhere Hadoop's create without
+    overwrite, which is atomic on HDFS (object stores give no such promise).
+    """
+    fs, place = _folder(spark, path)
+    qualified = fs.makeQualified(place)
+    if qualified.toUri().getScheme() == "file":
+        import os
+
+        local = qualified.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        handle = os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        try:
+            os.write(handle, content)
+        finally:
+            os.close(handle)
+        return
+    try:
+        out = fs.create(place, False)
+    except Exception as e:
+        raise FileExistsError(path) from e
+    out.write(bytearray(content))
+    out.close()
+
+
 def committed_runs(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the runs at ``path`` that ended, from the folder names alone."""
     fs, place = _folder(spark, path)

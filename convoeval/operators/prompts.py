@@ -185,13 +185,13 @@ def save_programs(programs: DataFrame, path: str) -> None:
     """Add programs, or further versions of them, to the registry at ``path``.
 
     Every (program_id, version) is saved once. Each is first claimed by a marker in
-    ``path/_claims``, created without overwriting (Hadoop's atomic create), so that of two writers
+    ``path/_claims``, created only if absent (atomic on local disks and HDFS), so that of two writers
     of one version one wins and the other raises ``VersionTaken`` before it writes; a frame that
     holds one version twice raises as well. Then the rows are appended. A failed write releases
     its claims; a writer killed between claim and write leaves a marker without rows, which must
     be deleted before that version can be saved.
     """
-    from convoeval.operators.inference import _folder
+    from convoeval.operators.inference import _folder, create_once
 
     rows = programs.select(*schemas.PROGRAM.fieldNames())
     spark = programs.sparkSession
@@ -206,13 +206,13 @@ def save_programs(programs: DataFrame, path: str) -> None:
 
     for program_id, version in keys:
         name = hashlib.sha256(repr(program_id).encode()).hexdigest()[:32]
-        fs, place = _folder(spark, f"{path.rstrip('/')}/_claims/{name}-{version}")
+        marker = f"{path.rstrip('/')}/_claims/{name}-{version}"
         try:
-            fs.create(place, False).close()
-        except Exception as e:
+            create_once(spark, marker)
+        except FileExistsError as e:
             release()
             raise VersionTaken(f"program {program_id!r} version {version} is saved already") from e
-        claimed.append((fs, place))
+        claimed.append(_folder(spark, marker))
     try:
         rows.write.mode("append").parquet(path)
     except BaseException:
