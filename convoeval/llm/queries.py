@@ -42,7 +42,7 @@ def op2_bpe_round_trip(spark, sf_dir):
 
 @_query
 def op3_pivot_top_k(spark, sf_dir):
-    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, copies=True)
 
 
 ORACLES["op3_pivot_top_k"] = """

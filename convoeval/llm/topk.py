@@ -113,18 +113,25 @@ def best(query: np.ndarray, near: np.ndarray, ids: np.ndarray, vectors: np.ndarr
     return got_ids, got
 
 
-def search(embeddings: DataFrame, is_query: Column, options: Options = Options(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(
+    embeddings: DataFrame, is_query: Column, options: Options = Options(), key: str = "vec_id",
+    vector: str = "embedding", copies: bool = False,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the best candidates of each row for which ``is_query`` holds.
 
     Candidates are all rows but those with the query's own id. Vectors that are null or hold a
-    null or non-finite component, and rows without id, take no part. Equal rows count once;
-    different vectors with one id are candidates and queries each. Vectors of unequal length are
+    null or non-finite component, and rows without id, take no part. Equal rows count once, with
+    ``copies`` each: as candidates they take ranks of their own, as queries they return their ranks
+    each. Different vectors with one id are candidates and queries each. Vectors of unequal length are
     compared as if filled with zeros. Scores are exact for vectors of any length; a score among the
     best of a block that a 64-bit integer does not hold raises an error.
     """
     o, spark = options, embeddings.sparkSession
     rows = embeddings.select(F.col(key).alias("id"), integers(F.col(vector), o.scale).alias("v"), is_query.alias("q"))
-    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull()).distinct()
+    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows = rows.groupBy("id", "v", "q").agg(F.count("*").alias("copies"))
+    if not copies:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
     head = rows.select("v").orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(o.sample)
     sample = head.toPandas()["v"]
     pivots = choose_pivots(_matrix(sample, max(map(len, sample), default=0)), o.pivots)
@@ -140,42 +147,45 @@ def search(embeddings: DataFrame, is_query: Column, options: Options = Options()
             yield batch.assign(d=list(d))
 
     table = stored(
-        rows.mapInPandas(measure, f"id {kind}, v array<double>, q boolean, d array<double>"),
+        rows.mapInPandas(measure, f"id {kind}, v array<double>, q boolean, copies long, d array<double>"),
         work_folder(spark, "pivots"),
     )
     sizes = table.agg(F.count("*"), F.count_if("q")).first()
     c_blocks = max(1, -(-sizes[0] // o.candidate_block))
     q_blocks = max(1, -(-sizes[1] // o.query_block))
     placed = F.xxhash64("id", "v")
-    queries = (
-        table.filter("q")
-        .withColumn("row", F.xxhash64("v"))
-        .withColumn("qb", F.pmod(placed, F.lit(q_blocks)))
-        .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    )
-    candidates = table.withColumn("cb", F.pmod(placed, F.lit(c_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
+
+    def one_of(blocks: int) -> Column:
+        return F.pmod(placed, F.lit(blocks).cast("long"))
+
+    def all_of(blocks: int) -> Column:  # of the same type: equal numbers of two types are dealt apart
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+    queries = table.filter("q").withColumn("row", F.xxhash64("v"))
+    queries = queries.withColumn("qb", one_of(q_blocks)).withColumn("cb", all_of(c_blocks))
+    candidates = table.withColumn("cb", one_of(c_blocks)).withColumn("qb", all_of(q_blocks))
 
     def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(c):
+            c = c.loc[c.index.repeat(c["copies"].clip(upper=o.k))]  # no more can be among the best
             width = max(max(map(len, q["v"])), max(map(len, c["v"])))
             x, y = _matrix(c["v"], width), _matrix(q["v"], width)
             ids, norms = c["id"].to_numpy(), np.einsum("ij,ij->i", x, x)
             far, near = np.array(c["d"].tolist()), np.array(q["d"].tolist())
-            for i, (own, row) in enumerate(zip(q["id"], q["row"])):
+            for i, (own, row, times) in enumerate(zip(q["id"], q["row"], q["copies"])):
                 got, scores = best(y[i], near[i], ids, x, norms, far, own, o.k, o.chunk)
                 if any(not -(2**63) <= s < 2**63 for s in scores):
                     raise ValueError("vectors too long for exact inner products in 64 bits")
-                found += [(own, row, a, int(s)) for a, s in zip(got, scores)]
-        return pd.DataFrame(found, columns=["query_id", "row", "vec_id", "score"])
+                found += [(own, row, times, a, int(s)) for a, s in zip(got, scores)]
+        return pd.DataFrame(found, columns=["query_id", "row", "times", "vec_id", "score"])
 
     near = (
         queries.groupBy("qb", "cb")
         .cogroup(candidates.groupBy("qb", "cb"))
-        .applyInPandas(block, f"query_id {kind}, row long, vec_id {kind}, score long")
+        .applyInPandas(block, f"query_id {kind}, row long, times long, vec_id {kind}, score long")
     )
     ranks = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= o.k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    each = ranked.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select("query_id", "rank", "vec_id", "score")
