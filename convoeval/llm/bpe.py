@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,10 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _BORDER = re.compile(f"(?= [^{WHITE}])")
 CACHED = 1 << 19  # pieces that a task remembers
 LONG = 200  # longer pieces are not remembered
+TOGETHER = 64  # texts whose new pieces are encoded together
+RUN = 50  # pieces that are encoded in one run
+MARKS = string.punctuation  # after letters, at the end of a piece, these are one word of the pattern
+LATIN = "\u0250"  # letters before this character are letters in every version of Unicode since 5.0
 
 
 def byte_characters() -> list[str]:
@@ -133,12 +138,14 @@ class Remembered(dict):
 class TextEncoder:
     """Whole texts to ids, as the bytes of 32-bit numbers.
 
-    ``run`` encodes a span without added tokens. It sees each piece of a text by itself, which
+    ``run`` encodes a span without added tokens, ``word`` (optional) one word of the pattern.
+    ``run`` sees each piece of a text by itself, which
     gives the ids of the whole text because the pattern has a border wherever pieces meet.
     """
 
-    def __init__(self, added: dict[str, int], run: Callable[[str], bytes]):
-        self.run = run
+    def __init__(self, added: dict[str, int], run: Callable[[str], bytes], word: Callable[[str], bytes] | None = None):
+        self.run, self.word = run, word
+        self.marks = Remembered(word or run, 1 << 10)
         # The space before a piece is not in its key; a newline is.
         self.pieces = Remembered(lambda p: run(p if p[:1] == "\n" else " " + p))
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
@@ -155,6 +162,60 @@ class TextEncoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.run(first) + b"".join(map(self.pieces.__getitem__, rest))
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. The pieces that some texts are the first to need are encoded together."""
+        for lo in range(0, len(texts), TOGETHER):
+            group = texts[lo : lo + TOGETHER]
+            words = [None if self.special and self.special.search(t) else t.replace("\n", " \n").split(" ") for t in group]
+            known = self.pieces
+            odd = self._learn([p for p in set().union(*(w[1:] for w in words if w is not None)) if p not in known])
+            for text, own in zip(group, words):
+                first = own[0] if own else ""
+                if first.split() != [first] or (odd and not odd.isdisjoint(own)):
+                    yield self.encode(text)
+                else:
+                    yield self.run(first) + b"".join(map(self.pieces.__getitem__, own[1:]))
+
+    def _learn(self, new: list[str]) -> set[str]:
+        """Remember these pieces as far as there is room; return those that are not words.
+
+        Latin letters with marks at the end are two words of the pattern at most, which ``word``
+        encodes. Others are encoded some at a time: a newline between words is a border on both
+        sides and a token of its own, so that it tells their ids apart. A piece that starts with a
+        newline has that token and then the ids of its word without a space.
+        """
+        odd, others = set(), []
+        if len(self.pieces) + len(new) > self.pieces.limit:
+            self.pieces.clear()
+        room, marks = self.pieces.limit - len(self.pieces), self.marks
+        line = self.run("\n")
+        for piece in new:
+            inner = piece[:1] == "\n"
+            word = piece[1:] if inner else piece
+            letters = word.rstrip(MARKS)
+            if self.word and letters.isalpha() and (letters.isascii() or max(letters) < LATIN):
+                if room > 0 and len(piece) <= LONG:
+                    ids = self.word(letters if inner else " " + letters)
+                    if len(letters) < len(word):
+                        ids += marks[word[len(letters) :]]
+                    self.pieces[piece] = line + ids if inner else ids
+                    room -= 1
+            elif word.split() != [word]:
+                odd.add(piece)
+            elif len(piece) <= LONG and not inner:
+                others.append(piece)
+        for lo in range(0, min(room, len(others)) if len(line) == 4 else 0, RUN):
+            found = others[lo : lo + RUN]
+            text = " " + "\n ".join(found)
+            if self.special and self.special.search(text):
+                continue  # encoded one by one when they are looked up
+            ids = self.run(text)
+            cuts = 4 * np.flatnonzero(np.frombuffer(ids, np.uint32) == np.frombuffer(line, np.uint32)[0])
+            if len(cuts) == len(found) - 1:
+                starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)]
+                self.pieces.update((p, ids[a:b]) for p, a, b in zip(found, starts, ends))
+        return odd
+
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
             return self._plain(text)

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from array import array
 
-from convoeval.llm.bpe import TextEncoder, Vocabulary
+from convoeval.llm.bpe import TextEncoder, Vocabulary, byte_characters
 
 
 def library_encoder(path: str) -> TextEncoder:
     """Whole texts to the ids that the library gives, without special tokens added.
 
-    The library encodes every piece that is not remembered; see ``TextEncoder`` for why the ids
+    The library encodes every piece that is not remembered, words of Latin letters by its model; see ``TextEncoder`` for why the ids
     of pieces make up those of the text. Truncation and padding are switched off.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -20,8 +20,15 @@ def library_encoder(path: str) -> TextEncoder:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    encode = library.encode
-    return TextEncoder(Vocabulary(path).added, lambda t: array("I", encode(t, add_special_tokens=False).ids).tobytes())
+    encode, tokenize = library.encode, library.model.tokenize
+    character = byte_characters().__getitem__
+    space = character(ord(" "))
+
+    def word(w: str) -> bytes:
+        w = w.replace(" ", space) if w.isascii() else "".join(map(character, w.encode()))
+        return array("I", [t.id for t in tokenize(w)]).tobytes()
+
+    return TextEncoder(Vocabulary(path).added, lambda t: array("I", encode(t, add_special_tokens=False).ids).tobytes(), word)
 
 
 def vocabulary_size(path: str) -> int:

@@ -84,8 +84,8 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, key: st
         encoder = library_encoder(tokenizer)
         for batch in batches:
             rows = []
-            for k, t in zip(batch[key], batch["_text"]):
-                ids = np.frombuffer(encoder.encode(t) + end, np.uint32).astype("<u4").tobytes()
+            for k, own in zip(batch[key], encoder.encode_all(batch["_text"].tolist())):
+                ids = np.frombuffer(own + end, np.uint32).astype("<u4").tobytes()
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start) % size or size

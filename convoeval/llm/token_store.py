@@ -123,8 +123,8 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int,
                 out = fs.open_output_stream(f"{fs_base}/{name}", compression=None)
                 out.write(SHARD + struct.pack("<Q", width))
             first, got = len(counts), []
-            for t in batch["_text"]:
-                ids = np.frombuffer(encoder.encode(t) + end, np.uint32)
+            for own in encoder.encode_all(batch["_text"].tolist()):
+                ids = np.frombuffer(own + end, np.uint32)
                 out.write(ids.astype(f"<u{width}").tobytes())
                 got.append(len(ids))
             counts += got
