@@ -24,13 +24,13 @@ and no term rows. Repeated rows are separate documents. Other input columns are
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +40,8 @@ from convoeval.llm.shared import stored, work_folder
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+SENT = 1 << 16  # sums in a batch of Arrow
+SMALL = 9_000_000_000  # counts below this, times 10^9, fit in 64 bits
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,19 @@ class Options:
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
-    """p = 1 + floor(10^9 (count + 2) / (total + 2 kept)), exact; null where the divisor is 0."""
+    """p = 1 + floor(10^9 (count + 2) / (total + 2 kept)), exact; null where the divisor is 0.
+
+    In 64-bit integers as long as they hold the product, else in decimals, which cost far more.
+    """
+    count, total, kept = count.cast("long"), total.cast("long"), kept.cast("long")
     big = F.lit(1_000_000_000).cast("decimal(38,0)")
     a, b = (big * (count + 2)).cast("decimal(38,0)"), (total + 2 * kept).cast("decimal(38,0)")
     # Decimal division rounds to six places; the product check puts the floor right.
     q0 = F.floor(a / b).cast("decimal(38,0)")
     q = F.when(q0 * b > a, q0 - 1).when((q0 + 1) * b <= a, q0 + 1).otherwise(q0)
-    return F.when(b > 0, 1 + q.cast("long"))
+    divisor = total + 2 * kept
+    small = 1 + F.call_function("div", 1_000_000_000 * (count + 2), divisor)
+    return F.when(divisor > 0, F.when(count < SMALL, small).otherwise(1 + q.cast("long")))
 
 
 def diff(p: str, q: str) -> Column:
@@ -84,46 +92,56 @@ def _skyband(top: int):
     return keep
 
 
-_PATTERN = re.compile(TERM)
-_LOWER = str.maketrans(UPPER, LOWER)
+# The bytes of UTF-8 that terms are made of, lower-cased; others become spaces.
+_TERM_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
+)
+_SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("c", pa.int64()), ("d", pa.int64())])
 
 
 def _counter(flush: int):
     """Per task: occurrences and documents of every (lang, source, term), and documents per group.
 
-    Counting is done by ``Counter.update`` over lists and sets, in C. A task sends its sums
-    whenever ``flush`` terms are held, so that its memory does not grow with its input. Group
-    rows have a null term.
+    Terms are split and counted as UTF-8 in C, and their sums go to Arrow column by column. A task
+    sends its sums whenever ``flush`` terms are held, so that its memory does not grow with its
+    input. Group rows have a null term.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         occurrences: dict = {}
         holding: dict = {}
         documents: Counter = Counter()
 
-        def rows() -> pd.DataFrame:
-            out = [(lang, source, None, 0, n) for (lang, source), n in documents.items()]
+        def part(lang: str, source: str, terms: list, c: list, d: list) -> pa.RecordBatch:
+            names = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            return pa.record_batch([*names, pa.array(terms, pa.string()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], schema=_SUMS)
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for (lang, source), n in documents.items():
+                yield part(lang, source, [None], [0], [n])
             for group, counted in occurrences.items():
                 held = holding[group]
-                out += [(*group, term, c, held[term]) for term, c in counted.items()]
+                terms = list(counted)
+                for lo in range(0, len(terms), SENT):
+                    own = terms[lo : lo + SENT]
+                    yield part(*group, own, list(map(counted.__getitem__, own)), list(map(held.__getitem__, own)))
             occurrences.clear()
             holding.clear()
             documents.clear()
-            return pd.DataFrame(out, columns=["lang", "source", "term", "c", "d"])
 
         for batch in batches:
-            for text, lang, source in zip(batch["text"].tolist(), batch["lang"].tolist(), batch["source"].tolist()):
+            for text, lang, source in zip(*(batch.column(name).to_pylist() for name in ("text", "lang", "source"))):
                 group = (lang, source)
                 documents[group] += 1
-                found = _PATTERN.findall(text.translate(_LOWER)) if text else []
+                found = text.encode().translate(_TERM_BYTES).split()
                 if found:
                     if group not in occurrences:
                         occurrences[group], holding[group] = Counter(), Counter()
                     occurrences[group].update(found)
                     holding[group].update(set(found))
             if sum(map(len, occurrences.values())) >= flush:
-                yield rows()
-        yield rows()
+                yield from sums()
+        yield from sums()
 
     return count
 
@@ -141,19 +159,22 @@ def audit(documents: DataFrame, options: Options = Options()) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
     )
-    counted = docs.mapInPandas(_counter(options.flush), "lang string, source string, term string, c long, d long")
+    counted = docs.mapInArrow(_counter(options.flush), "lang string, source string, term string, c long, d long")
     summed = (
         counted.repartition("lang", "term")
         .groupBy("lang", "term", "source")
         .agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     )
-    held = F.sum("d").over(Window.partitionBy("lang", "term"))
-    keep = summed.withColumn("_held", held).filter(F.col("term").isNull() | (F.col("_held") >= options.least_docs))
+    # Over the sources of a term: documents, occurrences, and one row that stands for the term.
+    sources = Window.partitionBy("lang", "term")
+    keep = summed.select(
+        "lang", "source", "term", "c", F.sum("c").over(sources).alias("lc"), F.sum("d").over(sources).alias("_held"),
+        (F.col("source") == F.min("source").over(sources)).alias("first"),
+    ).filter(F.col("term").isNull() | (F.col("_held") >= options.least_docs))
     table = stored(keep.drop("_held"), f"{work_folder(documents.sparkSession, 'divergence')}/kept")
     groups = table.filter(F.col("term").isNull()).select("lang", "source")
-    used = table.filter(F.col("term").isNotNull()).select("lang", "source", "term", "c")
-    kept = used.select("lang", "term").distinct()
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    used = table.filter(F.col("term").isNotNull()).select("lang", "source", "term", "c", "lc", "first")
+    sizes = used.filter("first").groupBy("lang").agg(F.count("*").alias("v"))
     per_group = (
         groups.join(used.groupBy("lang", "source").agg(F.sum("c").alias("n")), ["lang", "source"], "left")
         .join(sizes, "lang", "left")
@@ -163,18 +184,16 @@ def audit(documents: DataFrame, options: Options = Options()) -> DataFrame:
     folder = work_folder(documents.sparkSession, "divergence")
     per_group = stored(per_group.withColumn("p0", share(F.lit(0), F.col("n"), F.col("v"))), f"{folder}/groups")
     per_lang = per_group.groupBy("lang").agg(F.sum("n").alias("ln"), F.first("v").alias("v"))
-    lang_count = stored(used.groupBy("lang", "term").agg(F.sum("c").alias("lc")), f"{folder}/languages")
 
     # Part term: the skyband of each bucket, then exact ranks.
     scored = (
         used.join(per_group.select("lang", "source", "n", "v"), ["lang", "source"])
-        .join(lang_count, ["lang", "term"])
         .join(per_lang.select("lang", "ln"), "lang")
         .withColumn("p", share(F.col("c"), F.col("n"), F.col("v")))
         .withColumn("q", share(F.col("lc"), F.col("ln"), F.col("v")))
         .filter(F.col("p") > F.col("q"))
     )
-    buckets = max(1, -(-scored.count() // options.bucket_rows))
+    buckets = max(1, -(-used.count() // options.bucket_rows))
     points = scored.select(
         "lang", "source", "term", "c", "lc", diff("p", "q").alias("value"),
         F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("_bucket"),
@@ -201,18 +220,14 @@ def audit(documents: DataFrame, options: Options = Options()) -> DataFrame:
         .groupBy("lang", "s1", "s2")
         .agg(F.sum(F.col("h") * (diff("pc", "p02") - F.col("f0"))).alias("own"))
     )
-    other = (
-        histogram.withColumnRenamed("source", "s2")
-        .join(pairs, ["lang", "s2"])
-        .withColumn("pc", share(F.col("c"), F.col("n2"), F.col("v")))
-        .groupBy("lang", "s1", "s2")
-        .agg(F.sum(F.col("h") * (diff("p01", "pc") - F.col("f0"))).alias("other"))
-    )
+    # f(p, q) = f(q, p), so that the other source's own terms are its own row the other way round.
+    own = stored(own, f"{folder}/own")
+    other = own.select("lang", F.col("s2").alias("s1"), F.col("s1").alias("s2"), F.col("own").alias("other"))
     left = used.select("lang", F.col("source").alias("s1"), "term", F.col("c").alias("c1"))
     right = used.select("lang", F.col("source").alias("s2"), "term", F.col("c").alias("c2"))
     both_counts = (
         left.join(right, ["lang", "term"])
-        .filter(F.col("s1") != F.col("s2"))
+        .filter(F.col("s1") < F.col("s2"))  # the sum is the same either way
         .groupBy("lang", "s1", "s2", "c1", "c2")
         .agg(F.count("*").alias("h"))
         .join(pairs, ["lang", "s1", "s2"])
@@ -223,6 +238,8 @@ def audit(documents: DataFrame, options: Options = Options()) -> DataFrame:
     shared = both_counts.groupBy("lang", "s1", "s2").agg(
         F.sum(F.col("h") * (diff("p1", "p2") - diff("p1", "p02") - diff("p01", "p2") + F.col("f0"))).alias("shared")
     )
+    ways = F.array(F.struct("s1", "s2"), F.struct(F.col("s2").alias("s1"), F.col("s1").alias("s2")))
+    shared = shared.select("lang", "shared", F.inline(ways))
     total = (
         pairs.join(own, ["lang", "s1", "s2"], "left")
         .join(other, ["lang", "s1", "s2"], "left")
