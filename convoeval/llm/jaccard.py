@@ -8,20 +8,24 @@ their own, so that sets which share a few tokens by chance fail under one order
 2. For two orders, prefix tokens go to shards of the tokens as packed arrays. A shard emits the
    pairs of a token that few sets share; of a token that many share, only a star.
 3. Pairs found under both orders, and the stars, make candidate clusters.
-4. The sets of a cluster meet, each once. There, pairs must share a prefix token under all three
-   orders before they are verified exactly. Clusters too large for a task meet in pairs of blocks.
-5. Links are joined to components, and each component takes its smallest key.
+4. The bitmaps of a cluster's sets meet. Each bit is the parity of the tokens that fall on it, so
+   that sets differ in as many tokens as bits at least; this rules out most pairs that only
+   chance brought together, and what remains makes smaller clusters.
+5. The texts of such a cluster meet, each once. There, pairs must share a prefix token under all
+   three orders before they are verified exactly. In 4 and 5, clusters too large for a task meet in
+   pairs of blocks.
+6. Links are joined to components, and each component takes its smallest key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.llm.components import Union, components
@@ -37,9 +41,14 @@ class Options:
     few: int = 32  # sets that may share a token and still be paired
     shard_rows: int = 1 << 20
     block: int = 1024  # sets of a cluster that meet in a task, twice at most
+    block_tokens: int = 1 << 21  # and their tokens on average
     bloom_bits: int = 1 << 25
 
 
+MOST_BITS = 1 << 15  # of a bitmap; those of larger sets rule out less
+AT_A_TIME = 256  # tokens of which the sets are looked up together
+
+
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -49,33 +58,81 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Hashes of words, emptied when full: idle Python workers keep what they once held."""
+WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))  # the contract's white space
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+TEXT_BYTES = 1 << 18  # bytes of texts that are shingled together
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start, and a 64-bit hash of each. Upper-case letters stay what they are.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 16:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+    All words are hashed at once, eight bytes after eight.
+    """
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = ~WHITE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    padded = text + bytes(8)
+    eight = np.ndarray(len(text) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    h = _mixed(sizes.astype(np.uint64), 20)
+    todo = np.flatnonzero(sizes <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        left = sizes[todo] - done
+        todo, left = todo[left > 0], left[left > 0]
+        if not len(todo):
+            break
+        h[todo] = _mixed(h[todo] ^ (eight[starts[todo] + done] & LOW_BYTES[np.minimum(left, 8)]), 21 + done // 8)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(text[starts[i] : starts[i] + sizes[i]])
+    return starts, h
 
 
 class Shingler:
     """Texts to ascending arrays of distinct 64-bit n-gram hashes."""
 
     def __init__(self, words: int):
-        self.n, self.hash = words, _Words()
+        self.n = words
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # of bytes: A-Z, and the contract's white space
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(words))
+    def _grams(self, h: np.ndarray, n: int) -> np.ndarray:
+        """The hash of the n-gram that starts at each word but the last n - 1."""
         with np.errstate(over="ignore"):
             out = np.full(len(h) - n + 1, n, np.uint64)  # shorter sequences differ from n-grams
             for i in range(n):
                 out = out * np.uint64(0x100000001B3) + _mixed(h[i : len(h) - n + 1 + i], i)
-        return np.unique(_mixed(out, 0))
+        return _mixed(out, 0)
+
+    def __call__(self, text: str) -> np.ndarray:
+        return next(self.all([text]))
+
+    def all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The set of each text. Texts that are short are worked on together."""
+        group, size = [], 0
+        for t in texts:
+            raw = t.encode()
+            if group and size + len(raw) > TEXT_BYTES:
+                yield from self._together(group)
+                group, size = [], 0
+            group.append(raw)
+            size += len(raw) + 1
+        if group:
+            yield from self._together(group)
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        starts, h = word_hashes(b"\n".join(texts).lower())  # of bytes: A-Z only
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        grams = self._grams(h, self.n) if len(h) >= self.n else None
+        lo = 0
+        for hi in ends:
+            words = hi - lo
+            if words >= self.n:
+                own = np.sort(grams[lo : hi - self.n + 1])
+                new = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                yield own[new]
+            else:  # the whole sequence is one
+                yield self._grams(h[lo:hi], words) if words else np.zeros(0, np.uint64)
+            lo = hi
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -83,6 +140,13 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens on each of 64, 128, 256 ... places: no fewer than tokens, up to a limit."""
+    width = min(max(64, 1 << (len(tokens) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 class Orders:
     """Global token orders: by hash, the frequent ones last and by frequency."""
 
@@ -91,25 +155,34 @@ class Orders:
         self.tokens, self.counts, self.percent = frequent[by], counts[by].astype(np.uint64), percent
 
     def prefix(self, tokens: np.ndarray, order: int) -> np.ndarray:
+        return self.prefixes(tokens, (order,))[0]
+
+    def prefixes(self, tokens: np.ndarray, orders: Iterable[int]) -> list[np.ndarray]:
+        """The prefix of an ascending array of distinct tokens under each of these orders."""
         n = len(tokens)
         size = n - (self.percent * n + 99) // 100 + 1
         if size >= n:
-            return tokens
-        key = _mixed(tokens, 10 + order) >> np.uint64(1)
+            return [tokens for _ in orders]
+        known, last, out = np.zeros(0, np.int64), None, []
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            known = self.tokens[at] == tokens
-            key[known] = np.uint64(1 << 63) + self.counts[at[known]]
-        return tokens[np.lexsort((tokens, key))[:size]]
+            known = np.flatnonzero(self.tokens[at] == tokens)
+            last = np.uint64(1 << 63) + self.counts[at[known]]
+        for order in orders:
+            key = _mixed(tokens, 10 + order) >> np.uint64(1)
+            if len(known):
+                key[known] = last
+            out.append(tokens[np.argsort(key, kind="stable")[:size]])  # of equal keys, the smaller token
+        return out
 
 
 def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
-    """(key, n, set, tokens, counts): a row per document, and rows (n = -1) of tokens that came up often.
+    """(key, n, set, bits, tokens, counts): a row per document, and rows (n = -1) of tokens that came up often.
 
     A task counts its tokens so many at a time and reports those of three sets or more. Keys travel
     as text, since pandas has no exact whole numbers beside nulls.
     """
-    columns = [key, "n", "set", "tokens", "counts"]
+    columns = [key, "n", "set", "bits", "tokens", "counts"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, seen, kept, size = Shingler(o.words), set(), [], 0
@@ -117,15 +190,14 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
         def often() -> pd.DataFrame:
             tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
             many = counts >= 3
-            row = [None, -1, 0, tokens[many].view(np.int64).tolist(), counts[many].tolist()]
+            row = [None, -1, 0, None, tokens[many].view(np.int64).tolist(), counts[many].tolist()]
             return pd.DataFrame([row], columns=columns)
 
         for batch in batches:
             rows = []
-            for k, t in zip(batch["_key"].tolist(), batch["_text"]):
-                tokens = shingles(t)
+            for k, tokens in zip(batch["_key"].tolist(), shingles.all(batch["_text"])):
                 own = set_id(tokens) if len(tokens) else 0
-                rows.append((k, len(tokens), own, None, None))
+                rows.append((k, len(tokens), own, bitmap(tokens) if len(tokens) else None, None, None))
                 if len(tokens) and own not in seen:
                     seen.add(own)
                     kept.append(tokens)
@@ -138,7 +210,7 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
             yield often()
 
     rows = documents.select(F.col(key).cast("string").alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    out = rows.mapInPandas(read, f"`{key}` string, n long, set long, tokens array<long>, counts array<int>")
+    out = rows.mapInPandas(read, f"`{key}` string, n long, set long, bits binary, tokens array<long>, counts array<int>")
     return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 
@@ -183,14 +255,12 @@ def candidate_pairs(documents: DataFrame, orders: Orders, o: Options, shards: in
                         )
 
         for batch in batches:
-            for t in batch["_text"]:
-                tokens = shingles(t)
+            for tokens in shingles.all(batch["_text"]):
                 own = set_id(tokens) if len(tokens) else None
                 if own is None or own in seen:
                     continue
                 seen.add(own)
-                for order in parts:
-                    prefix = orders.prefix(tokens, order)
+                for order, prefix in zip(parts, orders.prefixes(tokens, parts)):
                     parts[order].append((prefix, own, len(tokens)))
                 rows += len(prefix)
             if rows >= o.shard_rows:
@@ -260,28 +330,34 @@ def _may_be_in(filter_: np.ndarray):
 
 
 class _Postings:
-    """Which of some token arrays share how many tokens with one of them."""
+    """Which of some token arrays share a token with one of them."""
 
     def __init__(self, arrays: list[np.ndarray]):
         self.n = len(arrays)
         sizes = [len(a) for a in arrays]
         tokens, code, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
         common = counts[code] > 1
-        owner = np.repeat(np.arange(self.n), sizes)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         # Tokens of one array only bring nothing together and are left out.
-        code, owner = code[common], owner[common]
+        code, owner = code[common].astype(np.int32), owner[common]
         self.owners = owner[np.argsort(code, kind="stable")]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(tokens)))])
         self.codes = np.split(code, np.searchsorted(owner, np.arange(1, self.n)))
 
-    def shared(self, i: int) -> np.ndarray:
-        """How many tokens of array ``i`` each array has."""
-        lo, hi = self.starts[self.codes[i]], self.starts[self.codes[i] + 1]
-        size = hi - lo
-        if not len(size):
-            return np.zeros(self.n, np.int64)
-        at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        return np.bincount(self.owners[at], minlength=self.n)
+    def sharing(self, i: int) -> np.ndarray:
+        """True for each array that has a token of array ``i``; some tokens at a time, since each may be in all arrays."""
+        out = np.zeros(self.n, bool)
+        for first in range(0, len(self.codes[i]), AT_A_TIME):
+            codes = self.codes[i][first : first + AT_A_TIME]
+            lo, size = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
+            at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+            out[self.owners[at]] = True
+        return out
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two ascending arrays share, ``a`` being no longer than ``b``."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
 def links_between(
@@ -290,46 +366,119 @@ def links_between(
     """Edges that connect what the links between these sets connect.
 
     With ``side`` only pairs of different sides count. A pair is verified, by counting the tokens
-    that it shares, if it shares a prefix token under each of the three orders.
+    that it shares, if it shares a prefix token under each of the three orders and is not yet connected.
     """
     by = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in by], [sets[i] for i in by]
     n = np.array([len(s) for s in sets])
     sides = np.array([side[i] for i in by]) if side is not None else None
-    prefixes = [_Postings([orders.prefix(s, k) for s in sets]) for k in range(3)]
-    whole, union, out = None, Union(), []
+    prefixes = [_Postings(list(p)) for p in zip(*(orders.prefixes(s, range(3)) for s in sets))]
+    union, out = Union(), []
     for i in range(1, len(ids)):
         near = 100 * n[:i] >= percent * n[i]
         if sides is not None:
             near &= sides[:i] != sides[i]
         for p in prefixes:
             if near.any():
-                near &= p.shared(i)[:i] > 0
-        if not near.any():
-            continue
-        whole = whole or _Postings(sets)
-        shared = whole.shared(i)[:i]
-        for j in np.flatnonzero(near & (100 * shared >= percent * (n[:i] + n[i] - shared))).tolist():
+                near &= p.sharing(i)[:i]
+        for j in np.flatnonzero(near).tolist():
             if union.root(i) != union.root(j):
-                union.join(i, j)
-                out.append((ids[i], ids[j]))
+                shared = _common(sets[j], sets[i])
+                if 100 * shared >= percent * (n[i] + n[j] - shared):
+                    union.join(i, j)
+                    out.append((ids[i], ids[j]))
     return out
 
 
+def pairs_left(
+    ids: list[int], maps: list[tuple[int, bytes]], side: list[int] | None, percent: int
+) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs connect that sizes and bitmaps do not rule out.
+
+    ``maps`` has the size and the bitmap of each set. A map folds to half its width by the parity
+    of its halves; two maps are compared at the width of the smaller one.
+    """
+    by = sorted(range(len(ids)), key=lambda i: (maps[i][0], ids[i]))
+    ids, n = [ids[i] for i in by], np.array([maps[i][0] for i in by], np.int64)
+    words = [np.frombuffer(maps[i][1], np.uint64) for i in by]
+    sides = np.array([side[i] for i in by]) if side is not None else None
+    widths = np.array([len(w) for w in words])  # ascend with the sizes
+    first = {w: int(np.searchsorted(widths, w)) for w in np.unique(widths).tolist()}
+    rows = {w: np.stack(words[lo : int(np.searchsorted(widths, w, "right"))]) for w, lo in first.items()}
+    union, out = Union(), []
+    for i in range(1, len(ids)):
+        least, own = int(np.searchsorted(100 * n, percent * n[i])), words[i]
+        while least < i:
+            w = len(own)
+            if w in rows and (hi := min(i, first[w] + len(rows[w]))) > (lo := max(least, first[w])):
+                differ = np.bitwise_count(rows[w][lo - first[w] : hi - first[w]] ^ own).sum(axis=1, dtype=np.int64)
+                near = (100 + percent) * differ <= (100 - percent) * (n[lo:hi] + n[i])
+                if sides is not None:
+                    near &= sides[lo:hi] != sides[i]
+                for j in (np.flatnonzero(near) + lo).tolist():
+                    if union.root(i) != union.root(j):
+                        union.join(i, j)
+                        out.append((ids[i], ids[j]))
+            if w == widths[least]:
+                break
+            own = own[: w // 2] ^ own[w // 2 :]
+    return out
+
+
+def _met(sets: DataFrame, reader: Callable, edges: Callable) -> DataFrame:
+    """(a, b): what ``edges`` finds where the sets of a cluster meet.
+
+    ``sets`` has each set with its cluster and its block of the cluster's ``blocks``. A cluster of
+    one block meets once, others in all pairs of blocks. ``reader`` makes a function from batches to
+    what takes part of each row, if anything.
+    """
+    mine, all_ = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    meets = F.explode(F.transform(all_, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j"))))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, group, now = reader(), {}, None
+
+        def found() -> pd.DataFrame:
+            side = [b for _, b in group.values()] if now[1] != now[2] else None
+            return pd.DataFrame(edges(list(group), [x for x, _ in group.values()], side), columns=["a", "b"])
+
+        for batch in batches:
+            places = zip(*(batch[x].tolist() for x in ("cluster", "i", "j", "set", "block")))
+            for (c, i, j, s, b), own in zip(places, read(batch)):
+                if (c, i, j) != now:
+                    if len(group) > 1:
+                        yield found()
+                    group, now = {}, (c, i, j)
+                if own is not None:
+                    group[s] = own, b
+        if len(group) > 1:
+            yield found()
+
+    placed = sets.select("*", meets.alias("at")).select("*", "at.i", "at.j").drop("at", "blocks")
+    dealt = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set")
+    return dealt.mapInPandas(meet, "a long, b long")
+
+
+def _blocks(clusters: DataFrame, sets: DataFrame, blocks: Column) -> DataFrame:
+    """``sets`` of these clusters with cluster, block and blocks. ``blocks`` is made of ``size`` and ``total``."""
+    of_cluster = clusters.join(sets, clusters["node"] == sets["set"])
+    sizes = of_cluster.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    dealt = of_cluster.join(sizes.select("root", blocks.alias("blocks")), "root").drop("node")
+    return dealt.withColumnRenamed("root", "cluster").withColumn("block", F.pmod(F.xxhash64("set"), "blocks"))
+
+
 def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: Options, key: str, text: str) -> DataFrame:
     """(a, b): links that connect the sets of each cluster.
 
     ``wanted`` has for each set the document that stands for it, its cluster and its block of the
-    cluster's ``blocks``. A cluster of one block meets once, others in all pairs of blocks. A set
-    that only documents without key have is found by its number, once in each task that reads it.
+    cluster's ``blocks``. A set that only documents without key have is found by its number, once in each task that reads it.
     """
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, seen = Shingler(o.words), set()
         for batch in batches:
             rows = []
-            for t in batch["_text"]:
-                tokens = shingles(t)
+            for t, tokens in zip(batch["_text"], shingles.all(batch["_text"])):
                 own = set_id(tokens) if len(tokens) else None
                 if own is not None and own not in seen:
                     seen.add(own)
@@ -344,43 +493,19 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
         hit = _may_be_in(bloom(keyless, "set", o.bloom_bits))
         named = read.filter(F.col(key).isNull()).select("_text").mapInPandas(name, "set long, _text string")
         texts = texts.unionByName(named.filter(hit(F.xxhash64("set"))).join(keyless, "set"))
-    mine, all_ = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    meets = F.explode(F.transform(all_, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j"))))
 
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reader() -> Callable:
         shingles = Shingler(o.words)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):  # sets are larger than their texts
-                part = batch.iloc[lo : lo + 256]
-                sets = [shingles(t) for t in part["_text"]]
-                right = np.array([len(s) > 0 and set_id(s) == i for s, i in zip(sets, part["set"])], bool)
-                out = part[["cluster", "set", "block", "blocks"]].assign(tokens=[s.tobytes() for s in sets])
-                yield out[right]
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, now = {}, None
 
-        def links() -> pd.DataFrame:
-            side = [b for _, b in group.values()] if now[1] != now[2] else None
-            found = links_between(list(group), [s for s, _ in group.values()], side, orders, o.percent)
-            return pd.DataFrame(found, columns=["a", "b"])
+        def read(batch: pd.DataFrame) -> Iterator[np.ndarray | None]:
+            for own, tokens in zip(batch["set"].tolist(), shingles.all(batch["_text"])):
+                yield tokens if len(tokens) and set_id(tokens) == own else None  # a key's other texts are other sets
 
-        for batch in batches:
-            for c, i, j, s, b, raw in zip(*(batch[x].tolist() for x in ("cluster", "i", "j", "set", "block", "tokens"))):
-                if (c, i, j) != now:
-                    if len(group) > 1:
-                        yield links()
-                    group, now = {}, (c, i, j)
-                group[s] = np.frombuffer(raw, np.uint64), b
-        if len(group) > 1:
-            yield links()
+        return read
 
-    sets = texts.select("_text", "set", "cluster", "block", "blocks").mapInPandas(
-        shingle, "cluster long, set long, block long, blocks long, tokens binary"
-    )
-    placed = sets.select("cluster", "set", "block", "tokens", meets.alias("at")).select("*", "at.i", "at.j").drop("at")
-    dealt = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set")
-    return dealt.mapInPandas(meet, "a long, b long")
+    # Texts travel, not their sets, which are larger.
+    sets = texts.select("cluster", "set", "block", "blocks", "_text")
+    return _met(sets, reader, lambda ids, sets, side: links_between(ids, sets, side, orders, o.percent))
 
 
 def _linked(documents: DataFrame, o: Options, key: str, text: str, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -396,20 +521,14 @@ def _linked(documents: DataFrame, o: Options, key: str, text: str, folder: str)
     edges = found.groupBy("a", "b").agg(F.bit_or("found").alias("found")).filter("found >= 3")
     clusters = components(edges, f"{folder}/clusters")
 
-    firsts = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / o.block)
-    wanted = (
-        clusters.join(sizes, "root")
-        .join(firsts, clusters["node"] == firsts["set"])
-        .select(
-            key,
-            "set",
-            F.col("root").alias("cluster"),
-            blocks.alias("blocks"),
-            F.pmod(F.xxhash64("set"), blocks).alias("block"),
-        )
-    )
+    by_size = F.ceil(F.col("size") / o.block)
+    maps = read.filter("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    mapped = _blocks(clusters, maps, by_size)
+    left = _met(mapped, lambda: lambda rows: zip(rows["n"].tolist(), rows["bits"]), lambda *met: pairs_left(*met, o.percent))
+    clusters = components(stored(left, f"{folder}/left"), f"{folder}/left-clusters")
+
+    firsts = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key), F.max("n").alias("n"))
+    wanted = _blocks(clusters, firsts, F.greatest(by_size, F.ceil(F.col("total") / o.block_tokens))).drop("n")
     wanted = stored(wanted, f"{folder}/wanted")
     links = stored(verified_links(documents, wanted, orders, o, key, text), f"{folder}/links")
 
@@ -451,28 +570,37 @@ def keep_one(documents: DataFrame, options: Options = Options(), key: str = "doc
     each = sets.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root"))
     least = each.agg(first.alias("first"), F.min(F.when(F.col("keyless"), F.col("set"))).alias("other"))
     chosen = least.filter("first is not null").select("first.*").union(docs.filter("n = 0").select(key, "set").filter(~keyless).distinct())
-    shared = docs.filter(~keyless).groupBy(key).agg((F.min("set") != F.max("set")).alias("shared"))
-    chosen = chosen.join(shared, key).unionByName(
+    keys = docs.filter(~keyless).groupBy(key).agg(
+        (F.min("set") != F.max("set")).alias("shared"), (F.count("*") > 1).alias("again")
+    )
+    chosen = chosen.join(keys.drop("again"), key).unionByName(
         least.filter("other is not null").select(F.lit(None).cast(dict(docs.dtypes)[key]).alias(key), F.col("other").alias("set"), F.lit(True).alias("shared"))
     )
     chosen = stored(chosen, f"{folder}/chosen")
+    # Most keys have one row, and it stays. Only rows that may have another key are dealt by key.
+    stays = chosen.filter("not shared").select(key, F.lit(True).alias("stays"))
+    doubtful = keys.join(stays, key, "left").filter("shared or again or stays is null")
+    doubtful = stored(doubtful.select(F.col(key).alias("_key"), F.col("shared").alias("_shared"), F.col("stays").alias("_stays")), f"{folder}/doubtful")
 
     @F.pandas_udf("long")
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingler(o.words)
         for batch in batches:
-            sets = map(shingles, batch)
-            yield pd.Series([set_id(s) if len(s) else 0 for s in sets], dtype="int64")
+            yield pd.Series([set_id(s) if len(s) else 0 for s in shingles.all(batch)], dtype="int64")
+
+    number = number.asNondeterministic()  # else Spark numbers all documents before it selects any
 
+    keyed, hit = documents.filter(~keyless), _may_be_in(bloom(doubtful, "_key", o.bloom_bits))(F.xxhash64(key))
+    asked = keyed.filter(hit).join(doubtful, F.col(key) == F.col("_key"), "left")
+    kept = keyed.filter(~hit).select(*documents.columns)
     # The key tells the row where it has one set only; elsewhere the text must be read again.
-    kept = documents.join(chosen.filter("not shared").select(key), key, "left_semi").dropDuplicates([key])
-    kept = kept.select(*documents.columns)
+    by_key = asked.filter("_key is null or _stays").select(*documents.columns).dropDuplicates([key])
     wanted = chosen.filter("shared").select(F.col(key).alias("_key"), F.col("set").alias("_set"))
-    several = documents.join(wanted.select("_key").filter("_key is not null").distinct(), F.col(key) == F.col("_key"), "left_semi")
+    several = asked.filter("_shared").select(*documents.columns)
     named = several.unionByName(documents.filter(keyless)).withColumn("_number", number(F.coalesce(text, F.lit(""))))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_number") == F.col("_set"))
     wordless = keyless & (F.col("_number") == 0)
     one = named.filter(~wordless).dropDuplicates([key, "_number"]).join(wanted, same, "left_semi")
-    for part in (one, named.filter(wordless)):
+    for part in (by_key, one, named.filter(wordless)):
         kept = kept.unionByName(part.select(*documents.columns))
     return kept
