@@ -32,7 +32,8 @@ LONG = 200  # longer pieces are not remembered
 TOGETHER = 64  # texts whose new pieces are encoded together
 RUN = 50  # pieces that are encoded in one run
 MARKS = string.punctuation  # after letters, at the end of a piece, these are one word of the pattern
-LATIN = "\u0250"  # letters before this character are letters in every version of Unicode since 5.0
+LATIN = "".join(filter(str.isalpha, map(chr, range(0x250))))  # letters in every version of Unicode since 5.0
+_WORD = re.compile(f"(\n?)([{LATIN}]+)([{re.escape(MARKS)}]*)").fullmatch
 
 
 def byte_characters() -> list[str]:
@@ -187,20 +188,22 @@ class TextEncoder:
         odd, others = set(), []
         if len(self.pieces) + len(new) > self.pieces.limit:
             self.pieces.clear()
-        room, marks = self.pieces.limit - len(self.pieces), self.marks
+        room, marks, pieces, encode = self.pieces.limit - len(self.pieces), self.marks, self.pieces, self.word
         line = self.run("\n")
         for piece in new:
-            inner = piece[:1] == "\n"
-            word = piece[1:] if inner else piece
-            letters = word.rstrip(MARKS)
-            if self.word and letters.isalpha() and (letters.isascii() or max(letters) < LATIN):
+            found = encode and _WORD(piece)
+            if found:
                 if room > 0 and len(piece) <= LONG:
-                    ids = self.word(letters if inner else " " + letters)
-                    if len(letters) < len(word):
-                        ids += marks[word[len(letters) :]]
-                    self.pieces[piece] = line + ids if inner else ids
+                    inner, letters, after = found.groups()
+                    ids = encode(letters if inner else " " + letters)
+                    if after:
+                        ids += marks[after]
+                    pieces[piece] = line + ids if inner else ids
                     room -= 1
-            elif word.split() != [word]:
+                continue
+            inner = piece[:1] == "\n"
+            word = piece[1:] if inner else piece
+            if word.split() != [word]:
                 odd.add(piece)
             elif len(piece) <= LONG and not inner:
                 others.append(piece)

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 
 from convoeval.llm.bpe import TextEncoder, Vocabulary, byte_characters
 
+REMEMBERED = 1 << 20  # pieces that a Python worker remembers
+
 
 def library_encoder(path: str) -> TextEncoder:
     """Whole texts to the ids that the library gives, without special tokens added.
 
     The library encodes every piece that is not remembered, words of Latin letters by its model; see ``TextEncoder`` for why the ids
-    of pieces make up those of the text. Truncation and padding are switched off.
+    of pieces make up those of the text. Truncation and padding are switched off. A Python worker
+    serves many tasks; it loads a file once, and its pieces are remembered from task to task.
     """
+    file = os.stat(path)
+    return _encoder(path, file.st_size, file.st_mtime_ns)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, size: int, time: int) -> TextEncoder:
+    """The encoder of a file that had this size at this time."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -28,7 +39,9 @@ def library_encoder(path: str) -> TextEncoder:
         w = w.replace(" ", space) if w.isascii() else "".join(map(character, w.encode()))
         return array("I", [t.id for t in tokenize(w)]).tobytes()
 
-    return TextEncoder(Vocabulary(path).added, lambda t: array("I", encode(t, add_special_tokens=False).ids).tobytes(), word)
+    encoder = TextEncoder(Vocabulary(path).added, lambda t: array("I", encode(t, add_special_tokens=False).ids).tobytes(), word)
+    encoder.pieces.limit = REMEMBERED
+    return encoder
 
 
 def vocabulary_size(path: str) -> int:

@@ -4,6 +4,7 @@ import random
 from array import array
 
 import public_tokenizers
+from convoeval.llm import encode
 from convoeval.llm.encode import library_encoder
 from tokenizers import Tokenizer
 
@@ -34,3 +35,13 @@ def test_new_words_are_not_encoded_one_call_each():
     texts = [" ".join(f"{i}x{j}" for j in range(20)) for i in range(50)]
     assert list(encoder.encode_all(texts)) == [run(t) for t in texts]
     assert len(calls) < 100  # 1,000 new words
+
+
+def test_a_worker_loads_the_tokenizer_once(monkeypatch):
+    loaded = []
+    real = encode.Vocabulary
+    monkeypatch.setattr(encode, "Vocabulary", lambda path: loaded.append(path) or real(path))
+    for text in ("Some words, été.", "Other words, some été!", "Some words, été."):
+        (ids,) = encode.library_encoder(PATH).encode_all([text])
+        assert array("I", ids).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert len(loaded) <= 1
