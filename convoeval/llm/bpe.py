@@ -15,9 +15,13 @@ import re
 import string
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +33,11 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _BORDER = re.compile(f"(?= [^{WHITE}])")
 CACHED = 1 << 19  # pieces that a task remembers
 LONG = 200  # longer pieces are not remembered
-TOGETHER = 64  # texts whose new pieces are encoded together
+TOGETHER = 1 << 22  # bytes of texts, but for the last one, whose pieces are looked up together
 RUN = 50  # pieces that are encoded in one run
 MARKS = string.punctuation  # after letters, at the end of a piece, these are one word of the pattern
 LATIN = "".join(filter(str.isalpha, map(chr, range(0x250))))  # letters in every version of Unicode since 5.0
-_WORD = re.compile(f"(\n?)([{LATIN}]+)([{re.escape(MARKS)}]*)").fullmatch
+_LATIN = re.compile(f"[{LATIN}]+").fullmatch
 
 
 def byte_characters() -> list[str]:
@@ -67,10 +71,16 @@ class Vocabulary:
         self.byte_ids = [self.ids[c] for c in chars]
         # (left, right) as one number -> (rank, merged id)
         self.merges: dict[int, tuple[int, int]] = {}
+        byte_of = {c: b for b, c in enumerate(chars)}
+        # Whether words of Latin letters, a space before each, have the same ids in a row as alone:
+        # no merge takes a space after what can be the end of such a word.
+        self.rows = not any(map(model.get, ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")))
+        space = chars[ord(" ")]
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
+            if right[0] == space:
+                self.rows &= bytes(map(byte_of.__getitem__, left)).decode("utf-8", "replace")[-1] not in LATIN + "\ufffd"
             self.merges[self.ids[left] * self.size + self.ids[right]] = rank, self.ids[left + right]
-        byte_of = {c: b for b, c in enumerate(chars)}
         self.strings: list[bytes] = [b""] * self.size
         for token, i in self.ids.items():
             self.strings[i] = bytes(byte_of[c] for c in token)
@@ -139,14 +149,16 @@ class Remembered(dict):
 class TextEncoder:
     """Whole texts to ids, as the bytes of 32-bit numbers.
 
-    ``run`` encodes a span without added tokens, ``word`` (optional) one word of the pattern.
-    ``run`` sees each piece of a text by itself, which
+    ``run`` encodes a span without added tokens, ``words`` (optional) words of Latin letters, each
+    with a space before it. ``run`` sees each piece of a text by itself, which
     gives the ids of the whole text because the pattern has a border wherever pieces meet.
     """
 
-    def __init__(self, added: dict[str, int], run: Callable[[str], bytes], word: Callable[[str], bytes] | None = None):
-        self.run, self.word = run, word
-        self.marks = Remembered(word or run, 1 << 10)
+    def __init__(
+        self, added: dict[str, int], run: Callable[[str], bytes], words: Callable[[list[str]], list[bytes]] | None = None
+    ):
+        self.run, self.words = run, words
+        self.marks, self.firsts = Remembered(run, 1 << 10), Remembered(run, 1 << 14)
         # The space before a piece is not in its key; a newline is.
         self.pieces = Remembered(lambda p: run(p if p[:1] == "\n" else " " + p))
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
@@ -163,61 +175,106 @@ class TextEncoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.run(first) + b"".join(map(self.pieces.__getitem__, rest))
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text. The pieces that some texts are the first to need are encoded together."""
-        for lo in range(0, len(texts), TOGETHER):
-            group = texts[lo : lo + TOGETHER]
-            words = [None if self.special and self.special.search(t) else t.replace("\n", " \n").split(" ") for t in group]
-            known = self.pieces
-            odd = self._learn([p for p in set().union(*(w[1:] for w in words if w is not None)) if p not in known])
-            for text, own in zip(group, words):
-                first = own[0] if own else ""
-                if first.split() != [first] or (odd and not odd.isdisjoint(own)):
-                    yield self.encode(text)
-                else:
-                    yield self.run(first) + b"".join(map(self.pieces.__getitem__, own[1:]))
-
-    def _learn(self, new: list[str]) -> set[str]:
-        """Remember these pieces as far as there is room; return those that are not words.
-
-        Latin letters with marks at the end are two words of the pattern at most, which ``word``
-        encodes. Others are encoded some at a time: a newline between words is a border on both
+    def encode_all(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """The ids of each text. Each piece is looked up once for some megabytes of texts."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        sizes = pc.binary_length(texts).to_numpy()
+        groups = (np.cumsum(sizes) - sizes) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                yield from self._group(texts.slice(lo, hi - lo))
+
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        """Texts of which ``encode`` must see the whole go there; the others are gathered from their pieces' ids."""
+        whole = np.zeros(len(texts), bool)
+        if self.added:
+            whole = reduce(pc.or_, (pc.match_substring(texts, t) for t in self.added)).to_numpy(zero_copy_only=False).copy()
+        plain = np.flatnonzero(~whole)
+        words = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+        first = words.offsets.to_numpy()[:-1].astype(np.int64)
+        words = words.flatten()
+        heads = words.take(pa.array(first)).to_numpy(zero_copy_only=False).tolist()
+        later = np.ones(len(words), bool)
+        later[first] = False
+        coded = pc.if_else(pa.array(later), words, pa.scalar(None, words.type)).dictionary_encode()
+        del words
+        ids = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = coded.indices.fill_null(0).to_numpy().astype(np.int64)
+        at[first] = np.arange(len(ids), len(ids) + len(heads))
+        ids += [self.firsts[h] if h.split() == [h] else None for h in heads]
+        if None in ids:
+            whole[plain] = np.logical_or.reduceat(np.array([i is None for i in ids])[at], first)
+        sizes = np.fromiter((len(i or b"") // 4 for i in ids), np.int64, len(ids))
+        starts, total = np.cumsum(sizes) - sizes, int(sizes[at].sum())
+        # Places of ids within the group; a group of more than 2 GB of text would need more bits.
+        kind = np.int32 if total < 1 << 31 else np.int64
+        n = sizes.astype(kind)[at]
+        ends = np.cumsum(n, dtype=kind)
+        source = np.repeat(starts.astype(kind)[at] - ends + n, n)
+        source += np.arange(total, dtype=kind)
+        out = np.frombuffer(b"".join(filter(None, ids)), np.uint32)[source]
+        cuts = [*(ends - n)[first].tolist(), total]
+        places = dict(zip(plain.tolist(), zip(cuts, cuts[1:])))
+        for i, by_itself in enumerate(whole.tolist()):
+            if by_itself:
+                yield self.encode(texts[i].as_py())
+            else:
+                lo, hi = places[i]
+                yield out[lo:hi].tobytes()
+
+    def _look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of distinct pieces; None for those that are not words."""
+        known = self.pieces
+        ids = list(map(known.get, pieces))
+        new = [p for p, found in zip(pieces, ids) if found is None]
+        if not new:
+            return ids
+        learned = self._learn(new)
+        if len(known) + len(learned) > known.limit:
+            known.clear()
+        short = ((p, found) for p, found in learned.items() if len(p) <= LONG)
+        known.update(islice(short, known.limit - len(known)))
+        return [learned.get(p) if found is None else found for p, found in zip(pieces, ids)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of those pieces that are words.
+
+        Latin letters with marks at the end are two words of the pattern at most; the letters go to
+        ``words``. Others are encoded some at a time: a newline between words is a border on both
         sides and a token of its own, so that it tells their ids apart. A piece that starts with a
         newline has that token and then the ids of its word without a space.
         """
-        odd, others = set(), []
-        if len(self.pieces) + len(new) > self.pieces.limit:
-            self.pieces.clear()
-        room, marks, pieces, encode = self.pieces.limit - len(self.pieces), self.marks, self.pieces, self.word
-        line = self.run("\n")
+        learned, stems, others, lines = {}, {}, [], []
         for piece in new:
-            found = encode and _WORD(piece)
-            if found:
-                if room > 0 and len(piece) <= LONG:
-                    inner, letters, after = found.groups()
-                    ids = encode(letters if inner else " " + letters)
-                    if after:
-                        ids += marks[after]
-                    pieces[piece] = line + ids if inner else ids
-                    room -= 1
-                continue
-            inner = piece[:1] == "\n"
-            word = piece[1:] if inner else piece
-            if word.split() != [word]:
-                odd.add(piece)
-            elif len(piece) <= LONG and not inner:
+            stem = piece.rstrip(MARKS)
+            if self.words and stem.isalpha() and (stem.isascii() or _LATIN(stem)):
+                learned[piece] = stems[stem] = b""
+            elif piece[:1] != "\n" and piece.split() == [piece]:
                 others.append(piece)
-        for lo in range(0, min(room, len(others)) if len(line) == 4 else 0, RUN):
-            found = others[lo : lo + RUN]
-            text = " " + "\n ".join(found)
-            if self.special and self.special.search(text):
-                continue  # encoded one by one when they are looked up
-            ids = self.run(text)
-            cuts = 4 * np.flatnonzero(np.frombuffer(ids, np.uint32) == np.frombuffer(line, np.uint32)[0])
-            if len(cuts) == len(found) - 1:
-                starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)]
-                self.pieces.update((p, ids[a:b]) for p, a, b in zip(found, starts, ends))
-        return odd
+            elif piece[:1] == "\n" and piece[1:].split() == [piece[1:]]:
+                lines.append(piece)
+        if stems:
+            stems = dict(zip(stems, self.words(list(stems))))
+            for piece in learned:
+                ids = stems.get(piece)
+                if ids is None:
+                    stem = piece.rstrip(MARKS)
+                    ids = stems[stem] + self.marks[piece[len(stem) :]]
+                learned[piece] = ids
+        line = self.run("\n")
+        for some, before in ((others, " "), (lines, "")):
+            for lo in range(0, len(some), RUN):
+                found = some[lo : lo + RUN]
+                text = "\n ".join(["", *found]) if before else "".join(found)
+                raw = self.run(text) if len(line) == 4 and not (self.special and self.special.search(text)) else b""
+                cuts = 4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == np.frombuffer(line, np.uint32)[0])
+                if len(cuts) == len(found):
+                    starts, ends = (cuts + 4 * len(before)).tolist(), [*cuts[1:].tolist(), len(raw)]
+                    learned.update((p, raw[a:b]) for p, a, b in zip(found, starts, ends))
+                else:
+                    learned.update((p, self.run(before + p)) for p in found)
+        return learned
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):

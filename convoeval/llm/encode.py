@@ -6,24 +6,28 @@ import os
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from convoeval.llm.bpe import TextEncoder, Vocabulary, byte_characters
 
-REMEMBERED = 1 << 20  # pieces that a Python worker remembers
+REMEMBERED = 1 << 20  # pieces that a Python worker remembers, some 200 bytes each
+ROW = 64  # words that the library's model gets at once
 
 
-def library_encoder(path: str) -> TextEncoder:
+def library_encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     """Whole texts to the ids that the library gives, without special tokens added.
 
-    The library encodes every piece that is not remembered, words of Latin letters by its model; see ``TextEncoder`` for why the ids
+    The library encodes every piece that is not remembered, words of Latin letters in rows by its
+    model; see ``TextEncoder`` for why the ids
     of pieces make up those of the text. Truncation and padding are switched off. A Python worker
     serves many tasks; it loads a file once, and its pieces are remembered from task to task.
     """
     file = os.stat(path)
-    return _encoder(path, file.st_size, file.st_mtime_ns)
+    return _encoder(path, file.st_size, file.st_mtime_ns, remembered)
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, size: int, time: int) -> TextEncoder:
+def _encoder(path: str, size: int, time: int, remembered: int) -> TextEncoder:
     """The encoder of a file that had this size at this time."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
@@ -32,15 +36,25 @@ def _encoder(path: str, size: int, time: int) -> TextEncoder:
     library.no_truncation()
     library.no_padding()
     encode, tokenize = library.encode, library.model.tokenize
-    character = byte_characters().__getitem__
-    space = character(ord(" "))
-
-    def word(w: str) -> bytes:
-        w = w.replace(" ", space) if w.isascii() else "".join(map(character, w.encode()))
-        return array("I", [t.id for t in tokenize(w)]).tobytes()
-
-    encoder = TextEncoder(Vocabulary(path).added, lambda t: array("I", encode(t, add_special_tokens=False).ids).tobytes(), word)
-    encoder.pieces.limit = REMEMBERED
+    vocabulary = Vocabulary(path)
+    characters = dict(enumerate(byte_characters()))
+    space = characters[ord(" ")]
+    spaced = np.array([token[:1] == b" " for token in vocabulary.strings])
+    row = ROW if vocabulary.rows else 1
+
+    def words(own: list[str]) -> list[bytes]:
+        """Ids of words with a space before each; a token that begins with a space begins a word."""
+        out = []
+        for lo in range(0, len(own), row):
+            text = " " + " ".join(own[lo : lo + row])
+            text = text.replace(" ", space) if text.isascii() else text.encode().decode("latin-1").translate(characters)
+            ids = np.array([t.id for t in tokenize(text)], np.uint32)
+            starts, raw = (4 * np.flatnonzero(spaced[ids])).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+        return out
+
+    encoder = TextEncoder(vocabulary.added, lambda t: array("I", encode(t, add_special_tokens=False).ids).tobytes(), words)
+    encoder.pieces.limit = remembered
     return encoder
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,25 +113,26 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int,
     width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], np.uint32).tobytes()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = library_encoder(tokenizer), TaskContext.get().partitionId()
         name, fs_base, counts = f"shard-{uuid.uuid4().hex}", None, []
         out = None
         for batch in batches:
-            if out is None and len(batch):
+            if out is None and batch.num_rows:
                 fs, fs_base = open_folder(folder)
                 fs.create_dir(fs_base, recursive=True)
                 out = fs.open_output_stream(f"{fs_base}/{name}", compression=None)
                 out.write(SHARD + struct.pack("<Q", width))
             first, got = len(counts), []
-            for own in encoder.encode_all(batch["_text"].tolist()):
+            for own in encoder.encode_all(batch.column("_text")):
                 ids = np.frombuffer(own + end, np.uint32)
                 out.write(ids.astype(f"<u{width}").tobytes())
                 got.append(len(ids))
             counts += got
-            rows = batch[["_h", "_p"]].copy()
-            rows["shard"], rows["file"], rows["number"], rows["n"] = shard, name, range(first, len(counts)), got
-            yield rows
+            numbers = [pa.array(x, pa.int64()) for x in ([shard] * len(got), range(first, len(counts)), got)]
+            files = pa.array([name] * len(got), pa.string())
+            own = [batch.column("_h"), batch.column("_p"), numbers[0], files, *numbers[1:]]
+            yield pa.RecordBatch.from_arrays(own, ["_h", "_p", "shard", "file", "number", "n"])
         if out is not None:
             out.write(np.array(counts, "<u8").tobytes() + struct.pack("<Q", len(counts)))
             out.close()
@@ -138,7 +140,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int,
     rows = documents.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
     rows = rows.repartitionByRange("_key").sortWithinPartitions("_key", "_text").select(*_hashes(F.col("_key")), "_text")
     schema = "_h long, _p long, shard long, file string, number long, n long"
-    return stored(rows.mapInPandas(write, schema), f"{folder}/written")
+    return stored(rows.mapInArrow(write, schema), f"{folder}/written")
 
 
 def write_index(written: DataFrame, folder: str) -> DataFrame:

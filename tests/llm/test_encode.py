@@ -45,3 +45,36 @@ def test_a_worker_loads_the_tokenizer_once(monkeypatch):
         (ids,) = encode.library_encoder(PATH).encode_all([text])
         assert array("I", ids).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert len(loaded) <= 1
+
+
+def test_words_are_looked_up_once_for_many_texts():
+    encoder, asked = library_encoder(PATH), []
+    texts = [" ".join(f"word{chr(97 + j)}{'!' * (i % 3)}" for j in range(20)) for i in range(500)]
+    want = [encoder.run(t) for t in texts]
+    encoder.pieces.clear()
+
+    class Counted(type(encoder.pieces)):
+        def get(self, *a):
+            asked.append(a)
+            return super().get(*a)
+
+        def __getitem__(self, *a):
+            asked.append(a)
+            return super().__getitem__(*a)
+
+    limit, encoder.pieces = encoder.pieces.limit, Counted(encoder.pieces.encode)
+    encoder.pieces.limit = limit
+    assert list(encoder.encode_all(texts)) == want
+    assert len(asked) < 200  # 10,000 words, 60 of them different
+
+
+def test_arrow_texts_and_slices():
+    import pyarrow as pa
+
+    texts = ["one two", "", " lead", "three\nfour, five", "<|endoftext|> six", "été à la", "\n", "x" * 300 + " " + "y" * 300]
+    library = Tokenizer.from_file(PATH)
+    want = [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    encoder = library_encoder(PATH)
+    assert list(encoder.encode_all(pa.array(texts))) == want
+    assert list(encoder.encode_all(pa.array(texts).slice(3, 4))) == want[3:7]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
