@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +24,7 @@ from convoeval.llm.encode import library_encoder
 from convoeval.llm.shared import partitions_for, stored, work_folder
 
 PER_BUCKET = 20_000  # pieces that are numbered together, on average
+REMEMBERED = 1 << 17  # pieces of words; a worker may still hold memory of the stages before
 
 
 class Step(NamedTuple):
@@ -75,26 +76,28 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, key: st
     """(key, piece, start, length, ids_crc32) of every document, ``end_id`` included.
 
     Only documents longer than ``size`` are cut. Their pieces have ``size`` tokens but for the
-    first, which has what remains. Keys travel as text, since pandas has no exact whole numbers
-    beside nulls.
+    first, which has what remains. Keys travel as text, of whatever type they are.
     """
     end = np.array([end_id], np.uint32).tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = library_encoder(tokenizer)
+    fields = [(key, pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(tokenizer, REMEMBERED)
         for batch in batches:
             rows = []
-            for k, own in zip(batch[key], encoder.encode_all(batch["_text"].tolist())):
+            for k, own in zip(batch.column(key).to_pylist(), encoder.encode_all(batch.column("_text"))):
                 ids = np.frombuffer(own + end, np.uint32).astype("<u4").tobytes()
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start) % size or size
                     rows.append((k, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                     start, piece = start + length, piece + 1
-            yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"])
+            columns = zip(*rows) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
 
     rows = documents.select(F.col(key).cast("string").alias(key), F.coalesce(text, F.lit("")).alias("_text"))
-    out = rows.mapInPandas(cut, f"`{key}` string, piece int, start long, length long, ids_crc32 long")
+    out = rows.mapInArrow(cut, f"`{key}` string, piece int, start long, length long, ids_crc32 long")
     return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 

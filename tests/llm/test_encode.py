@@ -68,6 +68,12 @@ def test_words_are_looked_up_once_for_many_texts():
     assert len(asked) < 200  # 10,000 words, 60 of them different
 
 
+def test_packing_remembers_fewer_words():
+    from convoeval.llm import packing
+
+    assert library_encoder(PATH, packing.REMEMBERED).pieces.limit == packing.REMEMBERED < encode.REMEMBERED
+
+
 def test_arrow_texts_and_slices():
     import pyarrow as pa
 
