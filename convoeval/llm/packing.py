@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convoeval.llm.encode import library_encoder
+from convoeval.llm.encode import REMEMBERED, library_encoder
 from convoeval.llm.shared import partitions_for, stored, work_folder
 
 PER_BUCKET = 20_000  # pieces that are numbered together, on average
-REMEMBERED = 1 << 17  # pieces of words; a worker may still hold memory of the stages before
 
 
 class Step(NamedTuple):
@@ -72,7 +71,9 @@ def plan(histogram: dict[int, int], size: int) -> list[Step]:
     return steps
 
 
-def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(
+    documents: DataFrame, tokenizer: str, end_id: int, size: int, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED
+) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document, ``end_id`` included.
 
     Only documents longer than ``size`` are cut. Their pieces have ``size`` tokens but for the
@@ -83,7 +84,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, key: st
     fields = [(key, pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, REMEMBERED)
+        encoder = library_encoder(tokenizer, remembered)
         for batch in batches:
             rows = []
             for k, own in zip(batch.column(key).to_pylist(), encoder.encode_all(batch.column("_text"))):
@@ -121,16 +122,25 @@ def ranked(cut: DataFrame, buckets: int, key: str = "doc_id") -> DataFrame:
     )
 
 
-def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    documents: DataFrame,
+    tokenizer: str,
+    end_id: int = 2,
+    size: int = 1024,
+    key: str = "doc_id",
+    text: str = "text",
+    remembered: int = REMEMBERED,
+) -> DataFrame:
     """Pack all documents into sequences of at most ``size`` tokens.
 
     Returns (key, piece, start, length, ids_crc32, sequence_id, offset). A null or empty text is
     one piece of one token. Rows with the same key are packed each by itself, null keys too; an
     empty table gives no piece. Other columns are left behind. Pieces are encoded once and stored
     in the shared folder. The plan is broadcast: its size is bounded by that of the histogram.
+    ``remembered`` words stay in the memory of a Python worker; fewer take more time.
     """
     spark = documents.sparkSession
-    cut = stored(pieces(documents, tokenizer, end_id, size, key, text), work_folder(spark, "pieces"))
+    cut = stored(pieces(documents, tokenizer, end_id, size, key, text, remembered), work_folder(spark, "pieces"))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     steps = plan(histogram, size)
     buckets = partitions_for(spark, sum(histogram.values()), PER_BUCKET)

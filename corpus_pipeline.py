@@ -16,6 +16,8 @@ from convoeval.llm.shared import stored, work_folder
 # No stage but the first rules can be said in SQL: see the tests for brute-force versions.
 ORACLE_SQL = None
 
+REMEMBERED = 1 << 17  # words; beside them, a Python worker may still hold memory of the stages before
+
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
     """``docs`` with every column but doc_id and text under a private name, and the way back.
@@ -59,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents with their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

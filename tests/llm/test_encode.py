@@ -68,10 +68,13 @@ def test_words_are_looked_up_once_for_many_texts():
     assert len(asked) < 200  # 10,000 words, 60 of them different
 
 
-def test_packing_remembers_fewer_words():
-    from convoeval.llm import packing
+def test_the_last_stage_remembers_fewer_words(monkeypatch):
+    import corpus_pipeline
 
-    assert library_encoder(PATH, packing.REMEMBERED).pieces.limit == packing.REMEMBERED < encode.REMEMBERED
+    asked = []
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda *a, **k: asked.append(k["remembered"]))
+    corpus_pipeline.best_fit_packing(None, None, "")
+    assert library_encoder(PATH, asked[0]).pieces.limit == asked[0] < encode.REMEMBERED
 
 
 def test_arrow_texts_and_slices():
