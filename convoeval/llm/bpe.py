@@ -161,6 +161,7 @@ class TextEncoder:
         self.marks, self.firsts = Remembered(run, 1 << 10), Remembered(run, 1 << 14)
         # The space before a piece is not in its key; a newline is.
         self.pieces = Remembered(lambda p: run(p if p[:1] == "\n" else " " + p))
+        self.together = TOGETHER
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
         # As the library does: at each place the longest added token.
         longest = sorted(added, key=len, reverse=True)
@@ -179,7 +180,7 @@ class TextEncoder:
         """The ids of each text. Each piece is looked up once for some megabytes of texts."""
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         sizes = pc.binary_length(texts).to_numpy()
-        groups = (np.cumsum(sizes) - sizes) // TOGETHER
+        groups = (np.cumsum(sizes) - sizes) // self.together
         cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(texts)]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo < hi:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.llm.components import Union, components
-from convoeval.llm.shared import join_spread, partitions_for, stored, work_folder
+from convoeval.llm.shared import give_back, join_spread, partitions_for, stored, tidy, work_folder
 
 
 @dataclass(frozen=True)
@@ -188,9 +188,15 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
         shingles, seen, kept, size = Shingler(o.words), set(), [], 0
 
         def often() -> pd.DataFrame:
-            tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
-            many = counts >= 3
-            row = [None, -1, 0, None, tokens[many].view(np.int64).tolist(), counts[many].tolist()]
+            tokens = np.concatenate(kept)
+            kept.clear()
+            tokens.sort()
+            new = np.ones(len(tokens), bool)
+            np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+            heads = np.flatnonzero(new[:-2] & (tokens[2:] == tokens[:-2]))  # of three equal ones or more
+            many = tokens[heads]
+            counts = np.searchsorted(tokens, many, "right") - heads
+            row = [None, -1, 0, None, many.view(np.int64), counts.astype(np.int32)]
             return pd.DataFrame([row], columns=columns)
 
         for batch in batches:
@@ -210,7 +216,7 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
             yield often()
 
     rows = documents.select(F.col(key).cast("string").alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    out = rows.mapInPandas(read, f"`{key}` string, n long, set long, bits binary, tokens array<long>, counts array<int>")
+    out = rows.mapInPandas(tidy(read), f"`{key}` string, n long, set long, bits binary, tokens array<long>, counts array<int>")
     return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 
@@ -270,6 +276,7 @@ def candidate_pairs(documents: DataFrame, orders: Orders, o: Options, shards: in
             yield from packed()
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]]).astype(np.int64)
@@ -299,7 +306,7 @@ def candidate_pairs(documents: DataFrame, orders: Orders, o: Options, shards: in
         return pd.DataFrame({"a": ids[i], "b": ids[j], "found": found})[keep].drop_duplicates()
 
     rows = documents.select(F.coalesce(text, F.lit("")).alias("_text"))
-    sent = rows.mapInPandas(send, "order int, shard int, tokens binary, ids binary, n binary")
+    sent = rows.mapInPandas(tidy(send), "order int, shard int, tokens binary, ids binary, n binary")
     return sent.groupBy("order", "shard").applyInPandas(pair, "a long, b long, found int")
 
 
@@ -456,7 +463,7 @@ def _met(sets: DataFrame, reader: Callable, edges: Callable) -> DataFrame:
 
     placed = sets.select("*", meets.alias("at")).select("*", "at.i", "at.j").drop("at", "blocks")
     dealt = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set")
-    return dealt.mapInPandas(meet, "a long, b long")
+    return dealt.mapInPandas(tidy(meet), "a long, b long")
 
 
 def _blocks(clusters: DataFrame, sets: DataFrame, blocks: Column) -> DataFrame:
@@ -491,7 +498,7 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
     keyless = wanted.filter(F.col(key).isNull()).drop(key)
     if not keyless.isEmpty():
         hit = _may_be_in(bloom(keyless, "set", o.bloom_bits))
-        named = read.filter(F.col(key).isNull()).select("_text").mapInPandas(name, "set long, _text string")
+        named = read.filter(F.col(key).isNull()).select("_text").mapInPandas(tidy(name), "set long, _text string")
         texts = texts.unionByName(named.filter(hit(F.xxhash64("set"))).join(keyless, "set"))
 
     def reader() -> Callable:
@@ -582,13 +589,12 @@ def keep_one(documents: DataFrame, options: Options = Options(), key: str = "doc
     doubtful = keys.join(stays, key, "left").filter("shared or again or stays is null")
     doubtful = stored(doubtful.select(F.col(key).alias("_key"), F.col("shared").alias("_shared"), F.col("stays").alias("_stays")), f"{folder}/doubtful")
 
-    @F.pandas_udf("long")
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingler(o.words)
         for batch in batches:
             yield pd.Series([set_id(s) if len(s) else 0 for s in shingles.all(batch)], dtype="int64")
 
-    number = number.asNondeterministic()  # else Spark numbers all documents before it selects any
+    number = F.pandas_udf(tidy(number), "long").asNondeterministic()  # else Spark numbers all documents before it selects any
 
     keyed, hit = documents.filter(~keyless), _may_be_in(bloom(doubtful, "_key", o.bloom_bits))(F.xxhash64(key))
     asked = keyed.filter(hit).join(doubtful, F.col(key) == F.col("_key"), "left")

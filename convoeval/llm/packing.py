@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from convoeval.llm.bpe import TOGETHER
 from convoeval.llm.encode import REMEMBERED, library_encoder
-from convoeval.llm.shared import partitions_for, stored, work_folder
+from convoeval.llm.shared import partitions_for, stored, tidy, work_folder
 
 PER_BUCKET = 20_000  # pieces that are numbered together, on average
 
@@ -72,7 +73,14 @@ def plan(histogram: dict[int, int], size: int) -> list[Step]:
 
 
 def pieces(
-    documents: DataFrame, tokenizer: str, end_id: int, size: int, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED
+    documents: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    size: int,
+    key: str = "doc_id",
+    text: str = "text",
+    remembered: int = REMEMBERED,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document, ``end_id`` included.
 
@@ -84,7 +92,7 @@ def pieces(
     fields = [(key, pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, remembered)
+        encoder = library_encoder(tokenizer, remembered, together)
         for batch in batches:
             rows = []
             for k, own in zip(batch.column(key).to_pylist(), encoder.encode_all(batch.column("_text"))):
@@ -98,7 +106,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
 
     rows = documents.select(F.col(key).cast("string").alias(key), F.coalesce(text, F.lit("")).alias("_text"))
-    out = rows.mapInArrow(cut, f"`{key}` string, piece int, start long, length long, ids_crc32 long")
+    out = rows.mapInArrow(tidy(cut), f"`{key}` string, piece int, start long, length long, ids_crc32 long")
     return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 
@@ -130,6 +138,7 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     remembered: int = REMEMBERED,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``size`` tokens.
 
@@ -137,10 +146,11 @@ def pack(
     one piece of one token. Rows with the same key are packed each by itself, null keys too; an
     empty table gives no piece. Other columns are left behind. Pieces are encoded once and stored
     in the shared folder. The plan is broadcast: its size is bounded by that of the histogram.
-    ``remembered`` words stay in the memory of a Python worker; fewer take more time.
+    ``remembered`` words stay in the memory of a Python worker, which encodes ``together`` bytes of
+    texts at a time; fewer take more time.
     """
     spark = documents.sparkSession
-    cut = stored(pieces(documents, tokenizer, end_id, size, key, text, remembered), work_folder(spark, "pieces"))
+    cut = stored(pieces(documents, tokenizer, end_id, size, key, text, remembered, together), work_folder(spark, "pieces"))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     steps = plan(histogram, size)
     buckets = partitions_for(spark, sum(histogram.values()), PER_BUCKET)

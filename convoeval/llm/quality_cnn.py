@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoeval.llm.shared import held_out, labelled_sample
+from convoeval.llm.shared import held_out, labelled_sample, tidy
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def score(documents: DataFrame, net: Network, threshold: float = 0.3, text: str
             yield pd.Series([net.score((t or "").encode()) for t in batch], dtype="float64")
 
     out = documents.drop("score", "predicted")
-    out = out.withColumn("score", F.pandas_udf(scored, "double")(text))
+    out = out.withColumn("score", F.pandas_udf(tidy(scored), "double")(text))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -8,9 +8,13 @@ that Spark committed says which of them count, so lost executors leave at most u
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +72,43 @@ def map_file(folder: str, name: str) -> memoryview:
     """A file's bytes: mapped where the folder is local to this machine, else read."""
     fs, base = open_folder(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        import pyarrow as pa
-
         return memoryview(pa.memory_map(f"{base}/{name}").read_buffer())
     with fs.open_input_file(f"{base}/{name}") as f:
         return memoryview(f.read_buffer())
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed.
+
+    A Python worker serves many tasks of many stages. What its allocators keep of one of them lies
+    beside the work of all others on the machine. Only the GNU C library needs to be asked.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task``, from batches to batches, giving back freed memory before it, after each batch and at its end."""
+
+    def each(batches: Iterable) -> Iterator:
+        give_back()
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(each(batches))
+        finally:
+            give_back()
+
+    return run
+
+
 def crc_class(key: Column, classes: int) -> Column:
     """CRC-32 of the key's decimal text, modulo ``classes``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % classes

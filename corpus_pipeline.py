@@ -16,7 +16,8 @@ from convoeval.llm.shared import stored, work_folder
 # No stage but the first rules can be said in SQL: see the tests for brute-force versions.
 ORACLE_SQL = None
 
-REMEMBERED = 1 << 17  # words; beside them, a Python worker may still hold memory of the stages before
+REMEMBERED = 1 << 16  # words that a Python worker of the last stage holds, beside what the JVM holds of the stages before
+TOGETHER = 1 << 18  # bytes of texts that it encodes at a time
 
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -61,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents with their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED, together=TOGETHER)
 
 
 STAGES = [
