@@ -1,16 +1,20 @@
 """Jaccard join on word n-grams with several global token orders.
 
 Two sets can reach the threshold only if their prefixes share a token under every global order
-of the tokens. Frequent tokens come last in each order, and the others in the order of a hash of
-their own, so that sets which share a few tokens by chance fail under one order or another.
-
-1. Every text becomes a set of hashed n-grams; equal sets are one node from here on.
-2. For two orders, prefix tokens go to shards of the tokens as packed arrays. A shard emits the
-   pairs of a token that few sets share; of a token that many share, only a star.
-3. Pairs found under both orders, and the stars, make candidate clusters.
-4. The bitmaps of a cluster's sets meet. Each bit is the parity of the tokens that fall on it, so
-   that sets differ in as many tokens as bits at least; this rules out most pairs that only
-   chance brought together, and what remains makes smaller clusters.
+of the tokens. One order puts n-grams of rare words first, so that texts which share common phrases
+seldom meet; in the others tokens come in the order of a hash of their own, so that sets which share
+a few tokens by chance fail under one order or another. Frequent tokens come last in each.
+
+1. Every text becomes a set of hashed n-grams; equal sets are one node from here on. Words are
+   counted meanwhile.
+2. Prefix tokens under the order of rare words go to shards of the tokens as packed arrays. A shard
+   emits the pairs of a token that few sets share; of a token that many share, only a chain.
+3. The bitmaps of a pair's sets are compared. Each bit is the parity of the tokens that fall on it, so
+   that sets differ in as many tokens as bits at least; this rules out most pairs that only a passage
+   brought together. What is left and the chains make candidate clusters. The sets of clusters too
+   large for a task are sent again, the tokens that many shared now being frequent ones, while
+   that makes such clusters fewer.
+4. The bitmaps of a cluster's sets meet, which makes smaller clusters.
 5. The texts of such a cluster meet, each once. There, pairs must share a prefix token under all
    three orders before they are verified exactly. In 4 and 5, clusters too large for a task meet in
    pairs of blocks.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,7 +51,11 @@ class Options:
 
 
 MOST_BITS = 1 << 15  # of a bitmap; those of larger sets rule out less
+PAIR, CHAIN, SHARED = 1, 2, 3  # kinds of candidates
 AT_A_TIME = 256  # tokens of which the sets are looked up together
+WORD_CELLS = 1 << 16  # counts of words, each of all words whose hashes fall on it
+RARE = 3  # the order of n-grams of rare words; others go by hash
+ROUNDS = 4  # in which clusters are made smaller, at most
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -88,11 +97,22 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, h
 
 
+MOST_COMMON = 1023  # the largest sum of levels
+
+
+def _cells(words: np.ndarray) -> np.ndarray:
+    """The cell of each word's hash."""
+    return (words >> np.uint64(64 - (WORD_CELLS - 1).bit_length())).astype(np.int64)
+
+
 class Shingler:
-    """Texts to ascending arrays of distinct 64-bit n-gram hashes."""
+    """Texts to ascending arrays of distinct 64-bit n-gram hashes.
+
+    ``counts``, if given, takes up the counts of the words by cell.
+    """
 
-    def __init__(self, words: int):
-        self.n = words
+    def __init__(self, words: int, counts: np.ndarray | None = None):
+        self.n, self.counts = words, counts
 
     def _grams(self, h: np.ndarray, n: int) -> np.ndarray:
         """The hash of the n-gram that starts at each word but the last n - 1."""
@@ -107,31 +127,51 @@ class Shingler:
 
     def all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The set of each text. Texts that are short are worked on together."""
+        for group in self._groups(texts):
+            yield from self._together(group)
+
+    def ranked(self, texts: Iterable[str], levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The set of each text, and how common the words of each token are: the sum of their levels."""
+        for group in self._groups(texts):
+            yield from self._together(group, levels)
+
+    def _groups(self, texts: Iterable[str]) -> Iterator[list[bytes]]:
         group, size = [], 0
         for t in texts:
             raw = t.encode()
             if group and size + len(raw) > TEXT_BYTES:
-                yield from self._together(group)
+                yield group
                 group, size = [], 0
             group.append(raw)
             size += len(raw) + 1
         if group:
-            yield from self._together(group)
+            yield group
 
-    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def _together(self, texts: list[bytes], levels: np.ndarray | None = None) -> Iterator:
         starts, h = word_hashes(b"\n".join(texts).lower())  # of bytes: A-Z only
         ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
         grams = self._grams(h, self.n) if len(h) >= self.n else None
+        if self.counts is not None:
+            self.counts += np.bincount(_cells(h), minlength=WORD_CELLS)
+        if levels is not None and grams is not None:
+            each = np.concatenate([[0], np.cumsum(levels[_cells(h)], dtype=np.int64)])
+            sums = np.minimum(each[self.n :] - each[: -self.n], MOST_COMMON).astype(np.uint64)
         lo = 0
         for hi in ends:
             words = hi - lo
             if words >= self.n:
-                own = np.sort(grams[lo : hi - self.n + 1])
+                own = grams[lo : hi - self.n + 1]
+                if levels is None:
+                    own = np.sort(own)
+                else:
+                    by = np.argsort(own)
+                    own, ranks = own[by], sums[lo : hi - self.n + 1][by]
                 new = np.ones(len(own), bool)
                 np.not_equal(own[1:], own[:-1], out=new[1:])
-                yield own[new]
+                yield own[new] if levels is None else (own[new], ranks[new])
             else:  # the whole sequence is one
-                yield self._grams(h[lo:hi], words) if words else np.zeros(0, np.uint64)
+                own = self._grams(h[lo:hi], words) if words else np.zeros(0, np.uint64)
+                yield own if levels is None else (own, np.zeros(len(own), np.uint64))
             lo = hi
 
 
@@ -148,17 +188,31 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 class Orders:
-    """Global token orders: by hash, the frequent ones last and by frequency."""
+    """Global token orders: by hash, the frequent ones last and by frequency.
+
+    The order ``RARE`` goes by the levels of the tokens' words before the hash.
+    """
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, percent: int):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, percent: int, levels: np.ndarray | None = None):
         by = np.argsort(frequent)
         self.tokens, self.counts, self.percent = frequent[by], counts[by].astype(np.uint64), percent
+        self.levels = np.zeros(WORD_CELLS, np.uint8) if levels is None else levels
+
+    def with_frequent(self, tokens: np.ndarray, counts: np.ndarray) -> Orders:
+        """These orders with more frequent tokens."""
+        new = ~np.isin(tokens, self.tokens)
+        return Orders(
+            np.concatenate([self.tokens, tokens[new]]), np.concatenate([self.counts, counts[new].astype(np.uint64)]), self.percent, self.levels
+        )
 
     def prefix(self, tokens: np.ndarray, order: int) -> np.ndarray:
         return self.prefixes(tokens, (order,))[0]
 
-    def prefixes(self, tokens: np.ndarray, orders: Iterable[int]) -> list[np.ndarray]:
-        """The prefix of an ascending array of distinct tokens under each of these orders."""
+    def prefixes(self, tokens: np.ndarray, orders: Iterable[int], ranks: np.ndarray | None = None) -> list[np.ndarray]:
+        """The prefix of an ascending array of distinct tokens under each of these orders.
+
+        ``ranks`` has the sum of levels of each token; only the order ``RARE`` asks for it.
+        """
         n = len(tokens)
         size = n - (self.percent * n + 99) // 100 + 1
         if size >= n:
@@ -170,6 +224,8 @@ class Orders:
             last = np.uint64(1 << 63) + self.counts[at[known]]
         for order in orders:
             key = _mixed(tokens, 10 + order) >> np.uint64(1)
+            if order == RARE:
+                key = (ranks << np.uint64(53)) | (key >> np.uint64(10))
             if len(known):
                 key[known] = last
             out.append(tokens[np.argsort(key, kind="stable")[:size]])  # of equal keys, the smaller token
@@ -179,13 +235,14 @@ class Orders:
 def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
     """(key, n, set, bits, tokens, counts): a row per document, and rows (n = -1) of tokens that came up often.
 
-    A task counts its tokens so many at a time and reports those of three sets or more. Keys travel
-    as text, since pandas has no exact whole numbers beside nulls.
+    A task counts its tokens so many at a time and reports those of three sets or more, and in ``bits``
+    of the same row its words by cell. Keys travel as text, since pandas has no exact whole numbers beside nulls.
     """
     columns = [key, "n", "set", "bits", "tokens", "counts"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen, kept, size = Shingler(o.words), set(), [], 0
+        words = np.zeros(WORD_CELLS, np.int64)
+        shingles, seen, kept, size = Shingler(o.words, words), set(), [], 0
 
         def often() -> pd.DataFrame:
             tokens = np.concatenate(kept)
@@ -196,7 +253,8 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
             heads = np.flatnonzero(new[:-2] & (tokens[2:] == tokens[:-2]))  # of three equal ones or more
             many = tokens[heads]
             counts = np.searchsorted(tokens, many, "right") - heads
-            row = [None, -1, 0, None, many.view(np.int64), counts.astype(np.int32)]
+            row = [None, -1, 0, words.tobytes(), many.view(np.int64), counts.astype(np.int32)]
+            words[:] = 0
             return pd.DataFrame([row], columns=columns)
 
         for batch in batches:
@@ -220,12 +278,28 @@ def read_sets(documents: DataFrame, o: Options, key: str, text: str) -> DataFram
     return out.withColumn(key, F.col(key).cast(dict(documents.dtypes)[key]))
 
 
+def word_levels(read: DataFrame) -> np.ndarray:
+    """How common the words of each cell are: the rounded logarithm, base two, of their number."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(WORD_CELLS, np.int64)
+        for batch in batches:
+            for counts in batch["bits"]:
+                total += np.frombuffer(counts, np.int64)
+        yield pd.DataFrame({"bits": [total.tobytes()]})
+
+    total = np.zeros(WORD_CELLS, np.int64)
+    for r in read.filter("n < 0").select("bits").coalesce(8).mapInPandas(add, "bits binary").toLocalIterator():
+        total += np.frombuffer(r["bits"], np.int64)
+    return np.rint(np.log2(total + 1)).astype(np.uint8)
+
+
 def frequent_tokens(read: DataFrame, o: Options, percent: int) -> Orders:
     """The orders that put the most frequent tokens last. Their number is bounded."""
     each = read.filter("n < 0").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     sums = each.groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
     top = sums.orderBy(F.desc("n"), "token").limit(o.frequent).toPandas()
-    return Orders(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), percent)
+    return Orders(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), percent, word_levels(read))
 
 
 def _close(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -233,81 +307,141 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def candidate_pairs(documents: DataFrame, orders: Orders, o: Options, shards: int, key: str, text: str) -> DataFrame:
-    """(a, b, found): pairs of sets that share a prefix token; ``found`` has bit 1 or 2 for the order
-    under which they do, and 4 for the star of a token that many sets share."""
-    percent = o.percent
+def candidate_pairs(texts: DataFrame, orders: Orders, o: Options, shards: int) -> DataFrame:
+    """(a, b, found): pairs of sets that share a prefix token under the order of rare words.
+
+    Of a token that few sets share all pairs are PAIR; of others the sets are in a CHAIN by size,
+    which holds together what sizes allow to be linked. Rows (token, sets, SHARED) name these tokens.
+    ``texts`` has ``_text``, and may have ``set``: then texts of other sets are passed over.
+    """
+    percent, asked = o.percent, "set" in texts.columns
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen = Shingler(o.words), set()
-        parts: dict[int, list] = {0: [], 1: []}
-        rows = 0
-
-        def packed() -> Iterator[pd.DataFrame]:
-            for order, found in parts.items():
-                tokens = np.concatenate([f[0] for f in found])
-                sizes = [len(f[0]) for f in found]
-                ids = np.repeat(np.array([f[1] for f in found], np.int64), sizes)
-                n = np.repeat(np.array([f[2] for f in found], np.uint32), sizes)
-                shard = (tokens % np.uint64(shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                starts = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in range(shards):
-                    at = by[starts[s] : starts[s + 1]]
-                    if len(at):
-                        yield pd.DataFrame(
-                            [[order, s, tokens[at].tobytes(), ids[at].tobytes(), n[at].tobytes()]],
-                            columns=["order", "shard", "tokens", "ids", "n"],
-                        )
+        shingles, seen, found, rows = Shingler(o.words), set(), [], 0
+
+        def packed() -> pd.DataFrame:
+            tokens = np.concatenate([f[0] for f in found])
+            sizes = [len(f[0]) for f in found]
+            ids = np.repeat(np.array([f[1] for f in found], np.int64), sizes)
+            n = np.repeat(np.array([f[2] for f in found], np.uint32), sizes)
+            found.clear()
+            shard = (tokens % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            starts = np.searchsorted(shard[by], np.arange(shards + 1))
+            out = []
+            for s in np.flatnonzero(np.diff(starts)).tolist():
+                at = by[starts[s] : starts[s + 1]]
+                out.append((s, tokens[at].tobytes(), ids[at].tobytes(), n[at].tobytes()))
+            return pd.DataFrame(out, columns=["shard", "tokens", "ids", "n"])
 
         for batch in batches:
-            for tokens in shingles.all(batch["_text"]):
+            wanted = batch["set"].tolist() if asked else [None] * len(batch)
+            for want, (tokens, ranks) in zip(wanted, shingles.ranked(batch["_text"], orders.levels)):
                 own = set_id(tokens) if len(tokens) else None
-                if own is None or own in seen:
+                if own is None or own in seen or (asked and own != want):
                     continue
                 seen.add(own)
-                for order, prefix in zip(parts, orders.prefixes(tokens, parts)):
-                    parts[order].append((prefix, own, len(tokens)))
+                (prefix,) = orders.prefixes(tokens, (RARE,), ranks)
+                found.append((prefix, own, len(tokens)))
                 rows += len(prefix)
             if rows >= o.shard_rows:
-                yield from packed()
-                parts, rows = {0: [], 1: []}, 0
+                yield packed()
+                rows = 0
         if rows:
-            yield from packed()
+            yield packed()
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         give_back()
         tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]]).astype(np.int64)
-        by = np.lexsort((ids, tokens))
+        by = np.lexsort((ids, n, tokens))
         tokens, ids, n = tokens[by], ids[by], n[by]
         new = np.ones(len(tokens), bool)  # sets that several tasks have seen
         new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
         tokens, ids, n = tokens[new], ids[new], n[new]
         heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         sizes = np.diff(np.concatenate([heads, [len(tokens)]]))
-        first, second, star = [], [], []
-        for m in np.unique(sizes[(sizes > 1) & (sizes <= o.few)]):
+        many = sizes > o.few
+        # What a set of a chain follows is the next smaller one of its token.
+        follows = np.repeat(many, sizes)
+        follows[heads] = False
+        second = [np.flatnonzero(follows)]
+        first = [second[0] - 1]
+        for m in np.unique(sizes[(sizes > 1) & ~many]):
             at = heads[sizes == m]
             i, j = np.triu_indices(m, 1)
             first.append((at[:, None] + i).ravel())
             second.append((at[:, None] + j).ravel())
-            star.append(np.zeros(len(first[-1]), bool))
-        for at, m in zip(heads[sizes > o.few], sizes[sizes > o.few]):
-            second.append(np.arange(at + 1, at + m))
-            first.append(np.full(m - 1, at))
-            star.append(np.ones(m - 1, bool))
-        if not first:
-            return pd.DataFrame({"a": [], "b": [], "found": []})
-        i, j, star = np.concatenate(first), np.concatenate(second), np.concatenate(star)
-        keep = star | _close(n[i], n[j], percent)
-        found = np.where(star, 4, 1 << int(pdf["order"].iloc[0]))
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "found": found})[keep].drop_duplicates()
-
-    rows = documents.select(F.coalesce(text, F.lit("")).alias("_text"))
-    sent = rows.mapInPandas(tidy(send), "order int, shard int, tokens binary, ids binary, n binary")
-    return sent.groupBy("order", "shard").applyInPandas(pair, "a long, b long, found int")
+        found = np.repeat([CHAIN, PAIR], [len(first[0]), sum(map(len, first[1:]))])
+        i, j = np.concatenate(first), np.concatenate(second)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        out = pd.DataFrame({"a": a, "b": b, "found": found})[_close(n[i], n[j], percent)].drop_duplicates()
+        return pd.concat([out, pd.DataFrame({"a": tokens[heads[many]].view(np.int64), "b": sizes[many], "found": SHARED})])
+
+    sent = texts.mapInPandas(tidy(send), "shard int, tokens binary, ids binary, n binary")
+    return sent.groupBy("shard").applyInPandas(pair, "a long, b long, found int")
+
+
+def may_link(n: list[np.ndarray], maps: list[pd.Series], percent: int) -> np.ndarray:
+    """Whether sizes and bitmaps leave it open that sets are linked, each of the first with its own of the second."""
+    out = np.zeros(len(n[0]), bool)
+    widths = [m.map(len).to_numpy() for m in maps]
+    for a, b in np.unique(np.stack(widths, 1), axis=0).tolist():
+        at = np.flatnonzero((widths[0] == a) & (widths[1] == b))
+        words = [np.frombuffer(b"".join(m.iloc[at]), np.uint64).reshape(len(at), -1) for m in maps]
+        while words[0].shape[1] != words[1].shape[1]:
+            k = int(words[1].shape[1] > words[0].shape[1])
+            half = words[k].shape[1] // 2
+            words[k] = words[k][:, :half] ^ words[k][:, half:]
+        differ = np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int64)
+        out[at] = (100 + percent) * differ <= (100 - percent) * (n[0][at] + n[1][at])
+    return out
+
+
+def open_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps do not rule out. ``maps`` has size and bitmap of each set."""
+    for x in "ab":
+        pairs = pairs.join(maps.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left = may_link([batch[x].to_numpy() for x in ("n_a", "n_b")], [batch["bits_a"], batch["bits_b"]], percent)
+            yield batch.loc[left, ["a", "b"]]
+
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(tidy(check), "a long, b long")
+
+
+def candidate_clusters(
+    documents: DataFrame, orders: Orders, o: Options, firsts: DataFrame, maps: DataFrame, tokens: int, key: str, text: str, folder: str
+) -> DataFrame:
+    """(node, root): clusters of sets outside of which no set has a link.
+
+    Sets of clusters larger than a block are looked at again among themselves, with the tokens that
+    many of them share behind the others, until their number falls by less than a half. ``firsts``
+    has for each set the document that stands for it, ``maps`` its size and bitmap; ``tokens`` is
+    the number of all sets' tokens.
+    """
+    done, before = [], None
+    texts = documents.select(F.coalesce(text, F.lit("")).alias("_text"))
+    for turn in range(ROUNDS):
+        shards = partitions_for(documents.sparkSession, tokens * (100 - o.percent) // 100, o.shard_rows)
+        found = stored(candidate_pairs(texts, orders, o, shards), f"{folder}/pairs-{turn}")
+        each = found.filter(F.col("found") != SHARED).groupBy("a", "b").agg(F.max("found").alias("found"))
+        chains = found.filter(F.col("found") == CHAIN).select("a", "b")
+        pairs = open_pairs(each.filter(F.col("found") == PAIR).select("a", "b"), maps, o.percent)
+        clusters = components(pairs.union(chains), f"{folder}/clusters-{turn}")
+        large = clusters.groupBy("root").count().filter(F.col("count") > o.block).select("root")
+        again = clusters.join(large, "root").select(F.col("node").alias("set")).join(firsts, "set")
+        again = stored(again, f"{folder}/large-{turn}")
+        sets, tokens = again.agg(F.count("*"), F.sum("n")).first()
+        if not sets or turn == ROUNDS - 1 or (before and 2 * sets > before):
+            return reduce(DataFrame.union, done, clusters)
+        done.append(clusters.join(large, "root", "left_anti").select("node", "root"))
+        many = found.filter(F.col("found") == SHARED).groupBy("a").agg(F.max("b").alias("n"))
+        many = many.orderBy(F.desc("n"), "a").limit(o.frequent).toPandas()
+        orders = orders.with_frequent(many["a"].to_numpy(np.int64).view(np.uint64), many["n"].to_numpy(np.int64))
+        texts, before = texts_of(documents, again.drop("n"), o, key, text).select("set", "_text"), sets
 
 
 def bloom(keys: DataFrame, key: str, bits: int) -> np.ndarray:
@@ -474,11 +608,11 @@ def _blocks(clusters: DataFrame, sets: DataFrame, blocks: Column) -> DataFrame:
     return dealt.withColumnRenamed("root", "cluster").withColumn("block", F.pmod(F.xxhash64("set"), "blocks"))
 
 
-def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: Options, key: str, text: str) -> DataFrame:
-    """(a, b): links that connect the sets of each cluster.
+def texts_of(documents: DataFrame, wanted: DataFrame, o: Options, key: str, text: str) -> DataFrame:
+    """(set, _text) and the other columns of ``wanted`` for each set there, by the document that stands for it.
 
-    ``wanted`` has for each set the document that stands for it, its cluster and its block of the
-    cluster's ``blocks``. A set that only documents without key have is found by its number, once in each task that reads it.
+    A key's other texts, which are other sets, come too. A set that only documents without key have
+    is found by its number, once in each task that reads it.
     """
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -500,6 +634,15 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
         hit = _may_be_in(bloom(keyless, "set", o.bloom_bits))
         named = read.filter(F.col(key).isNull()).select("_text").mapInPandas(tidy(name), "set long, _text string")
         texts = texts.unionByName(named.filter(hit(F.xxhash64("set"))).join(keyless, "set"))
+    return texts
+
+
+def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: Options, key: str, text: str) -> DataFrame:
+    """(a, b): links that connect the sets of each cluster.
+
+    ``wanted`` has for each set the document that stands for it, its cluster and its block of the
+    cluster's ``blocks``.
+    """
 
     def reader() -> Callable:
         shingles = Shingler(o.words)
@@ -511,30 +654,26 @@ def verified_links(documents: DataFrame, wanted: DataFrame, orders: Orders, o: O
         return read
 
     # Texts travel, not their sets, which are larger.
-    sets = texts.select("cluster", "set", "block", "blocks", "_text")
+    sets = texts_of(documents, wanted, o, key, text).select("cluster", "set", "block", "blocks", "_text")
     return _met(sets, reader, lambda ids, sets, side: links_between(ids, sets, side, orders, o.percent))
 
 
 def _linked(documents: DataFrame, o: Options, key: str, text: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """(key, n, set) of every document, and (set, root) of every set that is linked to another."""
-    spark = documents.sparkSession
     read = stored(read_sets(documents, o, key, text), f"{folder}/sets")
     orders = frequent_tokens(read, o, o.percent)
     docs = read.filter("n >= 0").select(key, "n", "set")
 
     total = docs.agg(F.sum("n")).first()[0] or 0
-    shards = partitions_for(spark, total * (100 - o.percent) // 100, o.shard_rows)
-    found = stored(candidate_pairs(documents, orders, o, shards, key, text), f"{folder}/pairs")
-    edges = found.groupBy("a", "b").agg(F.bit_or("found").alias("found")).filter("found >= 3")
-    clusters = components(edges, f"{folder}/clusters")
+    firsts = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key), F.max("n").alias("n"))
+    maps = read.filter("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    clusters = candidate_clusters(documents, orders, o, firsts, maps, total, key, text, folder)
 
     by_size = F.ceil(F.col("size") / o.block)
-    maps = read.filter("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     mapped = _blocks(clusters, maps, by_size)
     left = _met(mapped, lambda: lambda rows: zip(rows["n"].tolist(), rows["bits"]), lambda *met: pairs_left(*met, o.percent))
     clusters = components(stored(left, f"{folder}/left"), f"{folder}/left-clusters")
 
-    firsts = docs.filter("n > 0").groupBy("set").agg(F.min(key).alias(key), F.max("n").alias("n"))
     wanted = _blocks(clusters, firsts, F.greatest(by_size, F.ceil(F.col("total") / o.block_tokens))).drop("n")
     wanted = stored(wanted, f"{folder}/wanted")
     links = stored(verified_links(documents, wanted, orders, o, key, text), f"{folder}/links")
