@@ -11,9 +11,16 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """The lowest ``bits`` bits of each value, one after the other."""
     if not bits or not len(values):
         return np.zeros(8, np.uint8)
-    one = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    flat = np.unpackbits(one, axis=1, bitorder="little")[:, :bits].ravel()
-    return np.concatenate([np.packbits(flat, bitorder="little"), np.zeros(8, np.uint8)])
+    values = values & np.uint64((1 << bits) - 1)
+    start = np.arange(len(values)) * bits
+    word, shift = start >> 6, (start & 63).astype(np.uint64)
+    out = np.zeros(int(word[-1]) + 2, "<u8")
+    heads = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[heads]] = np.bitwise_or.reduceat(values << shift, heads)
+    over = np.flatnonzero(shift > 64 - bits)  # at most one value reaches into the next word
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    size = (len(values) * bits + 7) // 8
+    return np.concatenate([out.view(np.uint8)[:size], np.zeros(8, np.uint8)])
 
 
 class Monotone:
@@ -21,6 +28,7 @@ class Monotone:
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low = n, bits, low
+        self.eight = np.ndarray(len(low) - 7, "<u8", low, 0, (1,))  # the eight bytes from each place on
         ones = np.unpackbits(high, bitorder="little").astype(bool)
         # Rank and select, derived from the bit vector when it is opened.
         self.ones = np.flatnonzero(ones).astype(np.int64)
@@ -50,10 +58,11 @@ class Monotone:
     def _low(self, i: np.ndarray) -> np.ndarray:
         start = i * self.bits
         at, shift = start >> 3, (start & 7).astype(np.uint64)
-        word = np.zeros(len(i), np.uint64)
-        for k in range((self.bits + 14) // 8):
-            word |= self.low[at + k].astype(np.uint64) << np.uint64(8 * k)
-        return (word >> shift) & np.uint64((1 << self.bits) - 1)
+        out = self.eight[at] >> shift
+        if self.bits > 57:  # a value may lie on nine bytes
+            ninth = self.low[at + 8].astype(np.uint64)
+            out |= np.where(shift > 0, ninth << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return out & np.uint64((1 << self.bits) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         high = (self.ones[i] - i).astype(np.uint64)
@@ -67,9 +76,11 @@ class Monotone:
         at, end = np.where(inside, self.starts[high], self.n), np.where(inside, self.ends[high], self.n)
         todo = np.flatnonzero(at < end)
         wanted = x & np.uint64((1 << self.bits) - 1)
-        while len(todo) and self.bits:
-            todo = todo[self._low(at[todo]) < wanted[todo]]
-            at[todo] += 1
+        while len(todo) and self.bits:  # by halves: of a common context, many values have one high part
+            middle = (at[todo] + end[todo]) >> 1
+            less = self._low(middle) < wanted[todo]
+            at[todo[less]] = middle[less] + 1
+            end[todo[~less]] = middle[~less]
             todo = todo[at[todo] < end[todo]]
         return at
 

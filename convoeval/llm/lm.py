@@ -32,6 +32,7 @@ from convoeval.llm.shared import held_out, map_file, stored, work_folder, write_
 END = b" "  # no word has a space
 UNSEEN, HOT = 255, 254  # codes besides the quantised levels
 LEVELS = 254
+ASKED = 1 << 18  # pairs that a shard looks up together
 
 
 @dataclass(frozen=True)
@@ -138,20 +139,30 @@ class Block:
         """
         before = np.concatenate([[0], self.tokens[:-1]])
         before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = 0  # the end is word 0
-        key, inverse = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+        # Words are numbered anew in the order of their codes, so that pairs come in that order.
+        code, number = np.unique(self.words >> np.uint64(64 - 8 * width), return_inverse=True)
+        key, inverse = np.unique(number[before] * len(code) + number[self.tokens], return_inverse=True)
         counts = np.bincount(inverse, self.learn, len(key)).astype(np.uint32)
-        code = self.words >> np.uint64(64 - 8 * width)
-        a, b = code[key // len(self.words)], code[key % len(self.words)]
+        a, b = code[key // len(code)], code[key % len(code)]
         spread = np.isin(a, hot)
         mixed = np.where(spread, b, a) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-        shard = mixed % np.uint64(shards)
-        order = np.lexsort((b, a, shard))
+        shard = (mixed % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.uint64)  # short ones sort faster
+        order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         starts = np.searchsorted(shard[order], np.arange(shards + 1).astype(np.uint64))
         return a[order], b[order], counts[order], starts, place[inverse]
 
 
+def _heads(a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts as they are sent, once in each shard, and where the pairs of each begin."""
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    new[starts[starts < len(a)]] = True
+    first = np.flatnonzero(new)
+    return a[first], first
+
+
 def _narrow(codes: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
@@ -177,13 +188,11 @@ def word_counts(cut: DataFrame, shards: int, hot_count: float) -> DataFrame:
                 order, starts = b.by_shard(shards)
                 counts = np.bincount(b.tokens[b.learn], minlength=len(b.words)).astype(np.uint32)[order]
                 words = b.words[order]
-                for s in range(shards):
+                out = []
+                for s in np.flatnonzero(np.diff(starts)).tolist():
                     lo, hi = starts[s], starts[s + 1]
-                    if hi > lo:
-                        yield pd.DataFrame(
-                            [[row.block, s, words[lo:hi].tobytes(), _zip(counts[lo:hi])]],
-                            columns=["block", "shard", "words", "counts"],
-                        )
+                    out.append((row.block, s, words[lo:hi].tobytes(), _zip(counts[lo:hi])))
+                yield pd.DataFrame(out, columns=["block", "shard", "words", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         words = [np.frombuffer(w, np.uint64) for w in pdf["words"]]
@@ -221,17 +230,15 @@ def pair_codes(
         for batch in batches:
             for row in batch.itertuples():
                 a, b, counts, starts, _ = Block(row).pairs(shards, width, hot_codes)
-                for s in range(shards):
+                a, b, out = _heads(a, starts), _narrow(b, width), []
+                for s in np.flatnonzero(np.diff(starts)).tolist():
                     lo, hi = starts[s], starts[s + 1]
-                    if hi > lo:
-                        contexts, runs = np.unique(a[lo:hi], return_counts=True)
-                        yield pd.DataFrame(
-                            [[
-                                row.block, s, _narrow(contexts, width), _zip(runs.astype(np.uint32)),
-                                _narrow(b[lo:hi], width), _zip(counts[lo:hi]),
-                            ]],
-                            columns=["block", "shard", "contexts", "runs", "successors", "counts"],
-                        )
+                    first = slice(*np.searchsorted(a[1], (lo, hi)))
+                    runs = np.diff(a[1][first], append=hi).astype(np.uint32)
+                    out.append((
+                        row.block, s, _narrow(a[0][first], width), _zip(runs), b[lo * width : hi * width], _zip(counts[lo:hi]),
+                    ))
+                yield pd.DataFrame(out, columns=["block", "shard", "contexts", "runs", "successors", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         sent = [
@@ -243,14 +250,20 @@ def pair_codes(
         write_file(folder, name, raw)
         del raw
         trie = BigramTrie(map_file(folder, name))
-        out = []
-        for block, (contexts, runs, b, _) in zip(pdf["block"], sent):
+        out, shard, names = [], pdf["shard"].iloc[0], pdf["block"].tolist()
+        ends = np.cumsum([len(b) for _, _, b, _ in sent])
+        groups = np.searchsorted(ends, np.arange(0, ends[-1], ASKED), "right")
+        for lo, hi in zip(np.unique(groups), [*np.unique(groups)[1:], len(sent)]):  # some blocks together
+            asked = sent[lo:hi]
+            contexts, runs, b = (np.concatenate([x[i] for x in asked]) for i in range(3))
             place = trie.find_contexts(contexts)
             at = trie.find(np.repeat(place, runs), b)
-            codes = np.where(at >= 0, trie.codes[np.maximum(at, 0)] if trie.level.n else UNSEEN, UNSEEN)
+            codes = np.where(at >= 0, trie.codes[np.maximum(at, 0)] if trie.level.n else UNSEEN, UNSEEN).astype(np.uint8)
             back = np.where(place >= 0, trie.backoff[np.maximum(place, 0)] if trie.contexts.n else UNSEEN, UNSEEN)
-            back = np.where(np.isin(contexts, hot_codes), HOT, back)
-            out.append((block, pdf["shard"].iloc[0], _zip(codes.astype(np.uint8)), _zip(back.astype(np.uint8)), None))
+            back = np.where(np.isin(contexts, hot_codes), HOT, back).astype(np.uint8)
+            pairs, heads = (np.cumsum([0, *(len(x[i]) for x in asked)]) for i in (2, 0))
+            for k, block in enumerate(names[lo:hi]):
+                out.append((block, shard, _zip(codes[pairs[k] : pairs[k + 1]]), _zip(back[heads[k] : heads[k + 1]]), None))
         out.append((None, pdf["shard"].iloc[0], None, name.encode(), successors.tobytes()))
         return pd.DataFrame(out, columns=["block", "shard", "pairs", "contexts", "successors"])
 
@@ -266,7 +279,7 @@ def build_trie(
     sent, hot_codes: np.ndarray, hot_counts: np.ndarray, discount: float, lowest: float
 ) -> tuple[bytes, np.ndarray]:
     """A shard's trie from what the blocks sent, and its distinct successors of each hot context."""
-    a = np.concatenate([np.repeat(c, r) for c, r, _, _ in sent])
+    a = np.repeat(np.concatenate([c for c, _, _, _ in sent]), np.concatenate([r for _, r, _, _ in sent]))
     b = np.concatenate([s for _, _, s, _ in sent])
     n = np.concatenate([c for _, _, _, c in sent]).astype(np.int64)
     a, b, n = a[n > 0], b[n > 0], n[n > 0]
@@ -342,12 +355,9 @@ def score(documents: DataFrame, options: Options = Options(), key: str = "doc_id
         sent = np.concatenate([_unzip(c, "u1") for c in got["contexts"]])
         back = np.where(sent == UNSEEN, 1.0, level[sent])
         # Contexts were sent once in each shard; they are in the order of the pairs.
-        new = np.ones(len(a), bool)
-        new[1:] = a[1:] != a[:-1]
-        new[starts[starts < len(a)]] = True
-        which = np.cumsum(new) - 1
+        heads, first = _heads(a, starts)
+        which = np.repeat(np.arange(len(first)), np.diff(first, append=len(a)))
         if len(hot_codes):
-            heads = a[new]
             at = np.minimum(np.searchsorted(hot_codes, heads), len(hot_codes) - 1)
             back = np.where(sent == HOT, hot_backoff[at], back)
         share = (counts + 1) / (train + vocabulary + 1)
