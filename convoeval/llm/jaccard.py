@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,7 @@ PAIR, CHAIN, SHARED = 1, 2, 3  # kinds of candidates
 AT_A_TIME = 256  # tokens of which the sets are looked up together
 WORD_CELLS = 1 << 16  # counts of words, each of all words whose hashes fall on it
 RARE = 3  # the order of n-grams of rare words; others go by hash
+SENT = 1 << 18  # prefix tokens that a task sends at a time
 ROUNDS = 4  # in which clusters are made smaller, at most
 
 
@@ -130,15 +132,15 @@ class Shingler:
         for group in self._groups(texts):
             yield from self._together(group)
 
-    def ranked(self, texts: Iterable[str], levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def ranked(self, texts: Iterable[str | bytes], levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The set of each text, and how common the words of each token are: the sum of their levels."""
         for group in self._groups(texts):
             yield from self._together(group, levels)
 
-    def _groups(self, texts: Iterable[str]) -> Iterator[list[bytes]]:
+    def _groups(self, texts: Iterable[str | bytes]) -> Iterator[list[bytes]]:
         group, size = [], 0
         for t in texts:
-            raw = t.encode()
+            raw = t if isinstance(t, bytes) else t.encode()
             if group and size + len(raw) > TEXT_BYTES:
                 yield group
                 group, size = [], 0
@@ -316,10 +318,11 @@ def candidate_pairs(texts: DataFrame, orders: Orders, o: Options, shards: int) -
     """
     percent, asked = o.percent, "set" in texts.columns
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow batches, without copies of their texts in pandas.
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen, found, rows = Shingler(o.words), set(), [], 0
 
-        def packed() -> pd.DataFrame:
+        def packed() -> pa.RecordBatch:
             tokens = np.concatenate([f[0] for f in found])
             sizes = [len(f[0]) for f in found]
             ids = np.repeat(np.array([f[1] for f in found], np.int64), sizes)
@@ -328,25 +331,25 @@ def candidate_pairs(texts: DataFrame, orders: Orders, o: Options, shards: int) -
             shard = (tokens % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             starts = np.searchsorted(shard[by], np.arange(shards + 1))
-            out = []
-            for s in np.flatnonzero(np.diff(starts)).tolist():
-                at = by[starts[s] : starts[s + 1]]
-                out.append((s, tokens[at].tobytes(), ids[at].tobytes(), n[at].tobytes()))
-            return pd.DataFrame(out, columns=["shard", "tokens", "ids", "n"])
+            some = np.flatnonzero(np.diff(starts))
+            ends = [*starts[some].tolist(), len(by)]
+            parts = ([x[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])] for x in (tokens[by], ids[by], n[by]))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], ["shard", "tokens", "ids", "n"])
 
         for batch in batches:
-            wanted = batch["set"].tolist() if asked else [None] * len(batch)
-            for want, (tokens, ranks) in zip(wanted, shingles.ranked(batch["_text"], orders.levels)):
+            wanted = batch.column("set").to_pylist() if asked else [None] * len(batch)
+            texts = (t.as_buffer().to_pybytes() for t in batch.column("_text"))
+            for want, (tokens, ranks) in zip(wanted, shingles.ranked(texts, orders.levels)):
                 own = set_id(tokens) if len(tokens) else None
                 if own is None or own in seen or (asked and own != want):
                     continue
                 seen.add(own)
                 (prefix,) = orders.prefixes(tokens, (RARE,), ranks)
-                found.append((prefix, own, len(tokens)))
+                found.append((prefix.copy(), own, len(tokens)))
                 rows += len(prefix)
-            if rows >= o.shard_rows:
-                yield packed()
-                rows = 0
+                if rows >= SENT:
+                    yield packed()
+                    rows = 0
         if rows:
             yield packed()
 
@@ -379,7 +382,7 @@ def candidate_pairs(texts: DataFrame, orders: Orders, o: Options, shards: int) -
         out = pd.DataFrame({"a": a, "b": b, "found": found})[_close(n[i], n[j], percent)].drop_duplicates()
         return pd.concat([out, pd.DataFrame({"a": tokens[heads[many]].view(np.int64), "b": sizes[many], "found": SHARED})])
 
-    sent = texts.mapInPandas(tidy(send), "shard int, tokens binary, ids binary, n binary")
+    sent = texts.mapInArrow(tidy(send), "shard int, tokens binary, ids binary, n binary")
     return sent.groupBy("shard").applyInPandas(pair, "a long, b long, found int")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoeval.llm.elias_fano import BigramTrie
-from convoeval.llm.shared import held_out, map_file, stored, work_folder, write_file
+from convoeval.llm.shared import give_back, held_out, map_file, stored, tidy, work_folder, write_file
 
 END = b" "  # no word has a space
 UNSEEN, HOT = 255, 254  # codes besides the quantised levels
@@ -112,7 +112,7 @@ def blocks(documents: DataFrame, o: Options, key: str, text: str) -> DataFrame:
     rows = documents.select(
         F.col(key).cast("string").alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), held_out(F.col(key), 7, 2).alias("_out")
     )
-    return rows.mapInPandas(cut, BLOCK)
+    return rows.mapInPandas(tidy(cut), BLOCK)
 
 
 class Block:
@@ -208,7 +208,7 @@ def word_counts(cut: DataFrame, shards: int, hot_count: float) -> DataFrame:
         return pd.DataFrame(out, columns=["block", "shard", "counts", "all_words", "distinct", "hot", "hot_counts"])
 
     sent = cut.select("block", "lengths", "train", "words", "tokens").mapInPandas(
-        send, "block string, shard int, words binary, counts binary"
+        tidy(send), "block string, shard int, words binary, counts binary"
     )
     return sent.groupBy("shard").applyInPandas(
         answer, "block string, shard int, counts binary, all_words long, distinct long, hot binary, hot_counts binary"
@@ -241,6 +241,7 @@ def pair_codes(
                 yield pd.DataFrame(out, columns=["block", "shard", "contexts", "runs", "successors", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         sent = [
             (_wide(r.contexts, width), _unzip(r.runs, "u4"), _wide(r.successors, width), _unzip(r.counts, "u4"))
             for r in pdf.itertuples()
@@ -268,7 +269,7 @@ def pair_codes(
         return pd.DataFrame(out, columns=["block", "shard", "pairs", "contexts", "successors"])
 
     rows = cut.select("block", "lengths", "train", "words", "tokens").mapInPandas(
-        send, "block string, shard int, contexts binary, runs binary, successors binary, counts binary"
+        tidy(send), "block string, shard int, contexts binary, runs binary, successors binary, counts binary"
     )
     return rows.groupBy("shard").applyInPandas(
         answer, "block string, shard int, pairs binary, contexts binary, successors binary"
@@ -343,6 +344,7 @@ def score(documents: DataFrame, options: Options = Options(), key: str = "doc_id
     kind = dict(documents.dtypes)[key]
 
     def sum_up(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         row = next(block.itertuples())
         b = Block(row)
         order, _ = b.by_shard(shards)
