@@ -432,7 +432,8 @@ def candidate_clusters(
         found = stored(candidate_pairs(texts, orders, o, shards), f"{folder}/pairs-{turn}")
         each = found.filter(F.col("found") != SHARED).groupBy("a", "b").agg(F.max("found").alias("found"))
         chains = found.filter(F.col("found") == CHAIN).select("a", "b")
-        pairs = open_pairs(each.filter(F.col("found") == PAIR).select("a", "b"), maps, o.percent)
+        # Stored, and texts dealt anew below, so that no task needs two Python workers at once.
+        pairs = stored(open_pairs(each.filter(F.col("found") == PAIR).select("a", "b"), maps, o.percent), f"{folder}/open-{turn}")
         clusters = components(pairs.union(chains), f"{folder}/clusters-{turn}")
         large = clusters.groupBy("root").count().filter(F.col("count") > o.block).select("root")
         again = clusters.join(large, "root").select(F.col("node").alias("set")).join(firsts, "set")
@@ -444,7 +445,7 @@ def candidate_clusters(
         many = found.filter(F.col("found") == SHARED).groupBy("a").agg(F.max("b").alias("n"))
         many = many.orderBy(F.desc("n"), "a").limit(o.frequent).toPandas()
         orders = orders.with_frequent(many["a"].to_numpy(np.int64).view(np.uint64), many["n"].to_numpy(np.int64))
-        texts, before = texts_of(documents, again.drop("n"), o, key, text).select("set", "_text"), sets
+        texts, before = texts_of(documents, again.drop("n"), o, key, text).select("set", "_text").repartition("set"), sets
 
 
 def bloom(keys: DataFrame, key: str, bits: int) -> np.ndarray:
